@@ -1,0 +1,98 @@
+"""Compare catalog queries with their DuckDB oracle (row count, columns, values).
+
+Run as ``python -m tests.oracle_compare [sf_dir] [name ...]``; pytest uses
+``compare`` directly.
+"""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+
+import duckdb
+import pandas as pd
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return ("null",)
+    if isinstance(v, float):
+        if math.isnan(v):
+            return ("nan",)
+        return ("f", round(v, 6))
+    if isinstance(v, pd.Timestamp):
+        return ("t", v.to_pydatetime().replace(tzinfo=None).isoformat())
+    if hasattr(v, "isoformat"):
+        return ("t", v.isoformat())
+    if isinstance(v, bool):
+        return ("b", v)
+    if isinstance(v, int):
+        return ("f", float(v))
+    return ("s", str(v))
+
+
+def rows_of(records, cols):
+    return sorted(tuple(_norm(r[c]) for c in cols) for r in records)
+
+
+def compare(spark, sf_dir: str, name: str, fn, sql: str, con=None):
+    con = con or duck(sf_dir)
+    t0 = time.time()
+    sdf = fn(spark, sf_dir)
+    srows = [r.asDict() for r in sdf.collect()]
+    t1 = time.time()
+    rel = con.execute(sql)
+    dcols = [d[0] for d in rel.description]
+    drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
+    scols = sorted(sdf.columns)
+    out = {"name": name, "spark_rows": len(srows), "duck_rows": len(drows),
+           "cols_equal": scols == sorted(dcols), "spark_sec": round(t1 - t0, 2)}
+    if out["cols_equal"]:
+        a, b = rows_of(srows, scols), rows_of(drows, scols)
+        out["values_equal"] = a == b
+        if a != b:
+            sa, sb = set(a), set(b)
+            out["only_spark"] = list(sa - sb)[:3]
+            out["only_duck"] = list(sb - sa)[:3]
+    else:
+        out["spark_cols"], out["duck_cols"] = scols, sorted(dcols)
+    out["ok"] = out["cols_equal"] and out.get("values_equal", False) and len(srows) == len(drows)
+    return out
+
+
+def main(argv):
+    sys.path.insert(0, ".")
+    import __spark_entry__ as E
+    from tally.session import get_session
+
+    sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
+    names = argv[1:] or list(E.queries())
+    spark = get_session("local[8]", 8)
+    spark.sparkContext.setLogLevel("ERROR")
+    con = duck(sf_dir)
+    qs, sqls = E.queries(), E.oracle_sql()
+    bad = 0
+    for n in names:
+        try:
+            r = compare(spark, sf_dir, n, qs[n], sqls[n], con)
+        except Exception as e:  # report and continue
+            r = {"name": n, "ok": False, "error": (type(e).__name__ + ": " + str(e))[:1500]}
+        bad += not r["ok"]
+        print(r, flush=True)
+    print("FAILED" if bad else "ALL OK", bad)
+
+
+if __name__ == "__main__":
+    main(sys.argv[1:])
