@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 # Fixed values of the reference's weekly job.
@@ -37,14 +37,19 @@ class RunConfig:
     # D9 replaces names by the lookup's names with no fallback (reference).
     fallback_names: bool = False
     baseline_label: str = BASELINE_LABEL
-    # Width of the time chunks that split one counter's readings across tasks.
+    # Width of the time chunks that split a hot counter's readings across
+    # tasks, and the row count above which a counter counts as hot.
     chunk_hours: int | None = 24
+    max_rows_per_key: int = 1_000_000
     # Largest lookup / per-counter table broadcast to every task.
     broadcast_max_rows: int = 2_000_000
     peak_hours: tuple = PEAK_HOURS
     weekend_days: tuple = WEEKEND_DAYS
     extra: dict = field(default_factory=dict)
 
+    def with_(self, **changes) -> "RunConfig":
+        return replace(self, **changes)
+
     def file_date(self) -> dt.date:
         """Latest Saturday on or before ``run_date``."""
         d = self.run_date or dt.date.today()

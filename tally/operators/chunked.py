@@ -19,12 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["seeded_lag", "seeded_running_sum", "sort_exprs", "order_key"]
+__all__ = ["seeded_lag", "seeded_running_sum", "sort_exprs", "order_key", "largest_group"]
 
 _CHUNK = "__chunk"
 _SEED = "__seed"
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest ``keys`` group (one small, map-side combined job)."""
+    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return int(top or 0)
+
+
 def sort_exprs(order: list[tuple[str, bool]]) -> list[Column]:
     """Ascending sort expressions; each item is ``(column, nulls_last)``."""
     return [F.col(c).asc_nulls_last() if nl else F.col(c).asc_nulls_first() for c, nl in order]

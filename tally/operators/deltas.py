@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tally.config import RunConfig
 from tally.functions.exprs import gap_hours, hour_chunk
-from tally.operators.chunked import seeded_lag
+from tally.operators.chunked import largest_group, seeded_lag
 from tally.operators.joins import bounded_broadcast, join_nullsafe
 
-__all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "reading_chunk",
+__all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "reading_chunk", "split_hot_counters",
            "raw_deltas", "dominant_direction", "clean_deltas"]
 
 SRC_PRIOR, SRC_NEW = 0, 1
@@ -29,6 +29,20 @@ def reading_chunk(cfg: RunConfig) -> Column | None:
     return hour_chunk("datetime", cfg.chunk_hours) if cfg.chunk_hours else None
 
 
+def split_hot_counters(readings: DataFrame, cfg: RunConfig) -> RunConfig:
+    """Keep time chunking on only if some counter has more than ``max_rows_per_key`` rows.
+
+    Without a hot counter a plain window per counter is cheapest; with one,
+    its readings are spread over ``chunk_hours`` chunks.  The check is one
+    grouped count, combined map-side.
+    """
+    if not cfg.chunk_hours:
+        return cfg
+    if largest_group(readings, ["id"]) > cfg.max_rows_per_key:
+        return cfg
+    return cfg.with_(chunk_hours=None)
+
+
 def raw_deltas(prior: DataFrame | None, latest: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
     """Union the carried-over readings with the new ones and difference them.
 

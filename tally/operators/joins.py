@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +20,18 @@ __all__ = ["join_nullsafe", "bounded_broadcast"]
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows.  Above the bound the frame
-    is returned as is and Spark plans a shuffle join (AQE may still convert it
-    at run time from measured sizes).  Persist derived frames before calling,
-    so the check and the join do not compute them twice.
+    The check reads at most ``max_rows + 1`` rows of the frame, which is
+    persisted first so the join reuses what the check computed.  Above the
+    bound the frame is released and returned as is: Spark plans a shuffle
+    join (AQE may still convert it at run time from measured sizes).
     """
     if max_rows <= 0:
         return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tally.functions.columns import drop_columns, lower_names, rename_columns
 from tally.functions.exprs import (concat_strict, not_in_keep_null, parse_mdy_hms,
                                    saturday_floor, week_number, yymmdd)
 from tally.operators.compare import baseline_ratio
-from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas
+from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas, split_hot_counters
 from tally.operators.snapshot import latest_per_counter, next_snapshot, snapshot_join
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.plans.week import weekly_from_readings
@@ -31,9 +32,13 @@ def _scenario(spark, sf_dir):
     return r, tb.prior_snapshot(r, CFG), tb.latest_readings(r)
 
 
+def _cfg(latest):
+    return split_hot_counters(latest, CFG)
+
+
 def _raw(spark, sf_dir):
     r, prior, latest = _scenario(spark, sf_dir)
-    return raw_deltas(prior, latest, CFG)
+    return raw_deltas(prior, latest, _cfg(latest)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def flagship_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +90,10 @@ def dominant_direction_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_deltas_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dominant-way readings, re-differenced, plausible only."""
+    r, prior, latest = _scenario(spark, sf_dir)
     raw = _raw(spark, sf_dir)
-    return clean_deltas(raw, dominant_direction(raw, CFG), CFG)
+    direction = dominant_direction(raw, CFG).persist(StorageLevel.MEMORY_AND_DISK)
+    return clean_deltas(raw, direction, _cfg(latest))
 
 
 def latest_per_counter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +104,13 @@ def latest_per_counter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_full_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest rows full-joined with the prior snapshot's names."""
     r, prior, latest = _scenario(spark, sf_dir)
-    return snapshot_join(latest_per_counter(raw_deltas(prior, latest, CFG), CFG), prior)
+    return snapshot_join(latest_per_counter(_raw(spark, sf_dir), CFG), prior)
 
 
 def new_counter_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next snapshot, new counters named from the lookup."""
     r, prior, latest = _scenario(spark, sf_dir)
-    snap, _ = next_snapshot(raw_deltas(prior, latest, CFG), prior, latest,
-                            tb.stations_lookup(spark, sf_dir), CFG)
+    snap, _ = next_snapshot(_raw(spark, sf_dir), prior, latest, tb.stations_lookup(spark, sf_dir), CFG)
     return snap
 
 
@@ -117,9 +123,10 @@ def time_bucket_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This run's weekly counts through the next snapshot's names."""
     r, prior, latest = _scenario(spark, sf_dir)
-    raw = raw_deltas(prior, latest, CFG)
+    raw = _raw(spark, sf_dir)
     snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), CFG)
-    clean = clean_deltas(raw, dominant_direction(raw, CFG), CFG)
+    direction = dominant_direction(raw, CFG).persist(StorageLevel.MEMORY_AND_DISK)
+    clean = clean_deltas(raw, direction, _cfg(latest))
     return weekly_counts(time_bucket(clean, CFG), snap, CFG)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tally.config import RunConfig
 from tally.operators.compare import baseline_ratio
-from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas
+from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas, split_hot_counters
 from tally.operators.snapshot import next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.schemas import SNAPSHOT, WEEKLY
@@ -35,9 +35,14 @@ class WeekResult:
 
 def weekly_from_readings(prior: DataFrame | None, latest: DataFrame, names: DataFrame,
                          cfg: RunConfig = RunConfig()) -> DataFrame:
-    """D2 -> D3 -> D4 -> D6 -> D7 with ``names`` (``id, station, linename``) for J5."""
-    raw = raw_deltas(prior, latest, cfg)
-    clean = clean_deltas(raw, dominant_direction(raw, cfg), cfg)
+    """D2 -> D3 -> D4 -> D6 -> D7 with ``names`` (``id, station, linename``) for J5.
+
+    ``raw`` feeds the direction vote and the cleaning, so it is persisted.
+    """
+    cfg = split_hot_counters(latest, cfg)
+    raw = raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    direction = dominant_direction(raw, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    clean = clean_deltas(raw, direction, cfg)
     return weekly_counts(time_bucket(clean, cfg), names, cfg)
 
 
@@ -52,6 +57,7 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     """
     day = cfg.file_date()
     latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
+    cfg = split_hot_counters(latest, cfg)
     raw = raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     direction = dominant_direction(raw, cfg).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -71,6 +77,9 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     delta = baseline_ratio(merged, baseline, stations, cfg)
     if store is not None:
         store.export_csv(delta, "baseline_delta", day)
+        delta = store.read_csv(spark, "baseline_delta", day, delta.schema)
+        for df in (latest, raw, direction):
+            df.unpersist()
     return WeekResult(snapshot, new_counters, weekly, merged, delta)
 
 

@@ -55,6 +55,12 @@ class Store:
         self.write(df, table, run_date)
         return self.read(spark, table, run_date, schema)
 
+    def read_csv(self, spark: SparkSession, table: str, run_date: dt.date,
+                 schema: T.StructType) -> DataFrame:
+        return (spark.read.schema(schema).option("header", True).option("nullValue", "")
+                .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+                .csv(self.path(table, run_date)))
+
     def export_csv(self, df: DataFrame, table: str, run_date: dt.date) -> str:
         """K4: CSV hand-over; missing is empty, timestamps ISO 8601 with ``Z``."""
         p = self.path(table, run_date)
