@@ -1,0 +1,67 @@
+"""Next snapshot, the growth branch, enrichment and the null poison (T4)."""
+
+from tally.config import RunConfig
+from tally.operators import latest_per_counter, next_snapshot, raw_deltas
+from tests.conftest import READ_SCHEMA, SNAP_SCHEMA, frame, ts
+
+CFG = RunConfig(chunk_hours=None)
+STATIONS = "station string, linename string, station_new string, linename_new string"
+
+
+def latest_frame(spark, rows):
+    return frame(spark, rows, SNAP_SCHEMA)
+
+
+def test_no_growth_no_new_counters(spark):
+    prior = frame(spark, [("a", ts(1), 1.0, "S1", "L1")], SNAP_SCHEMA)
+    latest = latest_frame(spark, [("a", ts(2), 5.0, "raw", "raw"), ("a", ts(3), 6.0, "raw", "raw")])
+    raw = raw_deltas(prior, latest, CFG)
+    snap, new = next_snapshot(raw, prior, latest, frame(spark, [], STATIONS), CFG)
+    assert new is None
+    assert [tuple(r) for r in snap.collect()] == [("a", ts(3), 6.0, "S1", "L1")]
+
+
+def test_new_counters_enriched(spark):
+    prior = frame(spark, [("a", ts(1), 1.0, "S1", "L1")], SNAP_SCHEMA)
+    latest = latest_frame(spark, [
+        ("a", ts(2), 5.0, "x", "x"),
+        ("b", ts(2), 7.0, "RAWB", "LB"), ("b", ts(3), 8.0, "RAWB", "LB"),
+        ("c", ts(4), 9.0, "RAWC", "LC")])
+    stations = frame(spark, [("RAWB", "LB", "Bee St", "B")], STATIONS)
+    raw = raw_deltas(prior, latest, CFG)
+    snap, new = next_snapshot(raw, prior, latest, stations, CFG)
+    got = sorted(tuple(r) for r in snap.collect())
+    assert got == [("a", ts(2), 5.0, "S1", "L1"), ("b", ts(3), 8.0, "Bee St", "B"),
+                   ("c", ts(4), 9.0, "RAWC", "LC")]
+    assert sorted(r.id for r in new.collect()) == ["b", "c"]
+
+
+def test_ties_kept(spark):
+    prior = frame(spark, [("a", ts(3), 1.0, "S1", "L1")], SNAP_SCHEMA)
+    latest = latest_frame(spark, [("a", ts(3), 2.0, "x", "x")])
+    raw = raw_deltas(prior, latest, CFG)
+    assert sorted(r.entries for r in latest_per_counter(raw, CFG).collect()) == [1.0, 2.0]
+
+
+def test_t4_null_datetime_poisons_counter(spark):
+    prior = frame(spark, [("a", ts(1), 1.0, "S1", "L1"), ("b", ts(1), 1.0, "S2", "L2")], SNAP_SCHEMA)
+    latest = latest_frame(spark, [("a", None, 2.0, "x", "x"), ("a", ts(2), 3.0, "x", "x"),
+                                  ("b", ts(2), 4.0, "x", "x")])
+    raw = raw_deltas(prior, latest, CFG)
+    snap, new = next_snapshot(raw, prior, latest, frame(spark, [], STATIONS), CFG)
+    got = sorted(tuple(r) for r in snap.collect())
+    assert got == [("a", None, None, "S1", "L1"), ("b", ts(2), 4.0, "S2", "L2")]
+    assert new is None
+    # next run: the poisoned state stays lost
+    latest2 = latest_frame(spark, [("a", ts(5), 9.0, "x", "x")])
+    raw2 = raw_deltas(snap, latest2, CFG)
+    snap2, _ = next_snapshot(raw2, snap, latest2, frame(spark, [], STATIONS), CFG)
+    assert sorted(tuple(r) for r in snap2.where("id = 'a'").collect()) == [("a", None, None, "S1", "L1")]
+
+
+def test_t2_null_id_is_a_counter(spark):
+    prior = frame(spark, [(None, ts(1), 1.0, "S", "L")], SNAP_SCHEMA)
+    latest = latest_frame(spark, [(None, ts(2), 3.0, "S", "L")])
+    raw = raw_deltas(prior, latest, CFG)
+    snap, new = next_snapshot(raw, prior, latest, frame(spark, [], STATIONS), CFG)
+    assert [tuple(r) for r in snap.collect()] == [(None, ts(2), 3.0, "S", "L")]
