@@ -40,6 +40,12 @@ class Store:
     def path(self, table: str, run_date: dt.date) -> str:
         return f"{self.root}/{table}/run_date={run_date.isoformat()}"
 
+    def exists(self, spark: SparkSession, table: str, run_date: dt.date) -> bool:
+        """True if the version was fully written (its ``_SUCCESS`` marker exists)."""
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path(table, run_date) + "/_SUCCESS")
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def read(self, spark: SparkSession, table: str, run_date: dt.date,
              schema: T.StructType | None = None) -> DataFrame:
         return read_table(spark, self.path(table, run_date), schema)
