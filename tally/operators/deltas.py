@@ -17,7 +17,7 @@ from tally.operators.chunked import largest_group, seeded_lag
 from tally.operators.joins import bounded_broadcast, join_nullsafe
 
 __all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "reading_chunk", "split_hot_counters",
-           "raw_deltas", "dominant_direction", "clean_deltas"]
+           "raw_deltas", "dominant_direction", "attach_direction", "clean_deltas"]
 
 SRC_PRIOR, SRC_NEW = 0, 1
 ORDER_RAW = [("datetime", True), ("src", False), ("entries", True)]
@@ -75,15 +75,42 @@ def dominant_direction(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFram
             .where(F.col("n") == F.col("top")).select("id", "sign"))
 
 
-def clean_deltas(raw: DataFrame, direction: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
+def attach_direction(raw: DataFrame, cfg: RunConfig = RunConfig(),
+                     direction: DataFrame | None = None) -> DataFrame:
+    """Each reading once per dominant direction of its counter (``sign``).
+
+    Readings of counters without a direction drop out, as the reference's
+    left join followed by a null-rejecting filter does.  Without hot counters
+    (``cfg.chunk_hours`` is None) the vote is a window over the counter, on
+    the partitioning ``raw`` already has, and the tie fan-out is an
+    ``explode``: no join and no shuffle.  With hot counters, or an explicit
+    ``direction`` table, it is a join with the (size-checked) vote table.
+    """
+    if direction is None and cfg.chunk_hours is None:
+        w = Window.partitionBy("id")
+        sign = F.signum("d_entries")
+        up = F.count(F.when(sign == 1, 1)).over(w)
+        down = F.count(F.when(sign == -1, 1)).over(w)
+        total = F.count(F.lit(1)).over(w)
+        votes = F.array(F.when((up > 0) & (up >= down), F.lit(1.0)),
+                        F.when((down > 0) & (down >= up), F.lit(-1.0)))
+        dirs = F.when(total >= cfg.min_rows, F.filter(votes, lambda x: x.isNotNull()))
+        return raw.withColumn("__dirs", dirs).select(
+            *raw.columns, F.explode("__dirs").alias("sign"))
+    if direction is None:
+        direction = dominant_direction(raw, cfg)
+    return join_nullsafe(raw, bounded_broadcast(direction, cfg.broadcast_max_rows), ["id"], "inner")
+
+
+def clean_deltas(raw: DataFrame, direction: DataFrame | None = None,
+                 cfg: RunConfig = RunConfig()) -> DataFrame:
     """Keep readings moving the dominant way, re-difference, drop implausible ones.
 
-    The reference's left join is followed by a filter that rejects its nulls,
-    so it is an inner join here.  ``lag`` is recomputed over the survivors; the
-    whole-hour gap and the cap filter close the step.  Output
+    ``lag`` is recomputed over the survivors; the whole-hour gap and the cap
+    filter close the step.  Output
     ``id, datetime, entries, src, sign, d_entries, d_time``.
     """
-    j = join_nullsafe(raw, bounded_broadcast(direction, cfg.broadcast_max_rows), ["id"], "inner")
+    j = attach_direction(raw, cfg, direction)
     moved = F.col("sign") * F.col("d_entries")
     keep = (moved >= 0) & ~F.isnan(moved)
     if cfg.keep_first_interval:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
@@ -18,15 +18,24 @@ def latest_per_counter(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFram
     A counter with any null ``datetime`` has a null maximum in the reference
     and drops out entirely (T4).  The maximum is a grouped aggregate (combined
     map-side), joined back on ``(id, datetime)``, which spreads a hot counter
-    over many tasks.  Output ``id, datetime, entries, d_entries``.
+    over many tasks.  Without hot counters (``cfg.chunk_hours`` is None) it is a
+    window over the counter on ``raw``'s own partitioning instead.
+    Output ``id, datetime, entries, d_entries``.
     """
+    cols = ["id", "datetime", "entries", "d_entries"]
+    if cfg.chunk_hours is None:
+        w = Window.partitionBy("id")
+        return (raw.select(*cols, F.max("datetime").over(w).alias("__max"),
+                           F.max(F.col("datetime").isNull()).over(w).alias("__any_null"))
+                .where(~F.col("__any_null") & (F.col("datetime") == F.col("__max")))
+                .select(*cols))
     top = (raw.groupBy("id")
            .agg(F.max("datetime").alias("__max"),
                 F.max(F.col("datetime").isNull()).alias("__any_null"))
            .where(~F.col("__any_null"))
            .select("id", F.col("__max").alias("datetime")))
     top = bounded_broadcast(top, cfg.broadcast_max_rows)
-    return join_nullsafe(raw.select("id", "datetime", "entries", "d_entries"), top,
+    return join_nullsafe(raw.select(*cols), top,
                          ["id", "datetime"], "inner")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tally.config import BUCKETS, RunConfig
 from tally.functions.exprs import day_bucket, in_set, monday_floor, week_number
-from tally.operators.joins import bounded_broadcast, join_nullsafe
+from tally.operators.joins import join_nullsafe
 from tally.schemas import WEEKLY_KEYS
 
 __all__ = ["time_bucket", "weekly_counts", "merge_weekly"]
@@ -31,13 +31,13 @@ def weekly_counts(bucketed: DataFrame, snapshot: DataFrame, cfg: RunConfig = Run
 
     Deltas are first summed per ``(id, weekdate, time)`` (map-side combine), so
     the join with the snapshot's names and the final shuffle carry one row per
-    counter-week-bucket, not one per reading.  Sums distribute over the join,
+    counter-week-bucket, not one per reading; both join sides are then per
+    counter, so a plain shuffle join (or AQE's run-time broadcast) suits.  Sums distribute over the join,
     including its fan-out on duplicate snapshot rows, so the result equals
     joining first.  The three bucket columns always exist (T10).
     """
     per_id = bucketed.groupBy("id", "weekdate", "time").agg(F.sum("d_entries").alias("entries"))
-    names = bounded_broadcast(snapshot.select("id", "station", "linename"), cfg.broadcast_max_rows)
-    j = join_nullsafe(per_id, names, ["id"], "left")
+    j = join_nullsafe(per_id, snapshot.select("id", "station", "linename"), ["id"], "left")
     wide = (j.groupBy("linename", "station", "weekdate")
             .pivot("time", list(BUCKETS)).agg(F.sum("entries")))
     return wide.select("linename", "station", "weekdate", *BUCKETS,

@@ -18,7 +18,7 @@ from tally.functions.columns import drop_columns, lower_names, rename_columns
 from tally.functions.exprs import (concat_strict, not_in_keep_null, parse_mdy_hms,
                                    saturday_floor, week_number, yymmdd)
 from tally.operators.compare import baseline_ratio
-from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas, split_hot_counters
+from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas
 from tally.operators.snapshot import latest_per_counter, next_snapshot, snapshot_join
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.plans.week import weekly_from_readings
@@ -27,24 +27,25 @@ from tally.sources import testbed as tb
 CFG = RunConfig()
 
 
-def _scenario(spark, sf_dir):
-    r = tb.readings_view(spark, sf_dir, CFG)
-    return r, tb.prior_snapshot(r, CFG), tb.latest_readings(r)
+def _view(spark, sf_dir):
+    """Readings view plus the run config with its hot-counter decision."""
+    return tb.readings_view_cfg(spark, sf_dir, CFG)
 
 
-def _cfg(latest):
-    return split_hot_counters(latest, CFG)
+def _scenario(spark, sf_dir):
+    r, cfg = _view(spark, sf_dir)
+    return r, tb.prior_snapshot(r, cfg), tb.latest_readings(r), cfg
 
 
 def _raw(spark, sf_dir):
-    r, prior, latest = _scenario(spark, sf_dir)
-    return raw_deltas(prior, latest, _cfg(latest)).persist(StorageLevel.MEMORY_AND_DISK)
+    r, prior, latest, cfg = _scenario(spark, sf_dir)
+    return raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK), cfg
 
 
 def flagship_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 D3 D4 D6 A2 A3 over all readings: station x week x bucket."""
-    r = tb.readings_view(spark, sf_dir, CFG)
-    return weekly_from_readings(None, r, tb.counter_names(r), CFG)
+    r, cfg = _view(spark, sf_dir)
+    return weekly_from_readings(None, r, tb.counter_names(r), cfg, checked=True)
 
 
 def anti_set_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,37 +81,39 @@ def parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_deltas_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carried-over + new readings, first difference per counter."""
-    return _raw(spark, sf_dir)
+    return _raw(spark, sf_dir)[0]
 
 
 def dominant_direction_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modal non-zero sign per counter, ties kept."""
-    return dominant_direction(_raw(spark, sf_dir), CFG)
+    raw, cfg = _raw(spark, sf_dir)
+    return dominant_direction(raw, cfg)
 
 
 def clean_deltas_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dominant-way readings, re-differenced, plausible only."""
-    r, prior, latest = _scenario(spark, sf_dir)
-    raw = _raw(spark, sf_dir)
-    direction = dominant_direction(raw, CFG).persist(StorageLevel.MEMORY_AND_DISK)
-    return clean_deltas(raw, direction, _cfg(latest))
+    raw, cfg = _raw(spark, sf_dir)
+    return clean_deltas(raw, None, cfg)
 
 
 def latest_per_counter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each counter's latest rows, ties kept, null-poisoned groups dropped."""
-    return latest_per_counter(_raw(spark, sf_dir), CFG)
+    raw, cfg = _raw(spark, sf_dir)
+    return latest_per_counter(raw, cfg)
 
 
 def snapshot_full_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest rows full-joined with the prior snapshot's names."""
-    r, prior, latest = _scenario(spark, sf_dir)
-    return snapshot_join(latest_per_counter(_raw(spark, sf_dir), CFG), prior)
+    r, prior, latest, cfg = _scenario(spark, sf_dir)
+    raw, _ = _raw(spark, sf_dir)
+    return snapshot_join(latest_per_counter(raw, cfg), prior)
 
 
 def new_counter_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next snapshot, new counters named from the lookup."""
-    r, prior, latest = _scenario(spark, sf_dir)
-    snap, _ = next_snapshot(_raw(spark, sf_dir), prior, latest, tb.stations_lookup(spark, sf_dir), CFG)
+    r, prior, latest, cfg = _scenario(spark, sf_dir)
+    raw, _ = _raw(spark, sf_dir)
+    snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), cfg)
     return snap
 
 
@@ -122,12 +125,11 @@ def time_bucket_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekly_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """This run's weekly counts through the next snapshot's names."""
-    r, prior, latest = _scenario(spark, sf_dir)
-    raw = _raw(spark, sf_dir)
-    snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), CFG)
-    direction = dominant_direction(raw, CFG).persist(StorageLevel.MEMORY_AND_DISK)
-    clean = clean_deltas(raw, direction, _cfg(latest))
-    return weekly_counts(time_bucket(clean, CFG), snap, CFG)
+    r, prior, latest, cfg = _scenario(spark, sf_dir)
+    raw, _ = _raw(spark, sf_dir)
+    snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), cfg)
+    clean = clean_deltas(raw, None, cfg)
+    return weekly_counts(time_bucket(clean, cfg), snap, cfg)
 
 
 def week_number_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,15 +140,16 @@ def week_number_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_weekly_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly counts of two halves of the readings, merged per cell."""
-    r = tb.readings_view(spark, sf_dir, CFG)
+    r, cfg = _view(spark, sf_dir)
     names = tb.counter_names(r)
-    old = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.CUT)), names, CFG)
-    new = weekly_from_readings(None, r.where(F.col("datetime") >= tb.ntz(tb.CUT)), names, CFG)
+    old = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.CUT)), names, cfg, checked=True)
+    new = weekly_from_readings(None, r.where(F.col("datetime") >= tb.ntz(tb.CUT)), names, cfg, checked=True)
     return merge_weekly(new, old)
 
 
-def _baseline(r, names):
-    early = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.BASE_END)), names, CFG)
+def _baseline(r, names, cfg):
+    early = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.BASE_END)), names, cfg,
+                                 checked=True)
     st = F.col("station")
     return early.select(
         "linename", "station", "week",
@@ -157,10 +160,10 @@ def _baseline(r, names):
 
 def baseline_ratio_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly counts over the baseline, canonical names."""
-    r = tb.readings_view(spark, sf_dir, CFG)
+    r, cfg = _view(spark, sf_dir)
     names = tb.counter_names(r)
-    weekly = weekly_from_readings(None, r, names, CFG)
-    return baseline_ratio(weekly, _baseline(r, names), tb.stations_lookup(spark, sf_dir), CFG)
+    weekly = weekly_from_readings(None, r, names, cfg, checked=True)
+    return baseline_ratio(weekly, _baseline(r, names, cfg), tb.stations_lookup(spark, sf_dir), cfg)
 
 
 def week_file_date(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tally.config import RunConfig
 from tally.operators.compare import baseline_ratio
-from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas, split_hot_counters
+from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
 from tally.operators.snapshot import next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.schemas import SNAPSHOT, WEEKLY
@@ -34,15 +34,20 @@ class WeekResult:
 
 
 def weekly_from_readings(prior: DataFrame | None, latest: DataFrame, names: DataFrame,
-                         cfg: RunConfig = RunConfig()) -> DataFrame:
+                         cfg: RunConfig = RunConfig(), checked: bool = False) -> DataFrame:
     """D2 -> D3 -> D4 -> D6 -> D7 with ``names`` (``id, station, linename``) for J5.
 
-    ``raw`` feeds the direction vote and the cleaning, so it is persisted.
+    Without hot counters all steps up to the rollup share ``raw``'s
+    partitioning by counter, so the readings are shuffled once.  ``checked``
+    says ``cfg`` already carries the hot-counter decision for these readings.
     """
-    cfg = split_hot_counters(latest, cfg)
-    raw = raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    direction = dominant_direction(raw, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    clean = clean_deltas(raw, direction, cfg)
+    if not checked:
+        cfg = split_hot_counters(latest, cfg)
+    raw = raw_deltas(prior, latest, cfg)
+    if cfg.chunk_hours:
+        # hot counters: the vote table and the chunk seeds each re-read raw
+        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    clean = clean_deltas(raw, None, cfg)
     return weekly_counts(time_bucket(clean, cfg), names, cfg)
 
 
@@ -59,7 +64,6 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
     cfg = split_hot_counters(latest, cfg)
     raw = raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    direction = dominant_direction(raw, cfg).persist(StorageLevel.MEMORY_AND_DISK)
 
     snapshot, new_counters = next_snapshot(raw, prior, latest, stations, cfg)
     if store is not None:
@@ -69,7 +73,7 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     else:
         snapshot = snapshot.persist(StorageLevel.MEMORY_AND_DISK)
 
-    clean = clean_deltas(raw, direction, cfg)
+    clean = clean_deltas(raw, None, cfg)
     weekly = weekly_counts(time_bucket(clean, cfg), snapshot, cfg)
     merged = merge_weekly(weekly, accumulated)
     if store is not None:
@@ -78,7 +82,7 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     if store is not None:
         store.export_csv(delta, "baseline_delta", day)
         delta = store.read_csv(spark, "baseline_delta", day, delta.schema)
-        for df in (latest, raw, direction):
+        for df in (latest, raw):
             df.unpersist()
     return WeekResult(snapshot, new_counters, weekly, merged, delta)
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tally.config import RunConfig
 from tally.functions.exprs import hour_chunk
 from tally.operators.chunked import largest_group, seeded_running_sum
+from tally.operators.joins import bounded_broadcast
 
-__all__ = ["SPLIT", "END", "CUT", "BASE_END", "load", "readings_view", "prior_snapshot",
+__all__ = ["SPLIT", "END", "CUT", "BASE_END", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
            "latest_readings", "stations_lookup", "counter_names", "ntz"]
 
 # Fixed split points of the derived two-run scenario.
@@ -41,26 +42,39 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings_view(spark: SparkSession, sf_dir: str, cfg: RunConfig = RunConfig()) -> DataFrame:
     """Readings ``id, datetime, entries, station, linename`` from ``events``."""
+    return readings_view_cfg(spark, sf_dir, cfg)[0]
+
+
+def readings_view_cfg(spark: SparkSession, sf_dir: str,
+                      cfg: RunConfig = RunConfig()) -> tuple[DataFrame, RunConfig]:
+    """The readings view and ``cfg`` with the hot-counter decision made on it.
+
+    One counter per user, so the per-user check that chooses the running-sum
+    plan also decides for every subset of the view; no second check is needed.
+    """
     ev = load(spark, sf_dir, "events").select(
         "user_id", "event_id", F.col("ts").alias("datetime"),
         F.round(F.col("value") * 100).cast("long").alias("cents"))
     chunk = None
     if cfg.chunk_hours and largest_group(ev, ["user_id"]) > cfg.max_rows_per_key:
         chunk = hour_chunk("datetime", cfg.chunk_hours)
+    else:
+        cfg = cfg.with_(chunk_hours=None)
     run = seeded_running_sum(ev, ["user_id"], [("datetime", True), ("event_id", True)],
                              "cents", "total", chunk)
     nation = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("station"), "n_regionkey")
     region = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"),
                                                   F.col("r_name").alias("linename"))
-    # File-backed 25-row dimension: the planner broadcasts it from its file size.
-    names = nation.join(region, "n_regionkey").drop("n_regionkey")
+    names = bounded_broadcast(nation.join(region, "n_regionkey").drop("n_regionkey"),
+                              cfg.broadcast_max_rows)
     r = run.join(names, (F.col("user_id") % 25) == F.col("n_nationkey"))
     sign = F.when(F.col("user_id") % 7 == 0, F.lit(-1)).otherwise(F.lit(1))
     # The view stands for a landed readings table: every query reads it many
     # times, so it is materialised once per session (same plan, same cache).
-    return r.select(F.col("user_id").cast("string").alias("id"), "datetime",
+    view = r.select(F.col("user_id").cast("string").alias("id"), "datetime",
                     (sign * F.col("total")).cast("double").alias("entries"),
                     "station", "linename").persist(StorageLevel.MEMORY_AND_DISK)
+    return view, cfg
 
 
 def prior_snapshot(r: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:

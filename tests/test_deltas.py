@@ -136,6 +136,21 @@ def test_chunked_equals_plain_on_events(spark):
         assert _rows(cl_p, cols) == _rows(cl_c, cols)
 
 
+def test_window_vote_equals_vote_table(spark):
+    """The per-counter window vote attaches the same directions as the vote table join."""
+    r = tb.readings_view(spark, SF01, PLAIN)
+    raw = raw_deltas(tb.prior_snapshot(r, PLAIN), tb.latest_readings(r), PLAIN)
+    cols = ["id", "datetime", "entries", "sign", "d_entries", "d_time"]
+    a = clean_deltas(raw, None, PLAIN)
+    b = clean_deltas(raw, dominant_direction(raw, PLAIN), PLAIN)
+    assert _rows(a, cols) == _rows(b, cols)
+    for vals in ([10, 12, 10, 10, 12, 10], [1, 2, 3, 4], [5, 5, 5, 5, 5, 5]):
+        _, d, c1 = run(spark, vals)
+        latest = frame(spark, hourly("c", vals), READ_SCHEMA)
+        rw = raw_deltas(None, latest, PLAIN)
+        assert _rows(c1, cols) == _rows(clean_deltas(rw, None, PLAIN), cols)
+
+
 def test_hot_counter_split_decision(spark):
     latest = frame(spark, hourly("hot", range(50)) + hourly("cold", range(3)), READ_SCHEMA)
     assert split_hot_counters(latest, RunConfig(max_rows_per_key=10)).chunk_hours == 24
