@@ -19,6 +19,7 @@ from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
 from tally.operators.snapshot import next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.schemas import SNAPSHOT, WEEKLY
+from tally.session import ensure_checkpoint_dir
 from tally.sources.store import Store
 
 __all__ = ["WeekResult", "weekly_from_readings", "run_week"]
@@ -71,7 +72,9 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
             store.write(new_counters, "new_counters", day)
         snapshot = store.publish(spark, snapshot, "snapshots", day)
     else:
-        snapshot = snapshot.persist(StorageLevel.MEMORY_AND_DISK)
+        # no store: cut the lineage in the cluster's checkpoint folder instead
+        ensure_checkpoint_dir(spark)
+        snapshot = snapshot.checkpoint(eager=True)
 
     clean = clean_deltas(raw, None, cfg)
     weekly = weekly_counts(time_bucket(clean, cfg), snapshot, cfg)

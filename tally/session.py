@@ -53,17 +53,21 @@ def apply_engine_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
+    """Return the cluster's checkpoint folder; make a scratch one only in local mode.
 
-    On a cluster the shared folder is configured by the launcher and is used
-    as is.  Tests and local runs have none, so a fresh temporary folder is made.
+    On a cluster the shared folder is named by ``spark.checkpoint.dir`` and
+    used as is; without one, lineage cannot be cut safely, so this fails
+    rather than fall back to a machine-local folder.  Local runs and tests
+    get a fresh temporary folder.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         d = tempfile.mkdtemp(prefix="tally-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
-    return d
+    return sc.getCheckpointDir() or d

@@ -71,3 +71,20 @@ def test_plan_shape(spark, name):
 def test_oracle(spark, name):
     r = compare(spark, SF001, name, E.queries()[name], E.oracle_sql()[name])
     assert r["ok"], r
+
+
+def test_run_week_without_store_checkpoints(spark):
+    from tally.config import RunConfig
+    from tally.plans.week import run_week, weekly_from_readings
+    from tally.sources import testbed as tb
+    from tally.schemas import WEEKLY
+    r, cfg = tb.readings_view_cfg(spark, SF001)
+    names = tb.counter_names(r)
+    acc = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.SPLIT)), names, cfg,
+                               checked=True).select(*WEEKLY.fieldNames())
+    base = acc.select("linename", "station", "week", "weekend", "weekday_am", "weekday_pm")
+    res = run_week(spark, cfg.with_(run_date=WEEK1), tb.latest_readings(r), tb.prior_snapshot(r, cfg),
+                   acc, tb.stations_lookup(spark, SF001), base)
+    assert spark.sparkContext.getCheckpointDir()
+    assert res.snapshot.count() == r.select("id").distinct().count()
+    assert res.delta.count() == res.accumulated.count()
