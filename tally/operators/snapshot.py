@@ -59,16 +59,22 @@ def enrich_new_counters(unnamed: DataFrame, latest: DataFrame, stations: DataFra
                     F.coalesce("linename_new", "linename").alias("linename"))
 
 
+def _grew(joined: DataFrame, prior: DataFrame) -> bool:
+    """``nrow(joined) > nrow(prior)``, both counts in one job."""
+    side = joined.select(F.lit(1).alias("__side")).unionByName(prior.select(F.lit(-1).alias("__side")))
+    return (side.agg(F.sum("__side").alias("d")).first()["d"] or 0) > 0
+
+
 def next_snapshot(raw: DataFrame, prior: DataFrame, latest: DataFrame, stations: DataFrame,
                   cfg: RunConfig = RunConfig()) -> tuple[DataFrame, DataFrame | None]:
     """Returns ``(snapshot, new_counters)``; ``new_counters`` is None when not grown.
 
-    Branch C1 compares two row counts on the driver (scalars only).  The
-    joined table is persisted so the branch does not recompute it.
+    Branch C1 compares two row counts on the driver (scalars only), taken in
+    one job.  The joined table is persisted so the branch does not recompute it.
     """
     joined = snapshot_join(latest_per_counter(raw, cfg), prior)
     joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
-    if joined.count() > prior.count():
+    if _grew(joined, prior):
         old = joined.where(F.col("station").isNotNull()).drop("d_entries")
         new = enrich_new_counters(joined.where(F.col("station").isNull()), latest, stations, cfg)
         return old.unionByName(new), new

@@ -27,28 +27,28 @@ from tally.sources import testbed as tb
 CFG = RunConfig()
 
 
-def _view(spark, sf_dir):
+def _view(spark, sf_dir, cfg):
     """Readings view plus the run config with its hot-counter decision."""
-    return tb.readings_view_cfg(spark, sf_dir, CFG)
+    return tb.readings_view_cfg(spark, sf_dir, cfg)
 
 
-def _scenario(spark, sf_dir):
-    r, cfg = _view(spark, sf_dir)
+def _scenario(spark, sf_dir, cfg):
+    r, cfg = _view(spark, sf_dir, cfg)
     return r, tb.prior_snapshot(r, cfg), tb.latest_readings(r), cfg
 
 
-def _raw(spark, sf_dir):
-    r, prior, latest, cfg = _scenario(spark, sf_dir)
+def _raw(spark, sf_dir, cfg):
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
     return raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK), cfg
 
 
-def flagship_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship_weekly_counts(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """D2 D3 D4 D6 A2 A3 over all readings: station x week x bucket."""
-    r, cfg = _view(spark, sf_dir)
+    r, cfg = _view(spark, sf_dir, cfg)
     return weekly_from_readings(None, r, tb.counter_names(r), cfg, checked=True)
 
 
-def anti_set_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anti_set_filter(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Drop two event types; rows with a missing type are kept."""
     ev = tb.load(spark, sf_dir, "events")
     typ = F.when(F.col("event_id") % 11 != 0, F.col("event_type"))
@@ -56,7 +56,7 @@ def anti_set_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
             .where(not_in_keep_null("event_type", ["error", "signup"])))
 
 
-def compose_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compose_id(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """``a_b_c`` id; a missing part makes the id missing."""
     o = tb.load(spark, sf_dir, "orders")
     prio = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderpriority"))
@@ -73,74 +73,74 @@ def _mdy_text():
     return F.when(F.col("o_orderkey") % 17 == 0, F.lit("garbage")).otherwise(F.concat(d, t))
 
 
-def parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parse_timestamp(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """E5: month/day/year h:m:s text to timestamp; malformed text is null."""
     o = tb.load(spark, sf_dir, "orders").select("o_orderkey", _mdy_text().alias("s"))
     return o.select("o_orderkey", "s", parse_mdy_hms("s").alias("datetime"))
 
 
-def raw_deltas_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_deltas_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Carried-over + new readings, first difference per counter."""
-    return _raw(spark, sf_dir)[0]
+    return _raw(spark, sf_dir, cfg)[0]
 
 
-def dominant_direction_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dominant_direction_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Modal non-zero sign per counter, ties kept."""
-    raw, cfg = _raw(spark, sf_dir)
+    raw, cfg = _raw(spark, sf_dir, cfg)
     return dominant_direction(raw, cfg)
 
 
-def clean_deltas_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_deltas_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Dominant-way readings, re-differenced, plausible only."""
-    raw, cfg = _raw(spark, sf_dir)
+    raw, cfg = _raw(spark, sf_dir, cfg)
     return clean_deltas(raw, None, cfg)
 
 
-def latest_per_counter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_per_counter_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Each counter's latest rows, ties kept, null-poisoned groups dropped."""
-    raw, cfg = _raw(spark, sf_dir)
+    raw, cfg = _raw(spark, sf_dir, cfg)
     return latest_per_counter(raw, cfg)
 
 
-def snapshot_full_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_full_join_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Latest rows full-joined with the prior snapshot's names."""
-    r, prior, latest, cfg = _scenario(spark, sf_dir)
-    raw, _ = _raw(spark, sf_dir)
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    raw, _ = _raw(spark, sf_dir, cfg)
     return snapshot_join(latest_per_counter(raw, cfg), prior)
 
 
-def new_counter_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def new_counter_enrichment(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """The next snapshot, new counters named from the lookup."""
-    r, prior, latest, cfg = _scenario(spark, sf_dir)
-    raw, _ = _raw(spark, sf_dir)
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    raw, _ = _raw(spark, sf_dir, cfg)
     snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), cfg)
     return snap
 
 
-def time_bucket_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def time_bucket_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """peak/weekend filter, Monday week, bucket label."""
     ev = tb.load(spark, sf_dir, "events").select("event_id", F.col("ts").alias("datetime"))
-    return time_bucket(ev, CFG)
+    return time_bucket(ev, cfg)
 
 
-def weekly_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly_pivot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """This run's weekly counts through the next snapshot's names."""
-    r, prior, latest, cfg = _scenario(spark, sf_dir)
-    raw, _ = _raw(spark, sf_dir)
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    raw, _ = _raw(spark, sf_dir, cfg)
     snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), cfg)
     clean = clean_deltas(raw, None, cfg)
     return weekly_counts(time_bucket(clean, cfg), snap, cfg)
 
 
-def week_number_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def week_number_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Non-ISO week number."""
     o = tb.load(spark, sf_dir, "orders")
     return o.select("o_orderkey", "o_orderdate", week_number("o_orderdate").alias("week"))
 
 
-def merge_weekly_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_weekly_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Weekly counts of two halves of the readings, merged per cell."""
-    r, cfg = _view(spark, sf_dir)
+    r, cfg = _view(spark, sf_dir, cfg)
     names = tb.counter_names(r)
     old = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.CUT)), names, cfg, checked=True)
     new = weekly_from_readings(None, r.where(F.col("datetime") >= tb.ntz(tb.CUT)), names, cfg, checked=True)
@@ -158,15 +158,15 @@ def _baseline(r, names, cfg):
         "weekday_pm", F.col("weekdate").alias("base_weekdate"))
 
 
-def baseline_ratio_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+def baseline_ratio_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Weekly counts over the baseline, canonical names."""
-    r, cfg = _view(spark, sf_dir)
+    r, cfg = _view(spark, sf_dir, cfg)
     names = tb.counter_names(r)
     weekly = weekly_from_readings(None, r, names, cfg, checked=True)
     return baseline_ratio(weekly, _baseline(r, names, cfg), tb.stations_lookup(spark, sf_dir), cfg)
 
 
-def week_file_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+def week_file_date(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """The Saturday file date, its yymmdd tag, the prior file date."""
     o = tb.load(spark, sf_dir, "orders")
     fd = saturday_floor("o_orderdate")
@@ -174,7 +174,7 @@ def week_file_date(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.date_sub(fd, 7).alias("prior_date"))
 
 
-def multi_file_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multi_file_union(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Per-file frames with raw headers folded into one table."""
     o = tb.load(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
@@ -189,6 +189,33 @@ def multi_file_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_columns(u.select("o_orderkey", "c_a", "o_totalprice", "o_orderstatus"), "o_orderstatus")
 
 
+def second_week_snapshot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """D5 twice: week 2 starts from week 1's snapshot (C1's no-growth branch)."""
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    stations = tb.stations_lookup(spark, sf_dir)
+    raw1, _ = _raw(spark, sf_dir, cfg)
+    snap1, _ = next_snapshot(raw1, prior, latest, stations, cfg)
+    snap1 = snap1.persist(StorageLevel.MEMORY_AND_DISK)
+    latest2 = r.where((F.col("datetime") >= tb.ntz(tb.END)) & (F.col("datetime") < tb.ntz(tb.END2)))
+    raw2 = raw_deltas(snap1, latest2, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    snap2, _ = next_snapshot(raw2, snap1, latest2, stations, cfg)
+    return snap2
+
+
+# The same queries with every counter treated as hot: windows run per
+# (counter, 6-hour chunk) with seed rows, the vote and the latest reading use
+# grouped aggregates and joins.  They must equal the plain plans exactly.
+SPLIT_CFG = RunConfig(chunk_hours=6, max_rows_per_key=0)
+
+
+def _split(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(spark, sf_dir, SPLIT_CFG)
+    run.__name__ = fn.__name__ + "_split"
+    run.__doc__ = (fn.__doc__ or "") + " (hot-counter plan)"
+    return run
+
+
 QUERIES = {
     "flagship_weekly_counts": flagship_weekly_counts,
     "anti_set_filter": anti_set_filter,
@@ -207,4 +234,9 @@ QUERIES = {
     "baseline_ratio": baseline_ratio_q,
     "week_file_date": week_file_date,
     "multi_file_union": multi_file_union,
+    "second_week_snapshot": second_week_snapshot,
+    "raw_deltas_split": _split(raw_deltas_q),
+    "clean_deltas_split": _split(clean_deltas_q),
+    "latest_per_counter_split": _split(latest_per_counter_q),
+    "flagship_weekly_counts_split": _split(flagship_weekly_counts),
 }

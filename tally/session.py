@@ -20,6 +20,12 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Partition sizes for large inputs: scan splits and post-shuffle partitions
+    # of about 256 MB fit comfortably in executor memory; AQE coalesces small
+    # ones and splits skewed join partitions above 5x the median.
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

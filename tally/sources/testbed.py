@@ -20,12 +20,13 @@ from tally.functions.exprs import hour_chunk
 from tally.operators.chunked import largest_group, seeded_running_sum
 from tally.operators.joins import bounded_broadcast
 
-__all__ = ["SPLIT", "END", "CUT", "BASE_END", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
+__all__ = ["SPLIT", "END", "END2", "CUT", "BASE_END", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
            "latest_readings", "stations_lookup", "counter_names", "ntz"]
 
 # Fixed split points of the derived two-run scenario.
 SPLIT = dt.datetime(2024, 1, 13)        # Saturday file date of the run under test
 END = dt.datetime(2024, 1, 20)          # end of that run's readings
+END2 = dt.datetime(2024, 1, 27)         # end of the following run's readings
 CUT = dt.datetime(2024, 1, 17, 12)      # mid-week cut for the old/new weekly merge
 BASE_END = dt.datetime(2024, 1, 15)     # baseline = weekly counts before this
 NEW_COUNTER_MOD = (10, 3)               # users with id % 10 == 3 are new this run
