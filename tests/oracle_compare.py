@@ -43,6 +43,11 @@ def _norm(v):
     return ("s", str(v))
 
 
+# Spark type name -> DuckDB type name for the types the queries produce.
+TYPE_MAP = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
+            "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
+
 def rows_of(records, cols):
     return sorted(tuple(_norm(r[c]) for c in cols) for r in records)
 
@@ -56,10 +61,13 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str, con=None):
     rel = con.execute(sql)
     dcols = [d[0] for d in rel.description]
     drows = [dict(zip(dcols, r)) for r in rel.fetchall()]
+    dtypes = dict(zip(dcols, [str(t) for t in con.execute(f"DESCRIBE {sql}").fetchdf()["column_type"]]))
     scols = sorted(sdf.columns)
     out = {"name": name, "spark_rows": len(srows), "duck_rows": len(drows),
            "cols_equal": scols == sorted(dcols), "spark_sec": round(t1 - t0, 2)}
     if out["cols_equal"]:
+        stypes = {c: TYPE_MAP.get(t, t) for c, t in sdf.dtypes}
+        out["type_diff"] = {c: (stypes[c], dtypes.get(c)) for c in scols if stypes[c] != dtypes.get(c)}
         a, b = rows_of(srows, scols), rows_of(drows, scols)
         out["values_equal"] = a == b
         if a != b:
