@@ -14,19 +14,21 @@ SPLIT = RunConfig(chunk_hours=2, max_rows_per_key=0)
 
 steps = st.lists(st.integers(min_value=-30, max_value=12000), min_size=0, max_size=14)
 gaps = st.lists(st.sampled_from([0, 1, 1, 3, 11, 13, 30]), min_size=14, max_size=14)
-counter = st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 500), steps, gaps)
+counter = st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 500), steps, gaps,
+                    st.sets(st.integers(0, 14), max_size=2))
 
 
 def readings(spec):
+    """Rows of each counter; readings at the ``lost`` positions have no timestamp."""
     rows = []
-    for cid, start, deltas, gap in spec:
+    for cid, start, deltas, gap, lost in spec:
         t = dt.datetime(2024, 1, 8)
         v = float(start)
-        rows.append((cid, t, v))
-        for d, g in zip(deltas, gap):
+        rows.append((cid, None if 0 in lost else t, v))
+        for i, (d, g) in enumerate(zip(deltas, gap), start=1):
             t += dt.timedelta(hours=g)
             v += d
-            rows.append((cid, t, v))
+            rows.append((cid, None if i in lost else t, v))
     return rows
 
 
@@ -48,6 +50,6 @@ def test_plans_agree_and_outputs_in_range(spark, spec):
     split = clean_deltas(raw_s, None, SPLIT)
     a = rows(window_vote, cols)
     assert a == rows(table_vote, cols) == rows(split, cols)
-    assert all(0 <= r[4] < 10000 and r[5] >= -12 for r in a)
+    assert all(0 <= r[4] < 10000 and r[5] >= -12 and r[1] is not None for r in a)
     lat_cols = ["id", "datetime", "entries", "d_entries"]
     assert rows(latest_per_counter(raw_p, PLAIN), lat_cols) == rows(latest_per_counter(raw_s, SPLIT), lat_cols)
