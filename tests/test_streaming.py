@@ -84,3 +84,22 @@ def test_stream_matches_two_week_run(spark):
     ref = Store(ref_root)
     for t, schema in (("weekly", WEEKLY), ("snapshots", SNAPSHOT)):
         assert _rows(st.read(spark, t, WEEK2, schema)) == _rows(ref.read(spark, t, WEEK2, schema))
+
+
+def test_command_line_run(spark):
+    """``python -m tally run`` on a landed week equals the library run."""
+    from tally.__main__ import main
+
+    root = tempfile.mkdtemp(prefix="tally-cli-")
+    st, r0, stations, base = _state(spark, SF001, root)
+    stations.write.parquet(f"{root}/dims/stations.parquet")
+    base.write.parquet(f"{root}/dims/baseline.parquet")
+    d = dt.datetime.combine(WEEK1, dt.time())
+    path = land_week(r0, f"{root}/landing/{WEEK1:%y%m%d}", d, d + dt.timedelta(days=7))
+    assert main(["run", "--store", root, "--readings", path, "--run-date", "2024-01-16",
+                 "--stations", f"{root}/dims/stations.parquet",
+                 "--baseline", f"{root}/dims/baseline.parquet"]) == 0
+    ref_root = tempfile.mkdtemp(prefix="tally-ref-")
+    two_week_run(spark, SF001, ref_root)
+    ref = Store(ref_root)
+    assert _rows(st.read(spark, "weekly", WEEK1, WEEKLY)) == _rows(ref.read(spark, "weekly", WEEK1, WEEKLY))
