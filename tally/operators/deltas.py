@@ -89,14 +89,16 @@ def attach_direction(raw: DataFrame, cfg: RunConfig = RunConfig(),
     if direction is None and cfg.chunk_hours is None:
         w = Window.partitionBy("id")
         sign = F.signum("d_entries")
-        up = F.count(F.when(sign == 1, 1)).over(w)
-        down = F.count(F.when(sign == -1, 1)).over(w)
-        total = F.count(F.lit(1)).over(w)
+        counted = raw.withColumns({
+            "__up": F.count(F.when(sign == 1, 1)).over(w),
+            "__down": F.count(F.when(sign == -1, 1)).over(w),
+            "__rows": F.count(F.lit(1)).over(w),
+        })
+        up, down = F.col("__up"), F.col("__down")
         votes = F.array(F.when((up > 0) & (up >= down), F.lit(1.0)),
                         F.when((down > 0) & (down >= up), F.lit(-1.0)))
-        dirs = F.when(total >= cfg.min_rows, F.filter(votes, lambda x: x.isNotNull()))
-        return raw.withColumn("__dirs", dirs).select(
-            *raw.columns, F.explode("__dirs").alias("sign"))
+        dirs = F.when(F.col("__rows") >= cfg.min_rows, F.filter(votes, lambda x: x.isNotNull()))
+        return counted.select(*raw.columns, F.explode(dirs).alias("sign"))
     if direction is None:
         direction = dominant_direction(raw, cfg)
     return join_nullsafe(raw, bounded_broadcast(direction, cfg.broadcast_max_rows), ["id"], "inner")
