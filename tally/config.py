@@ -37,9 +37,12 @@ class RunConfig:
     # D9 replaces names by the lookup's names with no fallback (reference).
     fallback_names: bool = False
     baseline_label: str = BASELINE_LABEL
-    # Width of the time chunks that split a hot counter's readings across
-    # tasks, and the row count above which a counter counts as hot.
-    chunk_hours: int | None = 24
+    # A counter with more than ``max_rows_per_key`` rows is hot: its readings
+    # are cut into time chunks of about that many rows, at most
+    # ``chunk_seconds`` and at least ``min_chunk_seconds`` wide.  The run's
+    # check sets ``chunk_seconds`` to the chosen width, or None (no hot counter).
+    chunk_seconds: int | None = 86_400
+    min_chunk_seconds: int = 1
     max_rows_per_key: int = 1_000_000
     # Largest lookup / per-counter table broadcast to every task.
     broadcast_max_rows: int = 2_000_000

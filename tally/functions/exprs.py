@@ -14,7 +14,7 @@ __all__ = [
     "concat_strict", "not_in_keep_null", "in_set", "clean_text", "to_double",
     "nan_to_null", "parse_mdy_hms", "saturday_floor", "monday_floor", "yymmdd",
     "week_number", "epoch_micros", "gap_hours", "day_bucket", "ratio_r",
-    "inf_to_null", "hour_chunk",
+    "inf_to_null", "time_chunk",
 ]
 
 
@@ -99,11 +99,9 @@ def epoch_micros(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch().cast("timestamp_ntz"), _c(ts))
 
 
-def hour_chunk(ts, hours: int) -> Column:
-    """Index of the ``hours``-wide time chunk holding ``ts`` (null stays null)."""
-    ts = _c(ts)
-    h = F.datediff(F.to_date(ts), _epoch()).cast("long") * 24 + F.hour(ts)
-    return F.floor(h / F.lit(hours)).cast("long")
+def time_chunk(ts, seconds: int) -> Column:
+    """Index of the ``seconds``-wide time chunk holding ``ts`` (null stays null)."""
+    return F.floor(epoch_micros(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
 def gap_hours(ts, prev_ts, rounding: str = "trunc") -> Column:

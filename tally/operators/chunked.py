@@ -19,16 +19,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["seeded_lag", "seeded_running_sum", "sort_exprs", "order_key", "largest_group"]
+__all__ = ["seeded_lag", "seeded_running_sum", "sort_exprs", "order_key", "chunk_width"]
 
 _CHUNK = "__chunk"
 _SEED = "__seed"
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest ``keys`` group (one small, map-side combined job)."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
+def chunk_width(df: DataFrame, keys: list[str], ts: str, max_rows: int,
+                max_seconds: int, min_seconds: int = 1) -> int | None:
+    """Chunk width in seconds that splits the largest key into ~``max_rows``-row chunks.
+
+    One job: rows and time span per key (combined map-side), then the largest
+    key's count and span.  None when no key has more than ``max_rows`` rows.
+    Rows of one key at one instant cannot be split by time and stay together.
+    """
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                    F.min(ts).alias("t0"), F.max(ts).alias("t1"))
+    top = per_key.agg(F.max_by(F.struct("n", "t0", "t1"), "n").alias("top")).first()["top"]
+    if top is None or top["n"] <= max_rows:
+        return None
+    span = (top["t1"] - top["t0"]).total_seconds() if top["t0"] is not None else 0.0
+    width = int(span * max(max_rows, 1) / top["n"])
+    return max(min_seconds, min(max_seconds, width))
 
 
 def sort_exprs(order: list[tuple[str, bool]]) -> list[Column]:

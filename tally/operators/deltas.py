@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.functions.exprs import gap_hours, hour_chunk
-from tally.operators.chunked import largest_group, seeded_lag
+from tally.functions.exprs import gap_hours, time_chunk
+from tally.operators.chunked import chunk_width, seeded_lag
 from tally.operators.joins import bounded_broadcast, join_nullsafe
 
 __all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "reading_chunk", "split_hot_counters",
@@ -26,21 +26,22 @@ ORDER_CLEAN = ORDER_RAW + [("sign", False)]
 
 def reading_chunk(cfg: RunConfig) -> Column | None:
     """Time chunk of a reading; splits one counter's readings across tasks."""
-    return hour_chunk("datetime", cfg.chunk_hours) if cfg.chunk_hours else None
+    return time_chunk("datetime", cfg.chunk_seconds) if cfg.chunk_seconds else None
 
 
 def split_hot_counters(readings: DataFrame, cfg: RunConfig) -> RunConfig:
-    """Keep time chunking on only if some counter has more than ``max_rows_per_key`` rows.
+    """Decide the plan: chunked windows only if some counter has more than ``max_rows_per_key`` rows.
 
-    Without a hot counter a plain window per counter is cheapest; with one,
-    its readings are spread over ``chunk_hours`` chunks.  The check is one
-    grouped count, combined map-side.
+    Without a hot counter a plain window per counter is cheapest
+    (``chunk_seconds`` None).  With one, the chunk width is chosen so the
+    hottest counter's chunks hold about ``max_rows_per_key`` rows each.  The
+    check is one grouped aggregate, combined map-side.
     """
-    if not cfg.chunk_hours:
+    if not cfg.chunk_seconds:
         return cfg
-    if largest_group(readings, ["id"]) > cfg.max_rows_per_key:
-        return cfg
-    return cfg.with_(chunk_hours=None)
+    width = chunk_width(readings, ["id"], "datetime", cfg.max_rows_per_key,
+                        cfg.chunk_seconds, cfg.min_chunk_seconds)
+    return cfg.with_(chunk_seconds=width)
 
 
 def raw_deltas(prior: DataFrame | None, latest: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
@@ -81,12 +82,12 @@ def attach_direction(raw: DataFrame, cfg: RunConfig = RunConfig(),
 
     Readings of counters without a direction drop out, as the reference's
     left join followed by a null-rejecting filter does.  Without hot counters
-    (``cfg.chunk_hours`` is None) the vote is a window over the counter, on
+    (``cfg.chunk_seconds`` is None) the vote is a window over the counter, on
     the partitioning ``raw`` already has, and the tie fan-out is an
     ``explode``: no join and no shuffle.  With hot counters, or an explicit
     ``direction`` table, it is a join with the (size-checked) vote table.
     """
-    if direction is None and cfg.chunk_hours is None:
+    if direction is None and cfg.chunk_seconds is None:
         w = Window.partitionBy("id")
         sign = F.signum("d_entries")
         counted = raw.withColumns({

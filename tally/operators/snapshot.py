@@ -18,12 +18,12 @@ def latest_per_counter(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFram
     A counter with any null ``datetime`` has a null maximum in the reference
     and drops out entirely (T4).  The maximum is a grouped aggregate (combined
     map-side), joined back on ``(id, datetime)``, which spreads a hot counter
-    over many tasks.  Without hot counters (``cfg.chunk_hours`` is None) it is a
+    over many tasks.  Without hot counters (``cfg.chunk_seconds`` is None) it is a
     window over the counter on ``raw``'s own partitioning instead.
     Output ``id, datetime, entries, d_entries``.
     """
     cols = ["id", "datetime", "entries", "d_entries"]
-    if cfg.chunk_hours is None:
+    if cfg.chunk_seconds is None:
         w = Window.partitionBy("id")
         return (raw.select(*cols, F.max("datetime").over(w).alias("__max"),
                            F.max(F.col("datetime").isNull()).over(w).alias("__any_null"))

@@ -205,7 +205,7 @@ def second_week_snapshot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG)
 # The same queries with every counter treated as hot: windows run per
 # (counter, 6-hour chunk) with seed rows, the vote and the latest reading use
 # grouped aggregates and joins.  They must equal the plain plans exactly.
-SPLIT_CFG = RunConfig(chunk_hours=6, max_rows_per_key=0)
+SPLIT_CFG = RunConfig(chunk_seconds=6 * 3600, min_chunk_seconds=6 * 3600, max_rows_per_key=0)
 
 
 def _split(fn):

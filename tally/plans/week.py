@@ -45,7 +45,7 @@ def weekly_from_readings(prior: DataFrame | None, latest: DataFrame, names: Data
     if not checked:
         cfg = split_hot_counters(latest, cfg)
     raw = raw_deltas(prior, latest, cfg)
-    if cfg.chunk_hours:
+    if cfg.chunk_seconds:
         # hot counters: the vote table and the chunk seeds each re-read raw
         raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     clean = clean_deltas(raw, None, cfg)

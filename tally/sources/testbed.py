@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.functions.exprs import hour_chunk
-from tally.operators.chunked import largest_group, seeded_running_sum
+from tally.functions.exprs import time_chunk
+from tally.operators.chunked import chunk_width, seeded_running_sum
 from tally.operators.joins import bounded_broadcast
 
 __all__ = ["SPLIT", "END", "END2", "CUT", "BASE_END", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
@@ -56,11 +56,12 @@ def readings_view_cfg(spark: SparkSession, sf_dir: str,
     ev = load(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("id"), "user_id", "event_id", F.col("ts").alias("datetime"),
         F.round(F.col("value") * 100).cast("long").alias("cents"))
-    chunk = None
-    if cfg.chunk_hours and largest_group(ev, ["id"]) > cfg.max_rows_per_key:
-        chunk = hour_chunk("datetime", cfg.chunk_hours)
-    else:
-        cfg = cfg.with_(chunk_hours=None)
+    width = None
+    if cfg.chunk_seconds:
+        width = chunk_width(ev, ["id"], "datetime", cfg.max_rows_per_key,
+                            cfg.chunk_seconds, cfg.min_chunk_seconds)
+    cfg = cfg.with_(chunk_seconds=width)
+    chunk = time_chunk("datetime", width) if width else None
     # Partitioned by the counter id, so the deltas' windows can reuse it.
     run = seeded_running_sum(ev, ["id"], [("datetime", True), ("event_id", True)],
                              "cents", "total", chunk)

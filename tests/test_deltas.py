@@ -9,13 +9,13 @@ from tally.config import RunConfig
 from tally.operators import clean_deltas, dominant_direction, raw_deltas
 from tally.operators.chunked import seeded_lag, seeded_running_sum
 from tally.operators.deltas import ORDER_RAW, split_hot_counters
-from tally.functions import hour_chunk
+from tally.functions import time_chunk
 from tally.sources import testbed as tb
 from tests.conftest import READ_SCHEMA, SF01, frame, hourly, ts
 
-PLAIN = RunConfig(chunk_hours=None)
+PLAIN = RunConfig(chunk_seconds=None)
 # Chunks of one hour over hourly readings: every row is a chunk boundary.
-CHUNKED = RunConfig(chunk_hours=1, max_rows_per_key=0)
+CHUNKED = RunConfig(chunk_seconds=3600, min_chunk_seconds=3600, max_rows_per_key=0)
 
 
 def run(spark, values, cfg=PLAIN, prior=None, id_="c"):
@@ -83,7 +83,7 @@ def test_t6_nan_reading_is_dropped(spark):
 
 def test_first_interval_option(spark):
     prior = [("c", ts(8, 7), 99.0)]
-    keep = RunConfig(chunk_hours=None, keep_first_interval=True)
+    keep = RunConfig(chunk_seconds=None, keep_first_interval=True)
     _, _, ref = run(spark, [100, 101, 102, 103, 104], PLAIN, prior)
     _, _, kept = run(spark, [100, 101, 102, 103, 104], keep, prior)
     assert [r.entries for r in ref.orderBy("datetime").collect()] == [101.0, 102.0, 103.0, 104.0]
@@ -98,7 +98,7 @@ def test_t12_gap_filter(spark):
     clean = clean_deltas(raw, dominant_direction(raw, PLAIN), PLAIN)
     assert [(r.entries, r.d_time) for r in clean.orderBy("datetime").collect()] == \
         [(2.0, -1), (3.0, -1), (4.0, -12), (5.0, -12)]
-    floor = RunConfig(chunk_hours=None, gap_rounding="floor")
+    floor = RunConfig(chunk_seconds=None, gap_rounding="floor")
     clean_f = clean_deltas(raw, dominant_direction(raw, floor), floor)
     assert [r.entries for r in clean_f.orderBy("datetime").collect()] == [2.0, 3.0, 4.0]
 
@@ -121,11 +121,11 @@ def _rows(df, cols):
 def test_chunked_equals_plain_on_events(spark):
     """The skew-splitting windows give exactly the plain-window results."""
     r_plain = tb.readings_view(spark, SF01, PLAIN)
-    r_chunk = tb.readings_view(spark, SF01, RunConfig(chunk_hours=6, max_rows_per_key=0))
+    r_chunk = tb.readings_view(spark, SF01, RunConfig(chunk_seconds=21600, min_chunk_seconds=21600, max_rows_per_key=0))
     cols = ["id", "datetime", "entries"]
     assert _rows(r_plain, cols) == _rows(r_chunk, cols)
     prior, latest = tb.prior_snapshot(r_plain, PLAIN), tb.latest_readings(r_plain)
-    for cfg in (RunConfig(chunk_hours=6, max_rows_per_key=0), RunConfig(chunk_hours=1, max_rows_per_key=0)):
+    for cfg in (RunConfig(chunk_seconds=21600, min_chunk_seconds=21600, max_rows_per_key=0), RunConfig(chunk_seconds=3600, min_chunk_seconds=3600, max_rows_per_key=0)):
         raw_p = raw_deltas(prior, latest, PLAIN)
         raw_c = raw_deltas(prior, latest, cfg)
         cols = ["id", "datetime", "entries", "src", "d_entries"]
@@ -153,8 +153,10 @@ def test_window_vote_equals_vote_table(spark):
 
 def test_hot_counter_split_decision(spark):
     latest = frame(spark, hourly("hot", range(50)) + hourly("cold", range(3)), READ_SCHEMA)
-    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10)).chunk_hours == 24
-    assert split_hot_counters(latest, RunConfig(max_rows_per_key=100)).chunk_hours is None
+    # 50 hourly readings over 49 h, at most 10 rows per chunk: chunks of 49 h * 10 / 50
+    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10)).chunk_seconds == 49 * 3600 * 10 // 50
+    assert split_hot_counters(latest, RunConfig(max_rows_per_key=100)).chunk_seconds is None
+    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10, chunk_seconds=600)).chunk_seconds == 600
 
 
 def test_seeded_running_sum_matches_plain(spark):
@@ -162,8 +164,8 @@ def test_seeded_running_sum_matches_plain(spark):
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v long")
     order = [("t", True)]
     a = seeded_running_sum(df, ["k"], order, "v", "s", None)
-    b = seeded_running_sum(df, ["k"], order, "v", "s", hour_chunk("t", 2))
+    b = seeded_running_sum(df, ["k"], order, "v", "s", time_chunk("t", 7200))
     assert _rows(a, ["k", "t", "s"]) == _rows(b, ["k", "t", "s"])
     la = seeded_lag(df, ["k"], order, ["v", "t"], None)
-    lb = seeded_lag(df, ["k"], order, ["v", "t"], hour_chunk("t", 3))
+    lb = seeded_lag(df, ["k"], order, ["v", "t"], time_chunk("t", 10800))
     assert _rows(la, ["k", "t", "prev_v", "prev_t"]) == _rows(lb, ["k", "t", "prev_v", "prev_t"])

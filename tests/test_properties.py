@@ -9,8 +9,8 @@ from tally.config import RunConfig
 from tally.operators import clean_deltas, dominant_direction, raw_deltas, latest_per_counter
 from tests.conftest import READ_SCHEMA
 
-PLAIN = RunConfig(chunk_hours=None)
-SPLIT = RunConfig(chunk_hours=2, max_rows_per_key=0)
+PLAIN = RunConfig(chunk_seconds=None)
+SPLIT = RunConfig(chunk_seconds=7200, min_chunk_seconds=7200, max_rows_per_key=0)
 
 steps = st.lists(st.integers(min_value=-30, max_value=12000), min_size=0, max_size=14)
 gaps = st.lists(st.sampled_from([0, 1, 1, 3, 11, 13, 30]), min_size=14, max_size=14)

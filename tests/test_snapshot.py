@@ -4,7 +4,7 @@ from tally.config import RunConfig
 from tally.operators import latest_per_counter, next_snapshot, raw_deltas
 from tests.conftest import READ_SCHEMA, SNAP_SCHEMA, frame, ts
 
-CFG = RunConfig(chunk_hours=None)
+CFG = RunConfig(chunk_seconds=None)
 STATIONS = "station string, linename string, station_new string, linename_new string"
 
 
