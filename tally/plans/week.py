@@ -18,7 +18,6 @@ from tally.operators.compare import baseline_ratio
 from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
 from tally.operators.snapshot import next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
-from tally.schemas import SNAPSHOT, WEEKLY
 from tally.session import ensure_checkpoint_dir
 from tally.sources.store import Store
 
@@ -88,10 +87,3 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
         for df in (latest, raw):
             df.unpersist()
     return WeekResult(snapshot, new_counters, weekly, merged, delta)
-
-
-def empty(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-__all__ += ["empty", "SNAPSHOT", "WEEKLY"]
