@@ -32,3 +32,13 @@ def test_t8_reader(spark):
         ("A002_R051_02-00-03", None, "59 ST", "NQR456W", None),
         ("A002_R051_02-00-05", dt.datetime(2022, 5, 1), "59 ST", "7", None),
     ], key=str)
+
+
+def test_u3_many_files_one_scan(spark):
+    d = tempfile.mkdtemp(prefix="tally-test-")
+    for i, day in enumerate(("05/01/2022", "05/08/2022")):
+        with open(os.path.join(d, f"turnstile_22050{i}.txt"), "w") as f:
+            f.write(HEADER + f"A002,R051,02-00-00,59 ST,NQR456W,BMT,{day},00:00:00,REGULAR,{i + 1},1\n")
+    paths = [os.path.join(d, n) for n in sorted(os.listdir(d))]
+    df = read_readings(spark, paths)
+    assert sorted(r.entries for r in df.collect()) == [1.0, 2.0]

@@ -60,30 +60,43 @@ def test_backfill_matches_two_week_run(spark):
         assert _rows(st.read(spark, t, WEEK2, schema)) == _rows(ref.read(spark, t, WEEK2, schema))
 
 
+def _land_file(spark, r0, root, landing, day):
+    """One file per week, as published: the week's rows written with the csv module."""
+    d = dt.datetime.combine(day, dt.time())
+    folder = land_week(r0, f"{root}/tmp/{day:%y%m%d}", d, d + dt.timedelta(days=7))
+    rows = spark.read.option("header", True).csv(folder).collect()
+    path = os.path.join(landing, f"turnstile_{day:%y%m%d}.txt")
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(["C/A", "UNIT", "SCP", "STATION", "LINENAME", "DIVISION", "DATE", "TIME",
+                    "DESC", "ENTRIES", "EXITS"])
+        w.writerows([list(r) for r in rows])
+    os.utime(path, (d.timestamp(), d.timestamp()))
+
+
 def test_stream_matches_two_week_run(spark):
     ref_root = tempfile.mkdtemp(prefix="tally-ref-")
     two_week_run(spark, SF001, ref_root)
     root = tempfile.mkdtemp(prefix="tally-st-")
     st, r0, stations, base = _state(spark, SF001, root)
-    # one file per week, as published: write each week's rows with the csv module
     landing = os.path.join(root, "landing")
     os.makedirs(landing)
-    for day in (WEEK1, WEEK2):
-        d = dt.datetime.combine(day, dt.time())
-        folder = land_week(r0, f"{root}/tmp/{day:%y%m%d}", d, d + dt.timedelta(days=7))
-        rows = spark.read.option("header", True).csv(folder).collect()
-        with open(os.path.join(landing, f"turnstile_{day:%y%m%d}.txt"), "w", newline="") as f:
-            w = csv.writer(f)
-            w.writerow(["C/A", "UNIT", "SCP", "STATION", "LINENAME", "DIVISION", "DATE", "TIME",
-                        "DESC", "ENTRIES", "EXITS"])
-            w.writerows([list(r) for r in rows])
-        os.utime(os.path.join(landing, f"turnstile_{day:%y%m%d}.txt"), (d.timestamp(), d.timestamp()))
-    q = start_weekly_stream(spark, landing, st, os.path.join(root, "ckpt"), stations, base, CFG)
+    ckpt = os.path.join(root, "ckpt")
+    # week 1 lands and is processed; the stream stops
+    _land_file(spark, r0, root, landing, WEEK1)
+    q = start_weekly_stream(spark, landing, st, ckpt, stations, base, CFG)
+    q.awaitTermination(600)
+    assert q.exception() is None
+    assert st.exists(spark, "weekly", WEEK1) and not st.exists(spark, "weekly", WEEK2)
+    # week 2 lands; the restarted stream resumes from its checkpoint and runs week 2 only
+    _land_file(spark, r0, root, landing, WEEK2)
+    q = start_weekly_stream(spark, landing, st, ckpt, stations, base, CFG)
     q.awaitTermination(600)
     assert q.exception() is None
     ref = Store(ref_root)
-    for t, schema in (("weekly", WEEKLY), ("snapshots", SNAPSHOT)):
-        assert _rows(st.read(spark, t, WEEK2, schema)) == _rows(ref.read(spark, t, WEEK2, schema))
+    for day in (WEEK1, WEEK2):
+        for t, schema in (("weekly", WEEKLY), ("snapshots", SNAPSHOT)):
+            assert _rows(st.read(spark, t, day, schema)) == _rows(ref.read(spark, t, day, schema))
 
 
 def test_command_line_run(spark):
