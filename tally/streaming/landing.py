@@ -1,7 +1,7 @@
 """Run the weekly job whenever a readings file lands.
 
 The reference is a batch script run once a week on the newest file, one file
-per week as published (``turnstile_yymmdd.txt``).  Here a
+per week as published (``readings_yymmdd.txt``).  Here a
 Structured Streaming file source watches the landing folder; each
 micro-batch takes one file (``maxFilesPerTrigger=1``, oldest first) and
 ``foreachBatch`` runs the weekly job on it against the store's previous

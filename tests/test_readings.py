@@ -20,7 +20,7 @@ def test_t8_reader(spark):
         "\"A,3\",R051,02-00-06,\"59 ST, X\",7,RIT,05/01/2022,00:00:00,REGULAR,5,1\n"
     )
     d = tempfile.mkdtemp(prefix="tally-test-")
-    with open(os.path.join(d, "turnstile_220507.txt"), "w") as f:
+    with open(os.path.join(d, "readings_220507.txt"), "w") as f:
         f.write(HEADER + body)
     df = read_readings(spark, d)
     assert df.columns == ["id", "datetime", "station", "linename", "entries"]
@@ -37,7 +37,7 @@ def test_t8_reader(spark):
 def test_u3_many_files_one_scan(spark):
     d = tempfile.mkdtemp(prefix="tally-test-")
     for i, day in enumerate(("05/01/2022", "05/08/2022")):
-        with open(os.path.join(d, f"turnstile_22050{i}.txt"), "w") as f:
+        with open(os.path.join(d, f"readings_22050{i}.txt"), "w") as f:
             f.write(HEADER + f"A002,R051,02-00-00,59 ST,NQR456W,BMT,{day},00:00:00,REGULAR,{i + 1},1\n")
     paths = [os.path.join(d, n) for n in sorted(os.listdir(d))]
     df = read_readings(spark, paths)

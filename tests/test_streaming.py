@@ -41,7 +41,7 @@ def _rows(df):
 
 
 def test_file_date_of():
-    assert file_date_of("/x/turnstile_220507.txt") == dt.date(2022, 5, 7)
+    assert file_date_of("/x/readings_220507.txt") == dt.date(2022, 5, 7)
 
 
 def test_backfill_matches_two_week_run(spark):
@@ -65,7 +65,7 @@ def _land_file(spark, r0, root, landing, day):
     d = dt.datetime.combine(day, dt.time())
     folder = land_week(r0, f"{root}/tmp/{day:%y%m%d}", d, d + dt.timedelta(days=7))
     rows = spark.read.option("header", True).csv(folder).collect()
-    path = os.path.join(landing, f"turnstile_{day:%y%m%d}.txt")
+    path = os.path.join(landing, f"readings_{day:%y%m%d}.txt")
     with open(path, "w", newline="") as f:
         w = csv.writer(f)
         w.writerow(["C/A", "UNIT", "SCP", "STATION", "LINENAME", "DIVISION", "DATE", "TIME",
