@@ -1,6 +1,6 @@
 """Command line: the weekly job as a script, like the reference.
 
-    python -m tally run      --store ROOT --readings PATH --stations PATH --baseline PATH [--run-date D]
+    python -m tally run      --store ROOT --readings PATH --stations PATH --baseline PATH [--run-date D] [--csv]
     python -m tally backfill --store ROOT --landing DIR   --stations PATH --baseline PATH
     python -m tally stream   --store ROOT --landing DIR   --stations PATH --baseline PATH --checkpoint DIR
 
@@ -56,10 +56,11 @@ def main(argv=None) -> int:
     ap.add_argument("--run-date", type=dt.date.fromisoformat)
     ap.add_argument("--master")
     ap.add_argument("--baseline-label", default="2022")
+    ap.add_argument("--csv", action="store_true", help="also export snapshot and accumulated table as CSV")
     a = ap.parse_args(argv)
 
     spark = get_session(a.master)
-    cfg = RunConfig(run_date=a.run_date, baseline_label=a.baseline_label)
+    cfg = RunConfig(run_date=a.run_date, baseline_label=a.baseline_label, export_state_csv=a.csv)
     store = Store(a.store)
     stations = _lookup(spark, a.stations, STATIONS)
     baseline = _lookup(spark, a.baseline, BASELINE)

@@ -46,6 +46,9 @@ class RunConfig:
     max_rows_per_key: int = 1_000_000
     # Largest lookup / per-counter table broadcast to every task.
     broadcast_max_rows: int = 2_000_000
+    # Also export the snapshot and the accumulated table as CSV, as the
+    # reference writes them (missing as "NA" and as empty respectively).
+    export_state_csv: bool = False
     peak_hours: tuple = PEAK_HOURS
     weekend_days: tuple = WEEKEND_DAYS
     extra: dict = field(default_factory=dict)

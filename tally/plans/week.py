@@ -70,6 +70,8 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
         if new_counters is not None:
             store.write(new_counters, "new_counters", day)
         snapshot = store.publish(spark, snapshot, "snapshots", day)
+        if cfg.export_state_csv:
+            store.export_csv(snapshot, "snapshots_csv", day, null_value="NA")
     else:
         # no store: cut the lineage in the cluster's checkpoint folder instead
         ensure_checkpoint_dir(spark)
@@ -80,6 +82,8 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     merged = merge_weekly(weekly, accumulated)
     if store is not None:
         merged = store.publish(spark, merged, "weekly", day)
+        if cfg.export_state_csv:
+            store.export_csv(merged, "weekly_csv", day)
     delta = baseline_ratio(merged, baseline, stations, cfg)
     if store is not None:
         store.export_csv(delta, "baseline_delta", day)

@@ -67,9 +67,9 @@ class Store:
                 .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'")
                 .csv(self.path(table, run_date)))
 
-    def export_csv(self, df: DataFrame, table: str, run_date: dt.date) -> str:
-        """K4: CSV hand-over; missing is empty, timestamps ISO 8601 with ``Z``."""
+    def export_csv(self, df: DataFrame, table: str, run_date: dt.date, null_value: str = "") -> str:
+        """K2-K4: CSV hand-over; missing is ``null_value``, timestamps ISO 8601 with ``Z``."""
         p = self.path(table, run_date)
-        (df.write.mode("overwrite").option("header", True).option("nullValue", "")
+        (df.write.mode("overwrite").option("header", True).option("nullValue", null_value)
          .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(p))
         return p

@@ -109,10 +109,16 @@ def test_command_line_run(spark):
     base.write.parquet(f"{root}/dims/baseline.parquet")
     d = dt.datetime.combine(WEEK1, dt.time())
     path = land_week(r0, f"{root}/landing/{WEEK1:%y%m%d}", d, d + dt.timedelta(days=7))
-    assert main(["run", "--store", root, "--readings", path, "--run-date", "2024-01-16",
+    assert main(["run", "--store", root, "--readings", path, "--run-date", "2024-01-16", "--csv",
                  "--stations", f"{root}/dims/stations.parquet",
                  "--baseline", f"{root}/dims/baseline.parquet"]) == 0
     ref_root = tempfile.mkdtemp(prefix="tally-ref-")
     two_week_run(spark, SF001, ref_root)
     ref = Store(ref_root)
     assert _rows(st.read(spark, "weekly", WEEK1, WEEKLY)) == _rows(ref.read(spark, "weekly", WEEK1, WEEKLY))
+    # CSV exports of the state tables, as the reference writes them
+    w_csv = st.read_csv(spark, "weekly_csv", WEEK1, WEEKLY)
+    assert _rows(w_csv) == _rows(st.read(spark, "weekly", WEEK1, WEEKLY))
+    snap_csv = (spark.read.schema(SNAPSHOT).option("header", True).option("nullValue", "NA")
+                .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(st.path("snapshots_csv", WEEK1)))
+    assert _rows(snap_csv) == _rows(st.read(spark, "snapshots", WEEK1, SNAPSHOT))
