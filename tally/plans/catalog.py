@@ -37,9 +37,14 @@ def _scenario(spark, sf_dir, cfg):
     return r, tb.prior_snapshot(r, cfg), tb.latest_readings(r), cfg
 
 
+def _raw_of(prior, latest, cfg):
+    """D2 of the scenario, persisted: the queries below read it several times."""
+    return raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _raw(spark, sf_dir, cfg):
     r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
-    return raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK), cfg
+    return _raw_of(prior, latest, cfg), cfg
 
 
 def flagship_weekly_counts(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
@@ -105,14 +110,14 @@ def latest_per_counter_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG)
 def snapshot_full_join_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Latest rows full-joined with the prior snapshot's names."""
     r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
-    raw, _ = _raw(spark, sf_dir, cfg)
+    raw = _raw_of(prior, latest, cfg)
     return snapshot_join(latest_per_counter(raw, cfg), prior)
 
 
 def new_counter_enrichment(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """The next snapshot, new counters named from the lookup."""
     r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
-    raw, _ = _raw(spark, sf_dir, cfg)
+    raw = _raw_of(prior, latest, cfg)
     snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), cfg)
     return snap
 
@@ -126,7 +131,7 @@ def time_bucket_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> Dat
 def weekly_pivot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """This run's weekly counts through the next snapshot's names."""
     r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
-    raw, _ = _raw(spark, sf_dir, cfg)
+    raw = _raw_of(prior, latest, cfg)
     snap, _ = next_snapshot(raw, prior, latest, tb.stations_lookup(spark, sf_dir), cfg)
     clean = clean_deltas(raw, None, cfg)
     return weekly_counts(time_bucket(clean, cfg), snap, cfg)
@@ -193,7 +198,7 @@ def second_week_snapshot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG)
     """D5 twice: week 2 starts from week 1's snapshot (C1's no-growth branch)."""
     r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
     stations = tb.stations_lookup(spark, sf_dir)
-    raw1, _ = _raw(spark, sf_dir, cfg)
+    raw1 = _raw_of(prior, latest, cfg)
     snap1, _ = next_snapshot(raw1, prior, latest, stations, cfg)
     snap1 = snap1.persist(StorageLevel.MEMORY_AND_DISK)
     latest2 = r.where((F.col("datetime") >= tb.ntz(tb.END)) & (F.col("datetime") < tb.ntz(tb.END2)))
