@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 # Fixed values of the reference's weekly job.
@@ -51,7 +51,6 @@ class RunConfig:
     export_state_csv: bool = False
     peak_hours: tuple = PEAK_HOURS
     weekend_days: tuple = WEEKEND_DAYS
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **changes) -> "RunConfig":
         return replace(self, **changes)
