@@ -14,7 +14,24 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["join_nullsafe", "bounded_broadcast"]
+__all__ = ["join_nullsafe", "bounded_broadcast", "hold", "release"]
+
+# Frames persisted by the operators (checked broadcast sides, the D5 join);
+# a run releases them once its outputs are written.
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist ``df`` (memory, spilling to disk) until the next ``release()``."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(df)
+    return df
+
+
+def release() -> None:
+    """Unpersist every frame held since the last release."""
+    while _HELD:
+        _HELD.pop().unpersist()
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -27,10 +44,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     if max_rows <= 0:
         return df
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    df.unpersist()
+    held = hold(df)
+    if held.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(held)
+    _HELD.remove(held)
+    held.unpersist()
     return df
 
 

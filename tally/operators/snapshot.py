@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.operators.joins import bounded_broadcast, join_nullsafe
+from tally.operators.joins import bounded_broadcast, hold, join_nullsafe
 
 __all__ = ["latest_per_counter", "snapshot_join", "enrich_new_counters", "next_snapshot"]
 
@@ -72,8 +71,7 @@ def next_snapshot(raw: DataFrame, prior: DataFrame, latest: DataFrame, stations:
     Branch C1 compares two row counts on the driver (scalars only), taken in
     one job.  The joined table is persisted so the branch does not recompute it.
     """
-    joined = snapshot_join(latest_per_counter(raw, cfg), prior)
-    joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
+    joined = hold(snapshot_join(latest_per_counter(raw, cfg), prior))
     if _grew(joined, prior):
         old = joined.where(F.col("station").isNotNull()).drop("d_entries")
         new = enrich_new_counters(joined.where(F.col("station").isNull()), latest, stations, cfg)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tally.config import RunConfig
 from tally.operators.compare import baseline_ratio
 from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
+from tally.operators.joins import release
 from tally.operators.snapshot import next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.session import ensure_checkpoint_dir
@@ -57,8 +58,9 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     """Run one week.  ``latest`` is D1's output for this run's file.
 
     With a ``store``, the snapshot, new counters, merged table and baseline
-    export are written as version ``cfg.file_date()`` and later steps read the
-    written snapshot back (K5).  ``raw`` has three consumers and is persisted.
+    export are written as version ``cfg.file_date()``, later steps read the
+    written snapshot back (K5), and everything the run persisted is released
+    at the end.  ``raw`` has three consumers and is persisted.
     """
     day = cfg.file_date()
     latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
@@ -90,4 +92,5 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
         delta = store.read_csv(spark, "baseline_delta", day, delta.schema)
         for df in (latest, raw):
             df.unpersist()
+        release()
     return WeekResult(snapshot, new_counters, weekly, merged, delta)
