@@ -15,6 +15,9 @@ PEAK_HOURS = (8, 9, 10, 11, 18, 19, 20, 21)  # weekday hours kept for the rollup
 WEEKEND_DAYS = (1, 7)                        # Spark dayofweek: Sunday 1, Saturday 7
 BUCKETS = ("weekend", "weekday_am", "weekday_pm")
 BASELINE_LABEL = "2022"                      # suffix of this year's columns in D9
+READING_TIME_FORMAT = "M/d/yyyy H:mm:ss"     # date and time cells of the readings file
+FILE_TAG_FORMAT = "yyMMdd"                   # date label of a weekly file
+MISSING_MARKERS = ("", "NA")                 # text cells read as missing
 
 
 @dataclass(frozen=True)

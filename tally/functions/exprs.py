@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tally.config import FILE_TAG_FORMAT, MISSING_MARKERS, READING_TIME_FORMAT
+
 __all__ = [
     "concat_strict", "not_in_keep_null", "in_set", "clean_text", "to_double",
     "nan_to_null", "parse_mdy_hms", "saturday_floor", "monday_floor", "yymmdd",
@@ -46,7 +48,7 @@ def not_in_keep_null(c, values) -> Column:
     return ~in_set(c, values)
 
 
-def clean_text(c, na_values=("", "NA")) -> Column:
+def clean_text(c, na_values=MISSING_MARKERS) -> Column:
     """Trim a text cell and turn the missing markers into null."""
     t = F.trim(_c(c))
     return F.when(~t.isin(list(na_values)), t)
@@ -63,7 +65,7 @@ def to_double(c) -> Column:
     return nan_to_null(clean_text(c).try_cast("double"))
 
 
-def parse_mdy_hms(c, fmt: str = "M/d/yyyy H:mm:ss") -> Column:
+def parse_mdy_hms(c, fmt: str = READING_TIME_FORMAT) -> Column:
     """E5: month/day/year h:m:s to TIMESTAMP_NTZ; bad text gives null.
 
     ``try_to_timestamp`` guards the strict NTZ parser so malformed rows never
@@ -86,7 +88,7 @@ def monday_floor(ts) -> Column:
 
 def yymmdd(d) -> Column:
     """``%y%m%d`` label of a date."""
-    return F.date_format(_c(d), "yyMMdd")
+    return F.date_format(_c(d), FILE_TAG_FORMAT)
 
 
 def week_number(ts) -> Column:
