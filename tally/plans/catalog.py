@@ -7,6 +7,8 @@ All read the whole tables.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -23,6 +25,7 @@ from tally.operators.snapshot import latest_per_counter, next_snapshot, snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.plans.week import weekly_from_readings
 from tally.sources import testbed as tb
+from tally.sources.readings import read_readings
 
 CFG = RunConfig()
 
@@ -207,6 +210,22 @@ def second_week_snapshot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG)
     return snap2
 
 
+def read_readings_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """D1 (S1 P1 P2 F1 P3 E1 E5): all readings landed as a readings file, read back and cleaned.
+
+    The file is written by Spark into the session's checkpoint folder (the
+    cluster's shared scratch), one folder per scale directory.
+    """
+    from tally.plans.e2e import land_week
+    from tally.session import ensure_checkpoint_dir
+
+    r, cfg = _view(spark, sf_dir, cfg)
+    tag = re.sub(r"[^A-Za-z0-9.]+", "_", sf_dir.strip("/"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-landing/{tag}"
+    land_week(r, path, dt.datetime(1900, 1, 1), dt.datetime(2100, 1, 1))
+    return read_readings(spark, path, cfg)
+
+
 # The same queries with every counter treated as hot: windows run per
 # (counter, 6-hour chunk) with seed rows, the vote and the latest reading use
 # grouped aggregates and joins.  They must equal the plain plans exactly.
@@ -240,6 +259,7 @@ QUERIES = {
     "week_file_date": week_file_date,
     "multi_file_union": multi_file_union,
     "second_week_snapshot": second_week_snapshot,
+    "read_readings": read_readings_q,
     "raw_deltas_split": _split(raw_deltas_q),
     "clean_deltas_split": _split(clean_deltas_q),
     "latest_per_counter_split": _split(latest_per_counter_q),

@@ -270,6 +270,12 @@ FROM (SELECT o_orderkey,
 
     "multi_file_union": "SELECT o_orderkey, o_orderpriority AS c_a, o_totalprice FROM orders",
 
+    "read_readings": _with(_BASE) + """
+SELECT 'A' || lpad(id, 4, '0') || '_R' || lpad(CAST(CAST(id AS BIGINT) % 25 AS VARCHAR), 3, '0') || '_00-00-00'
+         AS id,
+       date_trunc('second', datetime) AS datetime, station, linename, entries
+FROM r WHERE CAST(id AS BIGINT) % 50 <> 49""",
+
     "second_week_snapshot": _with(
         _RUN, _LATEST_ROWS,
         "\nlatest2 AS (SELECT * FROM r WHERE datetime >= TIMESTAMP '2024-01-20 00:00:00'"
