@@ -88,3 +88,27 @@ def test_run_week_without_store_checkpoints(spark):
     assert spark.sparkContext.getCheckpointDir()
     assert res.snapshot.count() == r.select("id").distinct().count()
     assert res.delta.count() == res.accumulated.count()
+
+
+def test_single_shuffle_of_the_readings(spark):
+    """Plain plan: D2-D4 shuffle the readings once (by id); D7 pre-aggregates before its join."""
+    import re
+
+    from tally.config import RunConfig
+    from tally.operators import clean_deltas, raw_deltas, time_bucket, weekly_counts
+    from tally.sources import testbed as tb
+
+    root = tempfile.mkdtemp(prefix="tally-plan-")
+    r = tb.readings_view(spark, SF001)
+    r.write.parquet(f"{root}/readings")
+    scan = spark.read.parquet(f"{root}/readings")
+    plain = RunConfig(chunk_seconds=None)
+    clean = clean_deltas(raw_deltas(None, scan, plain), None, plain)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(exchanges) == 1 and exchanges[0].startswith("id#"), exchanges
+    weekly = weekly_counts(time_bucket(clean, plain), tb.counter_names(r), plain)
+    plan = weekly._jdf.queryExecution().executedPlan().toString()
+    # tree strings list parents before children: the per-counter aggregate sits below the first join
+    join = re.search(r"(SortMerge|BroadcastHash|ShuffledHash)Join", plan).start()
+    assert plan.index("HashAggregate(keys=[id#") > join
