@@ -112,3 +112,24 @@ def test_single_shuffle_of_the_readings(spark):
     # tree strings list parents before children: the per-counter aggregate sits below the first join
     join = re.search(r"(SortMerge|BroadcastHash|ShuffledHash)Join", plan).start()
     assert plan.index("HashAggregate(keys=[id#") > join
+
+
+def test_hot_counter_plan_partitions_by_chunk(spark):
+    """Hot plan: the readings windows are partitioned by (id, time chunk), not by id alone."""
+    import re
+
+    from tally.config import RunConfig
+    from tally.operators import clean_deltas, raw_deltas
+    from tally.sources import testbed as tb
+
+    r = tb.readings_view(spark, SF001)
+    hot = RunConfig(chunk_seconds=6 * 3600, min_chunk_seconds=6 * 3600, max_rows_per_key=0)
+    clean = clean_deltas(raw_deltas(None, r, hot), None, hot)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    # Window [expressions], [partition keys], [order].  Lags over the readings run per
+    # (id, chunk); only the small per-chunk summaries (lag of __last) are windowed per id.
+    windows = re.findall(r"Window \[(lag\([^\]]*)\], \[([^\]]*)\], \[", plan)
+    readings = [keys for expr, keys in windows if not expr.startswith("lag(__last")]
+    summaries = [keys for expr, keys in windows if expr.startswith("lag(__last")]
+    assert readings and all("__chunk" in k for k in readings), readings
+    assert summaries and all("__chunk" not in k for k in summaries), summaries
