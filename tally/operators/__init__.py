@@ -1,14 +1,16 @@
 """Composite operators D2-D9 and the helpers they are built from."""
 
-from tally.operators.joins import bounded_broadcast, join_nullsafe
-from tally.operators.chunked import seeded_lag, seeded_running_sum
-from tally.operators.deltas import raw_deltas, dominant_direction, clean_deltas
+from tally.operators.joins import bounded_broadcast, hold, join_nullsafe, release
+from tally.operators.chunked import chunk_width, seeded_lag, seeded_running_sum
+from tally.operators.deltas import (attach_direction, clean_deltas, dominant_direction, raw_deltas,
+                                    split_hot_counters)
 from tally.operators.snapshot import latest_per_counter, snapshot_join, next_snapshot
 from tally.operators.weekly import time_bucket, weekly_counts, merge_weekly
 from tally.operators.compare import baseline_ratio
 
 __all__ = [
-    "bounded_broadcast", "join_nullsafe", "seeded_lag", "seeded_running_sum",
+    "bounded_broadcast", "hold", "release", "join_nullsafe", "chunk_width", "seeded_lag",
+    "seeded_running_sum", "split_hot_counters", "attach_direction",
     "raw_deltas", "dominant_direction", "clean_deltas", "latest_per_counter",
     "snapshot_join", "next_snapshot", "time_bucket", "weekly_counts",
     "merge_weekly", "baseline_ratio",
