@@ -47,8 +47,9 @@ class RunConfig:
     chunk_seconds: int | None = 86_400
     min_chunk_seconds: int = 1
     max_rows_per_key: int = 1_000_000
-    # Largest lookup / per-counter table broadcast to every task.
-    broadcast_max_rows: int = 2_000_000
+    # Largest lookup / per-counter table broadcast to every task (about 50 MB
+    # for a per-counter table); larger sides are joined by shuffle.
+    broadcast_max_rows: int = 1_000_000
     # Also export the snapshot and the accumulated table as CSV, as the
     # reference writes them (missing as "NA" and as empty respectively).
     export_state_csv: bool = False
