@@ -37,3 +37,15 @@ def test_chunk_width(spark):
     assert chunk_width(df, ["id"], "datetime", 10, 86400) == 99 * 60 * 10 // 100
     same = spark.createDataFrame([("hot", t0)] * 20, "id string, datetime timestamp_ntz")
     assert chunk_width(same, ["id"], "datetime", 5, 86400, 7) == 7          # one instant: floor width
+
+
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    import tempfile
+
+    from tally.session import ensure_checkpoint_dir
+
+    named = tempfile.mkdtemp(prefix="tally-shared-")
+    spark.sparkContext.setCheckpointDir(named)
+    got = ensure_checkpoint_dir(spark)
+    assert got == spark.sparkContext.getCheckpointDir()
+    assert got.rstrip("/").split("/")[-2].startswith("tally-shared-") or named in got
