@@ -20,6 +20,8 @@ from tally.session import ensure_checkpoint_dir
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _WORD = np.ones(256, dtype=bool)
 _WORD[list(SPACES)] = False
+#: Bytes of letters, digits and all non-ASCII characters.
+_ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: ASCII lower-casing of bytes.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -97,15 +99,16 @@ class Words:
     """Words of a batch of texts: byte spans, 64-bit hashes and each text's first word.
 
     ``first[i]`` .. ``first[i + 1]`` are the words of text i.  A word is a run of
-    bytes that are not ASCII white space; it never crosses texts.
+    bytes that are not ASCII white space (``alnum``: ASCII letters and digits and
+    anything beyond ASCII); it never crosses texts.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, alnum: bool = False):
         data, self.offsets = text_bytes(column)
         if lower:
             data = _LOWER[data]
         self.data = data
-        inside = _WORD[data]
+        inside = (_ALNUM if alnum else _WORD)[data]
         begin, end = inside.copy(), inside.copy()
         if len(data):
             begin[1:] &= ~inside[:-1]

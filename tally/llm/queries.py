@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tally.llm import quality, simhash
+from tally.llm import quality, simhash, suffix
 
 #: Arrow batches of whole texts stay small, whatever their length.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -20,6 +20,7 @@ def _with_settings(fn):
 _ALL = {
     "op3_quality": quality.query,
     "op6_simhash": simhash.query,
+    "op8_suffix_dedup": suffix.query,
 }
 
 QUERIES = {k: _with_settings(f) for k, f in _ALL.items()}
