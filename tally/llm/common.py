@@ -138,9 +138,16 @@ class Words:
             ok[:m] = np.arange(m) + n <= last[:m]
         return out, ok
 
+    def ngrams_at(self, n: int, at: int, count: int) -> np.ndarray:
+        """Hashes of the ``count`` n-grams from word ``at`` on."""
+        acc = np.full(count, n, dtype=np.uint64)
+        for j in range(n):
+            acc = mix64(acc * _BASE + self.hash[at + j:at + j + count])
+        return acc
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it back: cuts lineage.
+
+def keep(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a table (cut by column ``by``) to the shared checkpoint folder and read it back: cuts lineage.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a later
     step reads finished files, so losing an executor never recomputes what came
@@ -148,7 +155,8 @@ def keep(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tally-llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tally_path = path
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tally.llm import quality, simhash, suffix
+from tally.llm import decontam, langid, lengths, pieces, quality, shards, simhash, suffix
 
 #: Arrow batches of whole texts stay small, whatever their length.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -18,9 +18,14 @@ def _with_settings(fn):
 
 
 _ALL = {
+    "op1_decontaminate": decontam.query,
+    "op2_pieces": pieces.query,
     "op3_quality": quality.query,
     "op6_simhash": simhash.query,
+    "op7_langid": langid.query,
     "op8_suffix_dedup": suffix.query,
+    "op9_shards": shards.query,
+    "op10_lengths": lengths.query,
 }
 
 QUERIES = {k: _with_settings(f) for k, f in _ALL.items()}
