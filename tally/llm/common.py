@@ -171,6 +171,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bind(value, body):
+    """``body(value)`` as one expression that evaluates ``value`` once a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tally.llm.common import bind, read
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -45,11 +47,6 @@ RULES = (
 )
 
 
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _repeat_words(words: Column, window: int) -> Column:
     """Words inside ``window``-word runs that occur at least twice in the text.
 
@@ -59,7 +56,7 @@ def _repeat_words(words: Column, window: int) -> Column:
 
     def covered(h):
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        again = _bind(placed, lambda s: F.filter(s, lambda x, k: (
+        again = bind(placed, lambda s: F.filter(s, lambda x, k: (
             (F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))))
         starts = F.sort_array(F.transform(again, lambda x: x["p"]))
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last"))
@@ -67,7 +64,7 @@ def _repeat_words(words: Column, window: int) -> Column:
             (a["n"] + F.least(F.lit(window), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
     # most texts have no repeated run: one hash set settles those
-    seen = _bind(runs, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
+    seen = bind(runs, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(words) > window, seen).otherwise(F.lit(0).cast("long"))
 
 
@@ -98,7 +95,7 @@ def measures(docs: DataFrame, stop_words: str = STOP_WORDS, window: int = WINDOW
             (pairs / per_word).alias("same_word_share"))
 
     # words and lines are bound in lambdas, so each is split once a row
-    got = _bind(words, lambda w: _bind(lines, lambda ln: of(w, ln)))
+    got = bind(words, lambda w: bind(lines, lambda ln: of(w, ln)))
     return docs.withColumn("measures", got)
 
 
@@ -136,7 +133,6 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from tally.llm.common import read
     got = quality(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "measures.n_words", "measures.word_chars", "measures.n_symbols", "measures.n_dup_lines",
                       "measures.n_repeat_words", "base_failed", "kept")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tally.llm import decontam, langid, lengths, pieces, quality, shards, simhash, suffix
+from tally.llm import decontam, langid, lengths, licenses, lm, pieces, quality, shards, simhash, suffix
 
 #: Arrow batches of whole texts stay small, whatever their length.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
+def apply_settings(spark) -> None:
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+
+
 def _with_settings(fn):
     def run(spark, sf_dir):
-        for k, v in SETTINGS.items():
-            spark.conf.set(k, v)
+        apply_settings(spark)
         return fn(spark, sf_dir)
     run.__name__, run.__doc__ = fn.__module__.rpartition(".")[2], fn.__doc__
     return run
@@ -21,6 +25,8 @@ _ALL = {
     "op1_decontaminate": decontam.query,
     "op2_pieces": pieces.query,
     "op3_quality": quality.query,
+    "op4_licenses": licenses.query,
+    "op5_backoff": lm.query,
     "op6_simhash": simhash.query,
     "op7_langid": langid.query,
     "op8_suffix_dedup": suffix.query,

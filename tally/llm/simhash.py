@@ -18,9 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tally.llm.common import fp_hex, keep, partitions
+from tally.llm.common import fp_hex, keep, partitions, read
 from tally.llm.graph import connected_components
 
 SEED = 42
@@ -53,14 +52,15 @@ def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """``(doc_id, digest, fp)`` of every row; ``fp`` is the fingerprint as a signed long, ``digest`` a hash of the text."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, digest long, fp long")
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -155,6 +155,14 @@ def near_links(fps: DataFrame, max_bits: int = 4, bucket: int = 4096) -> DataFra
             .mapInArrow(_bucket_links(max_bits), "u long, v long"))
 
 
+def _roots(rows: DataFrame, max_bits: int, bucket: int) -> DataFrame:
+    """``(fp, root, first)``: each fingerprint's component and its own first row (ids first, nulls last)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
+    distinct = rows.groupBy("fp").agg(first)
+    nodes = connected_components(near_links(distinct.select("fp"), max_bits, bucket))
+    return distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket: int = 4096) -> DataFrame:
     """``(doc_id, fp, fingerprint, component_id)`` of every row of ``docs``.
 
@@ -167,26 +175,30 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket:
     table gives an empty result; other columns are not read.
     """
     rows = keep(fingerprints(docs, shingle))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = connected_components(near_links(distinct.select("fp"), max_bits, bucket))
-    roots = (distinct.join(nodes, distinct.fp == nodes.node, "left")
-             .select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    first = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.join(first, "root").select("fp", "component_id")
+    roots = _roots(rows, max_bits, bucket)
+    first = roots.groupBy("root").agg(F.min("first").alias("first"))
+    of = roots.select("fp", "root").join(first, "root").select("fp", F.col("first.doc_id").alias("component_id"))
     return rows.join(of, "fp").select("doc_id", "fp", fp_hex("fp").alias("fingerprint"), "component_id")
 
 
-def simhash_keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose ``doc_id`` is the smallest of its group.
+def simhash_keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket: int = 4096) -> DataFrame:
+    """One row of each group, with all columns of ``docs``: the one with the smallest ``doc_id``.
 
-    Rows that repeat that very ``doc_id`` are one document each time and stay
-    together; groups without any ``doc_id`` keep all rows.
+    Among rows with that id, or in a group without ids, the smallest hash of the
+    text decides; of rows equal in both one stays.
     """
-    first = simhash_groups(docs, shingle, max_bits)
-    gone = first.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = keep(fingerprints(docs, shingle))
+    first = _roots(rows, max_bits, bucket).groupBy("root").agg(F.min("first").alias("first"))
+    chosen = keep(first.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"),
+                      F.xxhash64(F.col("text").cast("string")).alias("_digest"))
+    match = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_digest"] == b["_digest"])
+    kept = row.join(chosen, match(row, chosen), "left_semi")
+    again = rows.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.join(chosen, match(again, chosen), "left_semi").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_digest"])
+    return kept.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from tally.llm.common import read
     return simhash_groups(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
