@@ -56,6 +56,29 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, block) -> each block's rows of a slice as one compressed Arrow message."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for b in slices(batches, most=16 << 20):
+        block = b.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+        out = []
+        for rows in np.split(order, cuts[1:]):
+            part = b.select(["doc_id", "text"]).take(pa.array(rows))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as w:
+                w.write_batch(part)
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][cuts]), pa.array(out, pa.binary())], ["block", "rows"])
+
+
+def _texts(table: pa.Table) -> pa.Table:
+    """The rows of a block."""
+    rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")])
+    return rows.combine_chunks()
+
+
 class _Block:
     """Distinct n-grams of a block's texts, and where each text's n-grams are among them."""
 
@@ -81,7 +104,7 @@ class _Block:
 
 def _send(order: int, parts: int):
     def run(key, table):
-        block = _Block(table.column("text"), order)
+        block = _Block(_texts(table).column("text"), order)
         rows = []
         for n in range(1, order + 1):
             values, counts = block.distinct(n)
@@ -115,6 +138,7 @@ def _total(key, table):
 
 def _score(order: int, min_count: int, alpha: float):
     def run(key, docs, answers):
+        docs = _texts(docs)
         block = _Block(docs.column("text"), order)
         n_of, part, packed = (answers.column(c).to_pylist() for c in ("n", "part", "totals"))
         counts = []  # of the n-gram that begins at each word, 0 where none does
@@ -144,7 +168,7 @@ def _score(order: int, min_count: int, alpha: float):
     return run
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.4, block_bytes: int = 16 << 20) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.4, block_bytes: int = 8 << 20) -> DataFrame:
     """``(doc_id, n_words, log10_score, log10_per_word)`` of every row, counts taken from all rows.
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space; n-grams
@@ -160,7 +184,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: f
     blocks = max(1, -(-total // block_bytes))
     parts = blocks * order
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-                       F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("long").alias("block")).repartition(blocks, "block")
+                       F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("long").alias("block"))
+    rows = rows.mapInArrow(_pack_texts, "block long, rows binary").repartition(blocks, "block")
     sent = rows.groupBy("block").applyInArrow(_send(order, parts), "part long, block long, n int, run binary")
     answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(_total, "block long, part long, n int, totals binary")
     scored = keep(rows.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block"))
