@@ -6,8 +6,8 @@ have five words (an item of fewer words is one shingle).
 
 * A window as similar as asked shares at least ``similarity`` of its shingles
   with the item, so only windows with that many shingles of the benchmark's
-  vocabulary are fingerprinted; no match is lost by that.  The vocabulary is a
-  bit filter of fixed size.
+  items of L words are fingerprinted; no match is lost by that.  The vocabulary
+  is a bit filter of fixed size.
 * Fingerprints are cut into ``radius + 1`` blocks.  Two within ``radius`` bits
   agree on a block, so joining windows and items on (L, block, value) finds all
   such pairs.  Equal windows are joined once, however many documents hold them.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import Words, keep, read, slices
+from tally.llm.common import _BASE, Words, keep, mix64, read, slices
 
 SHINGLE = 5
 _WINDOW = "row_id long, size int, word_start long, wid binary, fp long, shingles binary"
@@ -59,18 +59,34 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["item_id", "size", "fp", "shingles"])
 
 
+def sized(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of shingles as shingles of an item of ``size`` words."""
+    return mix64(shingles + np.uint64(size * int(_BASE) & (1 << 64) - 1))
+
+
 def windows_of(w: Words, vocabulary: np.ndarray, sizes: list[int], similarity: float):
-    """(size, first word) of windows with enough shingles of the vocabulary (a bit map)."""
+    """(size, first word) of windows with enough shingles of items of their size.
+
+    ``vocabulary`` is a bit map of all shingles and of all ``sized`` ones.
+    """
     bits = np.uint64(len(vocabulary) * 8 - 1)
+
+    def known(h: np.ndarray) -> np.ndarray:
+        slot = (h & bits).astype(np.int64)
+        return (vocabulary[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
     last = np.repeat(w.first[1:], np.diff(w.first))
-    hits: dict[int, np.ndarray] = {}
+    hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in sizes:
         n = min(SHINGLE, size)
         if n not in hits:
             h, ok = w.ngrams(n)
-            slot = (h & bits).astype(np.int64)
-            hits[n] = np.flatnonzero(ok & ((vocabulary[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-        at = hits[n]
+            ok &= known(h)
+            hits[n] = np.flatnonzero(ok), h[ok]
+        at, h = hits[n]
+        if not len(at):
+            continue
+        at = at[known(sized(h, size))]
         m = size - n + 1  # shingles of a window
         need = max(1, int(np.ceil(similarity * m - 1e-9)))
         if len(at) < need:
@@ -159,9 +175,9 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius:
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = (left.join(right, ["size", "block", "value"]).withColumn("distance", distance.cast("int"))
             .where(F.col("distance") <= radius).select("wid", "size", "item_id", "item_fp", "distance").distinct())
-    pairs = (near.join(distinct.select("wid", "size", "a"), ["wid", "size"])
-             .join(bench.select("item_id", "size", F.col("fp").alias("item_fp"), F.col("shingles").alias("b")).distinct(), ["item_id", "size", "item_fp"])
-             .select("wid", "item_id", "distance", "a", "b"))
+    whole = bench.select(F.col("item_id").alias("id"), F.col("size").alias("words"), F.col("fp").alias("its"), F.col("shingles").alias("b")).distinct()
+    same = near["item_id"].eqNullSafe(whole["id"]) & (near["size"] == whole["words"]) & (near["item_fp"] == whole["its"])
+    pairs = near.join(whole, same).join(distinct.select("wid", "size", "a"), ["wid", "size"]).select("wid", "item_id", "distance", "a", "b")
     good = pairs.mapInArrow(_verify(similarity), "wid binary, item_id long, distance int, similarity double")
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (-F.col("word_start")).alias("early"), "size")).alias("best")
     return (found.select("row_id", "wid", "word_start", "size").join(good, "wid").groupBy("row_id", "item_id").agg(best)
@@ -172,7 +188,8 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius:
 def _slots(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            all_ = np.frombuffer(b"".join(b.column("shingles").to_pylist()), "<u8")
+            each = [(np.frombuffer(s, "<u8"), size) for s, size in zip(b.column("shingles").to_pylist(), b.column("size").to_pylist())]
+            all_ = np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in each), *(sized(s, size) for s, size in each)])
             slot = np.unique(all_ & np.uint64((1 << bits) - 1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slot)], ["slot"])
     return run

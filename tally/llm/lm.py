@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from tally.llm.common import Words, keep, read, slices
 
 
+#: The upper 60 bits of a hash name an n-gram; even 10**13 distinct ones share one with odds of 1 in 10**5.
+HASH_BITS = ~np.uint64(15)
+
+
 def pack(a: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
@@ -91,7 +95,7 @@ class _Block:
             self.sizes.append(np.diff(w.first))
             for n in range(1, order + 1):
                 h, ok = w.ngrams(n)
-                grams[n - 1].append(h[ok])
+                grams[n - 1].append(h[ok] & HASH_BITS)
                 masks[n - 1].append(ok)
         none, never = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
         self.sizes = np.concatenate([np.zeros(0, np.int64), *self.sizes])
