@@ -28,20 +28,11 @@ def _lookup(spark, path, schema):
 
 
 def _landed(spark, landing: str) -> dict:
-    """``{file_date: path}`` of the readings files in a landing folder (listed on the driver)."""
-    from tally.streaming.landing import file_date_of
+    """``{Saturday: paths}`` of the readings files in a landing folder (listed on the driver)."""
+    from tally.plans.backfill import by_week
+    from tally.streaming.landing import landed_files
 
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(landing)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = {}
-    for st in fs.listStatus(root):
-        p = st.getPath().toString()
-        name = p.rsplit("/", 1)[-1]
-        if name.startswith(("_", ".")):
-            continue
-        out[file_date_of(p)] = p
-    return out
+    return by_week(landed_files(spark, landing))
 
 
 def main(argv=None) -> int:

@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["join_nullsafe", "bounded_broadcast", "hold", "release"]
+__all__ = ["join_nullsafe", "bounded_broadcast", "held_frames", "hold", "release"]
 
 # Frames persisted by the operators (checked broadcast sides, the D5 join);
 # a run releases them once its outputs are written.
@@ -28,9 +28,14 @@ def hold(df: DataFrame) -> DataFrame:
     return df
 
 
-def release() -> None:
-    """Unpersist every frame held since the last release."""
-    while _HELD:
+def held_frames() -> int:
+    """How many frames are held now; ``release`` of this number leaves them alone."""
+    return len(_HELD)
+
+
+def release(since: int = 0) -> None:
+    """Unpersist every frame held after the first ``since`` ones."""
+    while len(_HELD) > since:
         _HELD.pop().unpersist()
 
 

@@ -21,7 +21,23 @@ from tally.schemas import SNAPSHOT, WEEKLY
 from tally.sources.readings import read_readings
 from tally.sources.store import Store
 
-__all__ = ["backfill", "run_landed_week"]
+__all__ = ["backfill", "by_week", "is_done", "run_landed_week"]
+
+
+def by_week(files: list[tuple[dt.date, str]]) -> dict[dt.date, list[str]]:
+    """``{Saturday: paths}``: a run reads every file dated in its week, corrections included."""
+    out: dict[dt.date, list[str]] = {}
+    for day, path in sorted(files):
+        out.setdefault(RunConfig(run_date=day).file_date(), []).append(path)
+    return out
+
+
+def is_done(spark: SparkSession, store: Store, week: dt.date, cfg: RunConfig = RunConfig()) -> bool:
+    """True if every output of that week's run is there, the last one included."""
+    tables = ["snapshots", "weekly", "baseline_delta"]
+    if cfg.export_state_csv:
+        tables += ["snapshots_csv", "weekly_csv"]
+    return all(store.exists(spark, t, week) for t in tables)
 
 
 def run_landed_week(spark: SparkSession, store: Store, run_date: dt.date, readings_path,
@@ -41,15 +57,17 @@ def run_landed_week(spark: SparkSession, store: Store, run_date: dt.date, readin
 def backfill(spark: SparkSession, store: Store, files: dict, stations: DataFrame,
              baseline: DataFrame, cfg: RunConfig = RunConfig(),
              resume: bool = True) -> list[dt.date]:
-    """Run every ``{file_date: path}`` in date order; returns the dates run.
+    """Run ``{file_date: path or paths}`` week by week, oldest first; returns the Saturdays run.
 
-    With ``resume``, weeks whose snapshot and weekly versions already exist
-    are skipped, so a failed backfill restarts where it stopped.
+    Files of one week, whatever their dates, are read by one run.  With
+    ``resume``, weeks with all outputs in the store are skipped, so a failed
+    backfill restarts where it stopped.
     """
+    flat = [(day, p) for day, ps in files.items() for p in ([ps] if isinstance(ps, str) else ps)]
     done = []
-    for day in sorted(files):
-        if resume and store.exists(spark, "weekly", day) and store.exists(spark, "snapshots", day):
+    for week, paths in sorted(by_week(flat).items()):
+        if resume and is_done(spark, store, week, cfg):
             continue
-        run_landed_week(spark, store, day, files[day], stations, baseline, cfg)
-        done.append(day)
+        run_landed_week(spark, store, week, paths, stations, baseline, cfg)
+        done.append(week)
     return done

@@ -222,7 +222,7 @@ def read_readings_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> D
     r, cfg = _view(spark, sf_dir, cfg)
     tag = re.sub(r"[^A-Za-z0-9.]+", "_", sf_dir.strip("/"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-landing/{tag}"
-    land_week(r, path, dt.datetime(1900, 1, 1), dt.datetime(2100, 1, 1))
+    land_week(r, path)
     return read_readings(spark, path, cfg)
 
 

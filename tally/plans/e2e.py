@@ -42,9 +42,13 @@ def counter_id(r: DataFrame) -> DataFrame:
     return r.withColumn("id", concat_strict(p["c/a"], p["unit"], p["scp"], sep="_"))
 
 
-def land_week(r: DataFrame, path: str, start: dt.datetime, end: dt.datetime) -> str:
-    """Write readings with ``start <= datetime < end`` as a readings file folder."""
-    w = r.where((F.col("datetime") >= tb.ntz(start)) & (F.col("datetime") < tb.ntz(end)))
+def land_week(r: DataFrame, path: str, start: dt.datetime | None = None, end: dt.datetime | None = None) -> str:
+    """Write readings with ``start <= datetime < end`` (no bounds: all, without a time too) as a readings file folder."""
+    w = r
+    if start is not None:
+        w = w.where(F.col("datetime") >= tb.ntz(start))
+    if end is not None:
+        w = w.where(F.col("datetime") < tb.ntz(end))
     p = _parts(w)
     uid = F.col("id").cast("long")
     out = w.select(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tally.config import RunConfig
 from tally.operators.compare import baseline_ratio
 from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
-from tally.operators.joins import release
+from tally.operators.joins import held_frames, hold, release
 from tally.operators.snapshot import next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.session import ensure_checkpoint_dir
@@ -62,15 +62,26 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     written snapshot back (K5), and everything the run persisted is released
     at the end.  ``raw`` has three consumers and is persisted.
     """
+    held = held_frames()
+    try:
+        return _run_week(spark, cfg, latest, prior, accumulated, stations, baseline, store)
+    finally:
+        if store is not None:  # everything is written; without a store the lazy results may use the frames
+            release(held)
+
+
+def _run_week(spark, cfg, latest, prior, accumulated, stations, baseline, store) -> WeekResult:
     day = cfg.file_date()
-    latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
+    latest = hold(latest)
     cfg = split_hot_counters(latest, cfg)
-    raw = raw_deltas(prior, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    raw = hold(raw_deltas(prior, latest, cfg))
 
     snapshot, new_counters = next_snapshot(raw, prior, latest, stations, cfg)
     if store is not None:
         if new_counters is not None:
-            store.write(new_counters, "new_counters", day)
+            new_counters = store.publish(spark, new_counters, "new_counters", day)
+        else:
+            store.drop(spark, "new_counters", day)
         snapshot = store.publish(spark, snapshot, "snapshots", day)
         if cfg.export_state_csv:
             store.export_csv(snapshot, "snapshots_csv", day, null_value="NA")
@@ -90,7 +101,4 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     if store is not None:
         store.export_csv(delta, "baseline_delta", day)
         delta = store.read_csv(spark, "baseline_delta", day, delta.schema)
-        for df in (latest, raw):
-            df.unpersist()
-        release()
     return WeekResult(snapshot, new_counters, weekly, merged, delta)

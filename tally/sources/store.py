@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 __all__ = ["Store", "read_table"]
@@ -19,12 +20,26 @@ __all__ = ["Store", "read_table"]
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str = "parquet") -> DataFrame:
-    """Read a table with an explicit schema (CSV) or its own (Parquet)."""
+    """Read a table with an explicit schema (CSV) or its own (Parquet).
+
+    CSV columns are found by their header names (white space around them and
+    around cells is trimmed, ``NA`` and empty cells are missing): those of
+    ``schema`` are cast, in any order of the file, others stay as text.  A
+    column of ``schema`` that the file lacks is an error.
+    """
     if fmt == "csv":
-        r = spark.read.option("header", True).option("nullValue", "NA")
-        if schema is not None:
-            r = r.schema(schema)
-        return r.csv(path)
+        raw = (spark.read.option("header", True).option("escape", '"')
+               .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
+        raw = raw.toDF(*[c.strip() for c in raw.columns])
+        known = {f.name: f.dataType for f in (schema or [])}
+        missing = sorted(set(known) - set(raw.columns))
+        if missing:
+            raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+        def cell(c):
+            text = F.trim(F.col(f"`{c}`"))
+            text = F.when(~text.isin("", "NA"), text)
+            return (text.try_cast(known[c]) if c in known else text).alias(c)
+        return raw.select(*[cell(c) for c in [*known, *[c for c in raw.columns if c not in known]]])
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
@@ -51,10 +66,25 @@ class Store:
         return read_table(spark, self.path(table, run_date), schema)
 
     def write(self, df: DataFrame, table: str, run_date: dt.date) -> str:
-        p = self.path(table, run_date)
-        df.write.mode("overwrite").parquet(p)
+        """Write a version: a hidden staging folder first, so a failed write leaves the old one whole."""
+        p, staged = self.path(table, run_date), f"{self.root}/{table}/_staging-{run_date.isoformat()}"
+        df.write.mode("overwrite").parquet(staged)
+        fs, path = self._fs(df.sparkSession, p)
+        fs.delete(path, True)
+        if not fs.rename(self._fs(df.sparkSession, staged)[1], path):
+            raise RuntimeError(f"{staged} could not be published as {p}")
         return p
 
+    @staticmethod
+    def _fs(spark: SparkSession, path: str):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def drop(self, spark: SparkSession, table: str, run_date: dt.date) -> None:
+        """Remove a version that a new run of its week doesn't make any more."""
+        fs, p = self._fs(spark, self.path(table, run_date))
+        fs.delete(p, True)
+
     def publish(self, spark: SparkSession, df: DataFrame, table: str, run_date: dt.date) -> DataFrame:
         """K5: write, then continue from the written version so the plan runs once."""
         schema = df.schema

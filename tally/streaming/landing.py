@@ -1,13 +1,13 @@
 """Run the weekly job whenever a readings file lands.
 
-The reference is a batch script run once a week on the newest file, one file
-per week as published (``readings_yymmdd.txt``).  Here a
-Structured Streaming file source watches the landing folder; each
-micro-batch takes one file (``maxFilesPerTrigger=1``, oldest first) and
-``foreachBatch`` runs the weekly job on it against the store's previous
-versions.  The stream's checkpoint records which files are done, and the
-weekly job is idempotent per file date (it replaces its own versions), so a
-restart after a failure neither skips nor double-counts a week.  There is no
+The reference is a batch script run once a week on the newest file
+(``readings_yymmdd.txt``).  Here a Structured Streaming file source watches the
+landing folder, and ``foreachBatch`` runs the weekly job for every Saturday
+week that has new files, oldest first, on *all* landed files of that week: part
+files and corrections of one week are one run.  The weekly job replaces its own
+versions, so a restart after a failure neither skips nor double-counts a week.
+A file for a week whose successor has already run is refused, since the later
+weeks were built on the state without it.  There is no
 streaming state: the carried state lives in the store, as in the reference.
 """
 
@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tally.config import RunConfig
-from tally.plans.backfill import run_landed_week
+from tally.plans.backfill import by_week, run_landed_week
 from tally.schemas import READINGS_RAW
-from tally.sources.readings import clean_readings
 from tally.sources.store import Store
 
-__all__ = ["file_date_of", "start_weekly_stream"]
+__all__ = ["file_date_of", "landed_files", "start_weekly_stream"]
 
 _TAG = re.compile(r"(\d{6})(?:\.[A-Za-z]+)?$")
 
@@ -40,6 +39,14 @@ def file_date_of(path: str) -> dt.date:
     return dt.datetime.strptime(m.group(1), "%y%m%d").date()
 
 
+def landed_files(spark: SparkSession, landing_dir: str) -> list[tuple[dt.date, str]]:
+    """``(file date, path)`` of every readings file in a landing folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(landing_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = [st.getPath().toString() for st in fs.listStatus(root)]
+    return [(file_date_of(p), p) for p in paths if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
 def start_weekly_stream(spark: SparkSession, landing_dir: str, store: Store, checkpoint: str,
                         stations: DataFrame, baseline: DataFrame, cfg: RunConfig = RunConfig(),
                         available_now: bool = True) -> StreamingQuery:
@@ -47,22 +54,20 @@ def start_weekly_stream(spark: SparkSession, landing_dir: str, store: Store, che
     src = (spark.readStream.schema(READINGS_RAW)
            .option("header", True).option("enforceSchema", True).option("escape", '"')
            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-           .option("maxFilesPerTrigger", 1)
            .csv(landing_dir)
            .select("*", F.col("_metadata.file_path").alias("__file")))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        files = [r["__file"] for r in batch.select("__file").distinct().collect()]
-        if not files:
-            return
-        for f in sorted(files, key=file_date_of):
-            day = file_date_of(f)
-            c = cfg.with_(run_date=day)
+        new = [r["__file"] for r in batch.select("__file").distinct().collect()]
+        landed = by_week(landed_files(spark, landing_dir))
+        for week in sorted(by_week([(file_date_of(f), f) for f in new])):
+            c = cfg.with_(run_date=week)
             if not (store.exists(spark, "snapshots", c.prior_date())
                     and store.exists(spark, "weekly", c.prior_date())):
                 raise RuntimeError(f"state for {c.prior_date()} is missing; land files in date order")
-            latest = clean_readings(batch.where(F.col("__file") == f).drop("__file"), c)
-            run_landed_week(spark, store, day, None, stations, baseline, c, latest=latest)
+            if store.exists(spark, "weekly", week + dt.timedelta(days=7)):
+                raise RuntimeError(f"week {week} got a file after the next week had run")
+            run_landed_week(spark, store, week, landed[week], stations, baseline, c)
 
     q = (src.writeStream.foreachBatch(run_batch)
          .option("checkpointLocation", checkpoint))

@@ -122,3 +122,89 @@ def test_command_line_run(spark):
     snap_csv = (spark.read.schema(SNAPSHOT).option("header", True).option("nullValue", "NA")
                 .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(st.path("snapshots_csv", WEEK1)))
     assert _rows(snap_csv) == _rows(st.read(spark, "snapshots", WEEK1, SNAPSHOT))
+
+
+def _tiny(spark, root, n=3):
+    """A store with empty state before WEEK1, and readings files of one counter."""
+    st = Store(root)
+    before = WEEK1 - dt.timedelta(days=7)
+    st.write(spark.createDataFrame([], SNAPSHOT), "snapshots", before)
+    st.write(spark.createDataFrame([], WEEKLY), "weekly", before)
+    stations = spark.createDataFrame([("S", "L", "S2", "L2")], "station string, linename string, station_new string, linename_new string")
+    base = spark.createDataFrame([("L", "S", 2, 1.0, 1.0, 1.0)], "linename string, station string, week int, weekend double, weekday_am double, weekday_pm double")
+    return st, stations, base
+
+
+def _land(folder, name, day, unit, n=8):
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, name)
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(["C/A", "UNIT", "SCP", "STATION", "LINENAME", "DIVISION", "DATE", "TIME", "DESC", "ENTRIES", "EXITS"])
+        for h in range(n):
+            w.writerow(["A", unit, "0", "S", "L", "BMT", day.strftime("%m/%d/%Y"), f"{h:02d}:00:00", "REGULAR", 100 + 10 * h, 0])
+    return path
+
+
+def test_files_of_one_week_are_one_run(spark):
+    from tally.__main__ import _landed
+    root = tempfile.mkdtemp(prefix="tally-week-")
+    st, stations, base = _tiny(spark, root)
+    monday = WEEK1 + dt.timedelta(days=2)
+    _land(f"{root}/landing", f"readings_{WEEK1:%y%m%d}.txt", WEEK1, "U1")
+    _land(f"{root}/landing", f"corrections_{WEEK1:%y%m%d}.txt", WEEK1, "U2")
+    _land(f"{root}/landing", f"late_{monday:%y%m%d}.txt", monday, "U3")
+    files = _landed(spark, f"{root}/landing")
+    assert list(files) == [WEEK1] and len(files[WEEK1]) == 3
+    assert backfill(spark, st, files, stations, base, CFG) == [WEEK1]
+    ids = {r.id for r in st.read(spark, "snapshots", WEEK1, SNAPSHOT).collect()}
+    assert ids == {"A_U1_0", "A_U2_0", "A_U3_0"}
+
+
+def test_stream_takes_all_files_of_a_week(spark):
+    root = tempfile.mkdtemp(prefix="tally-stream2-")
+    st, stations, base = _tiny(spark, root)
+    _land(f"{root}/landing", f"readings_{WEEK1:%y%m%d}.txt", WEEK1, "U1")
+    start_weekly_stream(spark, f"{root}/landing", st, f"{root}/ckpt", stations, base).awaitTermination()
+    _land(f"{root}/landing", f"more_{WEEK1 + dt.timedelta(days=2):%y%m%d}.txt", WEEK1, "U2")
+    start_weekly_stream(spark, f"{root}/landing", st, f"{root}/ckpt", stations, base).awaitTermination()
+    assert {r.id for r in st.read(spark, "snapshots", WEEK1, SNAPSHOT).collect()} == {"A_U1_0", "A_U2_0"}
+
+
+def test_resume_after_a_crash_before_the_last_output(spark, monkeypatch):
+    import pytest
+    from tally.operators.joins import held_frames
+    root = tempfile.mkdtemp(prefix="tally-crash-")
+    st, stations, base = _tiny(spark, root)
+    files = {WEEK1: _land(f"{root}/landing", f"readings_{WEEK1:%y%m%d}.txt", WEEK1, "U1")}
+    held = held_frames()
+
+    def crash(*a, **k):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(Store, "export_csv", crash)
+        with pytest.raises(RuntimeError):
+            backfill(spark, st, files, stations, base, CFG)
+    assert held_frames() == held  # a failing run leaves nothing cached
+    assert st.exists(spark, "weekly", WEEK1) and not st.exists(spark, "baseline_delta", WEEK1)
+    assert backfill(spark, st, files, stations, base, CFG) == [WEEK1]
+    assert st.exists(spark, "baseline_delta", WEEK1)
+
+
+def test_csv_lookups_bind_by_header(spark):
+    import pytest
+    from tally.schemas import BASELINE, STATIONS
+    from tally.sources.store import read_table
+    root = tempfile.mkdtemp(prefix="tally-csv-")
+    with open(f"{root}/stations.csv", "w") as f:
+        f.write('linename, station ,linename_new,station_new,borough\nL1, S1 ,L2,"S ""2""",Bronx\nNA,S3,,S4,\n')
+    got = read_table(spark, f"{root}/stations.csv", STATIONS, "csv")
+    assert got.columns == ["station", "linename", "station_new", "linename_new", "borough"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("S1", "L1", 'S "2"', "L2", "Bronx"), ("S3", None, "S4", None, None)]
+    with open(f"{root}/base.csv", "w") as f:
+        f.write("weekday_am,week,weekday_pm,weekend,station,linename\n10,2,x,30.5,S1,L1\n")
+    assert tuple(read_table(spark, f"{root}/base.csv", BASELINE, "csv").first()) == ("L1", "S1", 2, 30.5, 10.0, None)
+    with open(f"{root}/bad.csv", "w") as f:
+        f.write("station,linename\nS,L\n")
+    with pytest.raises(ValueError, match="lacks"):
+        read_table(spark, f"{root}/bad.csv", STATIONS, "csv")
