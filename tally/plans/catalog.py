@@ -2,7 +2,7 @@
 
 Each takes ``(spark, sf_dir)`` and returns a DataFrame; ``tally.plans.oracle``
 holds an independent DuckDB SQL version of each for the correctness gate.
-All read the whole tables.
+Tables are read whole, then cut to the sample's weeks where a query is about one weekly run.
 """
 
 from __future__ import annotations
