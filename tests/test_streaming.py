@@ -208,3 +208,13 @@ def test_csv_lookups_bind_by_header(spark):
         f.write("station,linename\nS,L\n")
     with pytest.raises(ValueError, match="lacks"):
         read_table(spark, f"{root}/bad.csv", STATIONS, "csv")
+
+
+def test_rows_without_a_time_are_landed(spark):
+    from tally.sources.readings import read_readings
+    root = tempfile.mkdtemp(prefix="tally-null-")
+    r = tb.readings_view(spark, SF001, CFG)
+    some = r.limit(3)
+    both = some.union(some.withColumn("datetime", F.lit(None).cast("timestamp_ntz")))
+    got = read_readings(spark, land_week(both, f"{root}/readings"), RunConfig(excluded_divisions=())).collect()
+    assert len(got) == 6 and sum(x.datetime is None for x in got) == 3
