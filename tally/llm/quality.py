@@ -41,7 +41,7 @@ RULES = (
     Rule("n_words", least=20),
     Rule("mean_word_chars", least=2, most=16),
     Rule("symbols_per_word", most=0.1),
-    Rule("ssame_word_share", least=0.02),
+    Rule("stop_word_share", least=0.02),
     Rule("dup_line_share", most=0.5),
     Rule("same_word_share", most=0.3),
 )
@@ -91,7 +91,7 @@ def measures(docs: DataFrame, stop_words: str = STOP_WORDS, window: int = WINDOW
             n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"),
             _repeat_words(w, window).alias("n_repeat_words"), n_lines.alias("n_lines"), stop.alias("n_stop_words"),
             (chars / per_word).alias("mean_word_chars"), (symbols / per_word).alias("symbols_per_word"),
-            (stop / per_word).alias("ssame_word_share"), (dup / F.when(n_lines > 0, n_lines)).alias("dup_line_share"),
+            (stop / per_word).alias("stop_word_share"), (dup / F.when(n_lines > 0, n_lines)).alias("dup_line_share"),
             (pairs / per_word).alias("same_word_share"))
 
     # words and lines are bound in lambdas, so each is split once a row
