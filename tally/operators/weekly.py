@@ -29,17 +29,17 @@ def time_bucket(deltas: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
 def weekly_counts(bucketed: DataFrame, snapshot: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
     """Sum of deltas by station, line, Monday week and bucket, pivoted wide.
 
-    Deltas are first summed per ``(id, weekdate, time)`` (map-side combine), so
-    the join with the snapshot's names and the final shuffle carry one row per
-    counter-week-bucket, not one per reading; both join sides are then per
+    Deltas are first summed per ``(id, weekdate)``, one conditional sum a bucket, so
+    the join with the snapshot's names and the one shuffle of the rollup carry one
+    row per counter and week, not one per reading; both join sides are then per
     counter, so a plain shuffle join (or AQE's run-time broadcast) suits.  Sums distribute over the join,
     including its fan-out on duplicate snapshot rows, so the result equals
     joining first.  The three bucket columns always exist (T10).
     """
-    per_id = bucketed.groupBy("id", "weekdate", "time").agg(F.sum("d_entries").alias("entries"))
+    per_id = bucketed.groupBy("id", "weekdate").agg(
+        *[F.sum(F.when(F.col("time") == b, F.col("d_entries"))).alias(b) for b in BUCKETS])
     j = join_nullsafe(per_id, snapshot.select("id", "station", "linename"), ["id"], "left")
-    wide = (j.groupBy("linename", "station", "weekdate")
-            .pivot("time", list(BUCKETS)).agg(F.sum("entries")))
+    wide = j.groupBy("linename", "station", "weekdate").agg(*[F.sum(b).alias(b) for b in BUCKETS])
     return wide.select("linename", "station", "weekdate", *BUCKETS,
                        week_number("weekdate").alias("week"))
 
