@@ -37,6 +37,9 @@ class RunConfig:
     gap_rounding: str = "trunc"
     # The reference never counts a counter's first surviving interval of a run.
     keep_first_interval: bool = False
+    # The reference joins every prior row of a counter, so tied rows multiply from run to
+    # run.  True joins each distinct (id, station, linename) of the prior once instead.
+    distinct_prior_names: bool = False
     # D9 replaces names by the lookup's names with no fallback (reference).
     fallback_names: bool = False
     baseline_label: str = BASELINE_LABEL

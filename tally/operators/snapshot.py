@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tally.config import RunConfig
 from tally.operators.joins import bounded_broadcast, hold, join_nullsafe
 
-__all__ = ["latest_per_counter", "snapshot_join", "enrich_new_counters", "next_snapshot"]
+__all__ = ["latest_per_counter", "snapshot_join", "growing_copies", "enrich_new_counters", "next_snapshot"]
 
 
 def latest_per_counter(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
@@ -38,12 +38,27 @@ def latest_per_counter(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFram
                          ["id", "datetime"], "inner")
 
 
-def snapshot_join(latest_rows: DataFrame, prior: DataFrame) -> DataFrame:
+def snapshot_join(latest_rows: DataFrame, prior: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
     """Attach known names; counters on either side are kept.
 
+    With ``cfg.distinct_prior_names`` each name of a counter joins once, however
+    many tied rows the prior snapshot has of it.
     Output ``id, datetime, entries, d_entries, station, linename``.
     """
-    return join_nullsafe(latest_rows, prior.select("id", "station", "linename"), ["id"], "full")
+    names = prior.select("id", "station", "linename")
+    return join_nullsafe(latest_rows, names.distinct() if cfg.distinct_prior_names else names, ["id"], "full")
+
+
+def growing_copies(snapshot: DataFrame, prior: DataFrame) -> DataFrame:
+    """``id, copies_before, copies`` of counters with several snapshot rows, more than in the prior one.
+
+    Nothing is cut: the report lets the user choose ``distinct_prior_names``.
+    """
+    before = prior.groupBy("id").agg(F.count(F.lit(1)).alias("copies_before"))
+    now = snapshot.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    both = join_nullsafe(now, before, ["id"], "left")
+    return (both.select("id", F.coalesce("copies_before", F.lit(0)).alias("copies_before"), "copies")
+            .where("copies > copies_before"))
 
 
 def enrich_new_counters(unnamed: DataFrame, latest: DataFrame, stations: DataFrame,
@@ -71,7 +86,7 @@ def next_snapshot(raw: DataFrame, prior: DataFrame, latest: DataFrame, stations:
     Branch C1 compares two row counts on the driver (scalars only), taken in
     one job.  The joined table is persisted so the branch does not recompute it.
     """
-    joined = hold(snapshot_join(latest_per_counter(raw, cfg), prior))
+    joined = hold(snapshot_join(latest_per_counter(raw, cfg), prior, cfg))
     if _grew(joined, prior):
         old = joined.where(F.col("station").isNotNull()).drop("d_entries")
         new = enrich_new_counters(joined.where(F.col("station").isNull()), latest, stations, cfg)

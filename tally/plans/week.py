@@ -17,7 +17,7 @@ from tally.config import RunConfig
 from tally.operators.compare import baseline_ratio
 from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
 from tally.operators.joins import held_frames, hold, release
-from tally.operators.snapshot import next_snapshot
+from tally.operators.snapshot import growing_copies, next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
 from tally.session import ensure_checkpoint_dir
 from tally.sources.store import Store
@@ -32,6 +32,7 @@ class WeekResult:
     weekly: DataFrame          # this run's weekly counts
     accumulated: DataFrame     # merged accumulated table
     delta: DataFrame           # baseline comparison
+    growing: DataFrame         # counters whose snapshot rows multiply (J2)
 
 
 def weekly_from_readings(prior: DataFrame | None, latest: DataFrame, names: DataFrame,
@@ -101,4 +102,4 @@ def _run_week(spark, cfg, latest, prior, accumulated, stations, baseline, store)
     if store is not None:
         store.export_csv(delta, "baseline_delta", day)
         delta = store.read_csv(spark, "baseline_delta", day, delta.schema)
-    return WeekResult(snapshot, new_counters, weekly, merged, delta)
+    return WeekResult(snapshot, new_counters, weekly, merged, delta, growing_copies(snapshot, prior))

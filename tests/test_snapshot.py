@@ -1,7 +1,11 @@
 """Next snapshot, the growth branch, enrichment and the null poison (T4)."""
 
+import pytest
+
 from tally.config import RunConfig
 from tally.operators import latest_per_counter, next_snapshot, raw_deltas
+from tally.operators.snapshot import growing_copies
+from tally.session import ensure_checkpoint_dir
 from tests.conftest import READ_SCHEMA, SNAP_SCHEMA, frame, ts
 
 CFG = RunConfig(chunk_seconds=None)
@@ -65,3 +69,29 @@ def test_t2_null_id_is_a_counter(spark):
     raw = raw_deltas(prior, latest, CFG)
     snap, new = next_snapshot(raw, prior, latest, frame(spark, [], STATIONS), CFG)
     assert [tuple(r) for r in snap.collect()] == [(None, ts(2), 3.0, "S", "L")]
+
+
+@pytest.mark.parametrize("distinct, copies", [(False, [2, 4, 16, 256]), (True, [2, 2, 2, 2])])
+def test_tied_rows_of_an_absent_counter(spark, distinct, copies):
+    """The reference's join squares them from run to run; distinct names keep them as they are."""
+    cfg = RunConfig(chunk_seconds=None, distinct_prior_names=distinct)
+    snap = frame(spark, [("a", ts(1), 1.0, "S1", "L1"), ("a", ts(1), 2.0, "S1", "L1"),
+                         ("b", ts(1), 5.0, "S2", "L2")], SNAP_SCHEMA)
+    none = frame(spark, [], STATIONS)
+    got = []
+    for day in (8, 15, 22, 29):
+        got.append(snap.where("id = 'a'").count())
+        latest = latest_frame(spark, [("b", ts(day), 5.0 + day, "x", "x")])
+        before = snap
+        snap, _ = next_snapshot(raw_deltas(before, latest, cfg), before, latest, none, cfg)
+        ensure_checkpoint_dir(spark)
+        snap = snap.checkpoint()
+        report = [tuple(r) for r in growing_copies(snap, before).collect()]
+        assert report == ([] if distinct else [("a", got[-1], got[-1] ** 2)])
+    assert got == copies
+
+
+def test_growing_copies_counts_new_counters(spark):
+    prior = frame(spark, [("a", ts(1), 1.0, "S1", "L1")], SNAP_SCHEMA)
+    now = frame(spark, [("a", ts(2), 1.0, "S1", "L1"), (None, ts(2), 1.0, "S", "L"), (None, ts(2), 2.0, "S", "L")], SNAP_SCHEMA)
+    assert [tuple(r) for r in growing_copies(now, prior).collect()] == [(None, 0, 2)]
