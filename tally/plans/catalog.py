@@ -2,13 +2,14 @@
 
 Each takes ``(spark, sf_dir)`` and returns a DataFrame; ``tally.plans.oracle``
 holds an independent DuckDB SQL version of each for the correctness gate.
-Tables are read whole, then cut to the sample's weeks where a query is about one weekly run.
+All read the whole tables; a query about one weekly run takes the earlier readings as what came before it
+and all others as the run's (``testbed.split_points``).
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import re
+import uuid
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -37,7 +38,8 @@ def _view(spark, sf_dir, cfg):
 
 def _scenario(spark, sf_dir, cfg):
     r, cfg = _view(spark, sf_dir, cfg)
-    return r, tb.prior_snapshot(r, cfg), tb.latest_readings(r), cfg
+    start = tb.split_points(r).start
+    return r, tb.prior_snapshot(r, cfg, start), tb.latest_readings(r, start), cfg
 
 
 def _raw_of(prior, latest, cfg):
@@ -149,14 +151,15 @@ def week_number_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> Dat
 def merge_weekly_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Weekly counts of two halves of the readings, merged per cell."""
     r, cfg = _view(spark, sf_dir, cfg)
-    names = tb.counter_names(r)
-    old = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.CUT)), names, cfg, checked=True)
-    new = weekly_from_readings(None, r.where(F.col("datetime") >= tb.ntz(tb.CUT)), names, cfg, checked=True)
+    names, cut = tb.counter_names(r), tb.split_points(r).cut
+    old = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(cut)), names, cfg, checked=True)
+    new = weekly_from_readings(None, tb.latest_readings(r, cut), names, cfg, checked=True)
     return merge_weekly(new, old)
 
 
 def _baseline(r, names, cfg):
-    early = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(tb.BASE_END)), names, cfg,
+    base_end = tb.split_points(r).base_end
+    early = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(base_end)), names, cfg,
                                  checked=True)
     st = F.col("station")
     return early.select(
@@ -198,18 +201,42 @@ def multi_file_union(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) ->
 
 
 def second_week_snapshot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
-    """D5 twice: week 2 starts from week 1's snapshot (C1's no-growth branch)."""
-    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    """D5 twice: the second run takes all later readings from the first one's snapshot (C1's no-growth branch)."""
+    r, cfg = _view(spark, sf_dir, cfg)
+    at = tb.split_points(r)
+    prior, latest = tb.prior_snapshot(r, cfg, at.start), tb.latest_readings(r, at.start, at.end)
     stations = tb.stations_lookup(spark, sf_dir)
     raw1 = _raw_of(prior, latest, cfg)
     snap1, _ = next_snapshot(raw1, prior, latest, stations, cfg)
     snap1 = snap1.persist(StorageLevel.MEMORY_AND_DISK)
-    latest2 = r.where((F.col("datetime") >= tb.ntz(tb.END)) & (F.col("datetime") < tb.ntz(tb.END2)))
+    latest2 = tb.latest_readings(r, at.end)
     raw2 = raw_deltas(snap1, latest2, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     snap2, _ = next_snapshot(raw2, snap1, latest2, stations, cfg)
     return snap2
 
 
+def all_weeks_run_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """Every week of the readings, landed and run in order through a store.
+
+    Lookups are landed as CSV with shuffled and extra columns and read by
+    their headers; the result is the last run's baseline comparison, of
+    all weeks.  Files go to the session's checkpoint folder.
+    """
+    from tally.plans.e2e import all_weeks_run
+    from tally.session import ensure_checkpoint_dir
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-weeks-{uuid.uuid4().hex}"
+    return all_weeks_run(spark, sf_dir, root, cfg)
+
+
+def snapshot_distinct_names(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """J2 with ``distinct_prior_names``: a counter's tied earlier rows don't multiply its new ones."""
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    prior = prior.unionByName(prior)  # every counter tied
+    raw = _raw_of(prior, latest, cfg)
+    return snapshot_join(latest_per_counter(raw, cfg), prior, cfg.with_(distinct_prior_names=True))
+
+
 def read_readings_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """D1 (S1 P1 P2 F1 P3 E1 E5): all readings landed as a readings file, read back and cleaned.
 
@@ -260,6 +287,8 @@ QUERIES = {
     "multi_file_union": multi_file_union,
     "second_week_snapshot": second_week_snapshot,
     "read_readings": read_readings_q,
+    "all_weeks_run": all_weeks_run_q,
+    "snapshot_distinct_names": snapshot_distinct_names,
     "raw_deltas_split": _split(raw_deltas_q),
     "clean_deltas_split": _split(clean_deltas_q),
     "latest_per_counter_split": _split(latest_per_counter_q),

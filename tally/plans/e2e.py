@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.functions.exprs import concat_strict
+from tally.functions.exprs import concat_strict, saturday_floor
+from tally.operators.compare import baseline_ratio
+from tally.plans.backfill import backfill
 from tally.plans.week import WeekResult, run_week, weekly_from_readings
-from tally.schemas import SNAPSHOT, WEEKLY
+from tally.schemas import BASELINE, SNAPSHOT, STATIONS, WEEKLY
 from tally.sources import testbed as tb
 from tally.sources.readings import read_readings
-from tally.sources.store import Store
+from tally.sources.store import Store, read_table
 
-__all__ = ["land_week", "counter_id", "two_week_run"]
+__all__ = ["land_week", "counter_id", "two_week_run", "all_weeks_run"]
 
 WEEK1 = dt.date(2024, 1, 13)
 WEEK2 = dt.date(2024, 1, 20)
@@ -64,6 +66,48 @@ def land_week(r: DataFrame, path: str, start: dt.datetime | None = None, end: dt
     return path
 
 
+def _land_csv(df: DataFrame, path: str, columns: list[str]) -> str:
+    """A lookup as CSV with its columns in the given order, as a user might land it."""
+    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def all_weeks_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig = RunConfig()) -> DataFrame:
+    """Run every week after the first of the readings, oldest first; returns the last run's comparison.
+
+    The first week's readings give the state the chain starts from; the last
+    file takes the readings without a time too, so none is left out.  Only
+    the list of weeks, from the first and last reading, is on the driver.
+    """
+    store = Store(root)
+    r0 = tb.readings_view(spark, sf_dir, cfg)
+    r = _at_second(counter_id(r0))
+    names = tb.counter_names(r)
+    span = r0.agg(F.min(saturday_floor("datetime")).alias("a"), F.max(saturday_floor("datetime")).alias("b")).first()
+    first, last = (span["a"], span["b"]) if span["a"] else (WEEK1, WEEK2)
+    midnight = dt.datetime.combine(first, dt.time())
+    week = dt.timedelta(days=7)
+
+    early = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(midnight + week)), names, cfg)
+    base = early.withColumn("base_weekdate", F.date_format("weekdate", "yyyy-MM-dd"))
+    base = _land_csv(base, f"{root}/lookups/baseline.csv",
+                     ["weekday_pm", "base_weekdate", "station", "week", "weekend", "linename", "weekday_am"])
+    known = _land_csv(tb.stations_lookup(spark, sf_dir), f"{root}/lookups/stations.csv",
+                      ["linename_new", "borough_id", "linename", "station_new", "station"])
+    baseline, stations = read_table(spark, base, BASELINE, "csv"), read_table(spark, known, STATIONS, "csv")
+
+    store.write(_at_second(counter_id(tb.prior_snapshot(r0, cfg, midnight + week))), "snapshots", first)
+    store.write(early.select(*WEEKLY.fieldNames()), "weekly", first)
+    files, n = {}, max(1, (last - first).days // 7)
+    for i in range(1, n + 1):
+        a = midnight + i * week
+        files[a.date()] = land_week(tb.latest_readings(r0, a, None if i == n else a + week), f"{root}/landing/{a:%y%m%d}")
+    backfill(spark, store, files, stations, baseline, cfg)
+    label = sorted(files)[-1]
+    schema = baseline_ratio(store.read(spark, "weekly", label, WEEKLY), baseline, stations, cfg).schema
+    return store.read_csv(spark, "baseline_delta", label, schema)
+
+
 def _at_second(df: DataFrame) -> DataFrame:
     # Landed files carry whole seconds; keep the derived state consistent.
     return df.withColumn("datetime", F.date_trunc("second", "datetime").cast("timestamp_ntz"))

@@ -22,14 +22,18 @@ r AS (
   JOIN nation n ON n.n_nationkey = e.user_id % 25
   JOIN region g ON g.r_regionkey = n.n_regionkey
 ),
+mid AS (
+  SELECT CAST(make_timestamp((epoch_us(min(datetime)) + epoch_us(max(datetime))) // 2) AS DATE) AS d FROM r
+),
+split AS (SELECT CAST(d - CAST((dayofweek(d) + 1) % 7 AS INTEGER) AS TIMESTAMP) AS start FROM mid),
 prior AS (
   SELECT id, datetime, entries, station, linename FROM (
     SELECT *, max(datetime) OVER (PARTITION BY id) AS mx FROM r
-    WHERE datetime < TIMESTAMP '2024-01-13 00:00:00' AND CAST(id AS BIGINT) % 10 <> 3)
+    WHERE datetime < (SELECT start FROM split) AND CAST(id AS BIGINT) % 10 <> 3)
   WHERE datetime = mx
 ),
 latest AS (
-  SELECT * FROM r WHERE datetime >= TIMESTAMP '2024-01-13 00:00:00' AND datetime < TIMESTAMP '2024-01-20 00:00:00'
+  SELECT * FROM r WHERE datetime >= (SELECT start FROM split) OR datetime IS NULL
 ),
 stations AS (
   SELECT n.n_name AS station, g.r_name AS linename, n.n_name || '_ST' AS station_new,
@@ -179,6 +183,61 @@ ni AS (
   FROM bj
 )"""
 
+
+def _all_weeks(runs: int = 4) -> str:
+    """The chained runs: files cut to seconds, first week as the state, then ``runs`` weeks, the last one open-ended.
+
+    ``runs`` must not exceed what the supplied events span; weeks without readings pass the state on.
+    """
+    parts = [_BASE, """
+f AS (
+  SELECT 'A' || lpad(id, 4, '0') || '_R' || lpad(CAST(CAST(id AS BIGINT) % 25 AS VARCHAR), 3, '0') || '_00-00-00' AS id,
+         CAST(id AS BIGINT) AS uid, date_trunc('second', datetime) AS datetime, entries, station, linename FROM r
+),
+first_day AS (SELECT CAST(min(CAST(datetime AS DATE) - CAST((dayofweek(datetime) + 1) % 7 AS INTEGER)) AS TIMESTAMP) AS d FROM r),
+names0 AS (SELECT DISTINCT id, station, linename FROM f),
+early AS (SELECT id, datetime, entries FROM f WHERE datetime < (SELECT d FROM first_day) + INTERVAL 7 DAY),
+snap0 AS (
+  SELECT 'A' || lpad(id, 4, '0') || '_R' || lpad(CAST(CAST(id AS BIGINT) % 25 AS VARCHAR), 3, '0') || '_00-00-00' AS id,
+         date_trunc('second', datetime) AS datetime, entries, station, linename
+  FROM (SELECT *, max(datetime) OVER (PARTITION BY id) AS mx FROM r
+        WHERE datetime < (SELECT d FROM first_day) + INTERVAL 7 DAY AND CAST(id AS BIGINT) % 10 <> 3)
+  WHERE datetime = mx
+)""", _chain("b_", None, "early"), _weekly("b_", "names0"), """
+acc0 AS (SELECT linename, station, weekdate, week, weekend, weekday_am, weekday_pm FROM b_wk)"""]
+    prior = "snap0"
+    for i in range(1, runs + 1):
+        p, end = f"k{i}_", f"AND datetime < (SELECT d FROM first_day) + INTERVAL {7 * i + 7} DAY"
+        parts += [f"""
+file{i} AS (
+  SELECT id, datetime, entries, station, linename FROM f
+  WHERE uid % 50 <> 49 AND (datetime >= (SELECT d FROM first_day) + INTERVAL {7 * i} DAY {end if i < runs else "OR datetime IS NULL"})
+)""", _chain(p, prior, f"file{i}"), _snapshot(p, f"{p}raw", prior, f"file{i}"), _weekly(p, f"{p}snap"), f"""
+acc{i} AS (
+  SELECT coalesce(n.linename, o.linename) AS linename, coalesce(n.station, o.station) AS station,
+         coalesce(n.weekdate, o.weekdate) AS weekdate, coalesce(n.week, o.week) AS week,
+         coalesce(n.weekend, o.weekend) AS weekend, coalesce(n.weekday_am, o.weekday_am) AS weekday_am,
+         coalesce(n.weekday_pm, o.weekday_pm) AS weekday_pm
+  FROM {p}wk n FULL JOIN acc{i - 1} o
+    ON n.linename IS NOT DISTINCT FROM o.linename AND n.station IS NOT DISTINCT FROM o.station
+   AND n.weekdate IS NOT DISTINCT FROM o.weekdate AND n.week IS NOT DISTINCT FROM o.week
+)"""]
+        prior = f"{p}snap"
+    compare = _BASELINE_CMP
+    for old, new in (("CASE WHEN station IN ('NATION_1', 'NATION_6') THEN 0.0 ELSE weekend END AS weekend", "weekend"),
+                     ("CASE WHEN station IN ('NATION_2', 'NATION_7') THEN NULL ELSE weekday_am END AS weekday_am", "weekday_am"),
+                     ("weekdate AS base_weekdate", "strftime(weekdate, '%Y-%m-%d') AS base_weekdate"), ("a_wk", f"acc{runs}")):
+        assert old in compare
+        compare = compare.replace(old, new)
+    return _with(*parts, compare) + """
+SELECT st.linename_new AS linename, st.station_new AS station, ni.weekdate, ni.week,
+       ni.weekend_2022, ni.weekday_am_2022, ni.weekday_pm_2022,
+       ni.weekend_bl, ni.weekday_am_bl, ni.weekday_pm_bl, ni.base_weekdate,
+       ni.d_weekend, ni.d_weekday_am, ni.d_weekday_pm, CAST(st.borough_id AS VARCHAR) AS borough_id
+FROM ni LEFT JOIN stations st
+  ON ni.linename IS NOT DISTINCT FROM st.linename AND ni.station IS NOT DISTINCT FROM st.station"""
+
+
 ORACLE = {
     "flagship_weekly_counts": _with(_BASE, _chain("", None, "r"), _weekly("", "names"))
     + "SELECT * FROM wk",
@@ -235,8 +294,8 @@ FROM orders""",
 
     "merge_weekly": _with(
         _BASE,
-        "\nold_r AS (SELECT * FROM r WHERE datetime < TIMESTAMP '2024-01-17 12:00:00')",
-        "\nnew_r AS (SELECT * FROM r WHERE datetime >= TIMESTAMP '2024-01-17 12:00:00')",
+        "\nold_r AS (SELECT * FROM r WHERE datetime < (SELECT start FROM split) + INTERVAL 108 HOUR)",
+        "\nnew_r AS (SELECT * FROM r WHERE datetime >= (SELECT start FROM split) + INTERVAL 108 HOUR OR datetime IS NULL)",
         _chain("o_", None, "old_r"), _weekly("o_", "names"),
         _chain("n_", None, "new_r"), _weekly("n_", "names")) + """
 SELECT coalesce(n.linename, o.linename) AS linename, coalesce(n.station, o.station) AS station,
@@ -250,7 +309,7 @@ FROM n_wk n FULL JOIN o_wk o
 
     "baseline_ratio": _with(
         _BASE,
-        "\nearly_r AS (SELECT * FROM r WHERE datetime < TIMESTAMP '2024-01-15 00:00:00')",
+        "\nearly_r AS (SELECT * FROM r WHERE datetime < (SELECT start FROM split) + INTERVAL 2 DAY)",
         _chain("a_", None, "r"), _weekly("a_", "names"),
         _chain("b_", None, "early_r"), _weekly("b_", "names"), _BASELINE_CMP) + """
 SELECT st.linename_new AS linename, st.station_new AS station, ni.weekdate, ni.week,
@@ -276,12 +335,23 @@ SELECT 'A' || lpad(id, 4, '0') || '_R' || lpad(CAST(CAST(id AS BIGINT) % 25 AS V
        date_trunc('second', datetime) AS datetime, station, linename, entries
 FROM r WHERE CAST(id AS BIGINT) % 50 <> 49""",
 
+    # the first run's readings are those of one week, the second's all later ones
     "second_week_snapshot": _with(
-        _RUN, _LATEST_ROWS,
-        "\nlatest2 AS (SELECT * FROM r WHERE datetime >= TIMESTAMP '2024-01-20 00:00:00'"
-        " AND datetime < TIMESTAMP '2024-01-27 00:00:00')",
-        _chain("w2_", "snap", "latest2"), _snapshot("w2_", "w2_raw", "snap", "latest2"))
+        _BASE,
+        "\nlatest1 AS (SELECT * FROM r WHERE datetime >= (SELECT start FROM split)"
+        " AND datetime < (SELECT start FROM split) + INTERVAL 7 DAY)",
+        _chain("w1_", "prior", "latest1"), _snapshot("w1_", "w1_raw", "prior", "latest1"),
+        "\nlatest2 AS (SELECT * FROM r WHERE datetime >= (SELECT start FROM split) + INTERVAL 7 DAY OR datetime IS NULL)",
+        _chain("w2_", "w1_snap", "latest2"), _snapshot("w2_", "w2_raw", "w1_snap", "latest2"))
     + "SELECT * FROM w2_snap",
+
+    "snapshot_distinct_names": _with(
+        _BASE, "\ntwice AS (SELECT * FROM prior UNION ALL SELECT * FROM prior)",
+        _chain("", "twice", "latest"), _LATEST_ROWS) + """
+SELECT coalesce(l.id, q.id) AS id, l.datetime, l.entries, l.d_entries, q.station, q.linename
+FROM lat l FULL JOIN (SELECT DISTINCT id, station, linename FROM prior) q ON l.id IS NOT DISTINCT FROM q.id""",
+
+    "all_weeks_run": _all_weeks(),
 }
 
 # The hot-counter plans compute the same results.

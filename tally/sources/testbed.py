@@ -10,6 +10,7 @@ it is Spark work over the whole tables; nothing is generated on the driver.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +21,42 @@ from tally.functions.exprs import time_chunk
 from tally.operators.chunked import chunk_width, seeded_running_sum
 from tally.operators.joins import bounded_broadcast
 
-__all__ = ["SPLIT", "END", "END2", "CUT", "BASE_END", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
+__all__ = ["SPLIT", "BASE_END", "Split", "split_points", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
            "latest_readings", "stations_lookup", "counter_names", "ntz"]
 
-# Fixed split points of the derived two-run scenario.
-SPLIT = dt.datetime(2024, 1, 13)        # Saturday file date of the run under test
-END = dt.datetime(2024, 1, 20)          # end of that run's readings
-END2 = dt.datetime(2024, 1, 27)         # end of the following run's readings
-CUT = dt.datetime(2024, 1, 17, 12)      # mid-week cut for the old/new weekly merge
+# Dates of the two-week end-to-end run (the catalog's queries derive theirs from the data).
+SPLIT = dt.datetime(2024, 1, 13)        # Saturday file date of its first run
 BASE_END = dt.datetime(2024, 1, 15)     # baseline = weekly counts before this
 NEW_COUNTER_MOD = (10, 3)               # users with id % 10 == 3 are new this run
 
 
+@dataclass(frozen=True)
+class Split:
+    """Where the readings are cut into earlier and new ones, taken from their time span."""
+
+    start: dt.datetime     # the Saturday on or before the middle: readings from here on are new
+
+    @property
+    def end(self) -> dt.datetime:          # the first run's readings end, the second's begin
+        return self.start + dt.timedelta(days=7)
+
+    @property
+    def cut(self) -> dt.datetime:          # mid-week cut for the old/new weekly merge
+        return self.start + dt.timedelta(days=4, hours=12)
+
+    @property
+    def base_end(self) -> dt.datetime:     # baseline = weekly counts before this
+        return self.start + dt.timedelta(days=2)
+
+
+def split_points(r: DataFrame) -> Split:
+    """The split of a readings view; every reading lies on one side or the other."""
+    t = r.agg(F.min("datetime").alias("a"), F.max("datetime").alias("b")).first()
+    middle = (t["a"] + (t["b"] - t["a"]) / 2 if t["a"] else dt.datetime(1970, 1, 3)).date()
+    saturday = middle - dt.timedelta(days=(middle.weekday() - 5) % 7)
+    return Split(dt.datetime.combine(saturday, dt.time()))
+
+
 def ntz(t: dt.datetime):
     """A TIMESTAMP_NTZ literal (no time-zone conversion)."""
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
@@ -80,17 +105,19 @@ def readings_view_cfg(spark: SparkSession, sf_dir: str,
     return view, cfg
 
 
-def prior_snapshot(r: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
-    """Last reading of each known counter before ``SPLIT`` (ties kept)."""
+def prior_snapshot(r: DataFrame, cfg: RunConfig = RunConfig(), start: dt.datetime = SPLIT) -> DataFrame:
+    """Last reading of each known counter before ``start`` (ties kept)."""
     mod, rem = NEW_COUNTER_MOD
-    before = r.where((F.col("datetime") < ntz(SPLIT)) & (F.col("id").cast("long") % mod != rem))
+    before = r.where((F.col("datetime") < ntz(start)) & (F.col("id").cast("long") % mod != rem))
     top = before.groupBy("id").agg(F.max("datetime").alias("datetime"))
     return before.join(top, ["id", "datetime"]).select("id", "datetime", "entries", "station", "linename")
 
 
-def latest_readings(r: DataFrame) -> DataFrame:
-    """This run's readings: ``SPLIT <= datetime < END``."""
-    return r.where((F.col("datetime") >= ntz(SPLIT)) & (F.col("datetime") < ntz(END)))
+def latest_readings(r: DataFrame, start: dt.datetime = SPLIT, end: dt.datetime | None = None) -> DataFrame:
+    """Readings with ``start <= datetime < end``; without an end all later ones and those without a time."""
+    if end is None:
+        return r.where((F.col("datetime") >= ntz(start)) | F.col("datetime").isNull())
+    return r.where((F.col("datetime") >= ntz(start)) & (F.col("datetime") < ntz(end)))
 
 
 def stations_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,35 @@ def test_single_shuffle_of_the_readings(spark):
     assert plan.index("HashAggregate(keys=[id#") > join
 
 
+def test_rollup_shuffles_once_after_the_names_join(spark):
+    """The executed rollup has one exchange on the station, line and week, none on the bucket."""
+    import re
+
+    from tally.config import RunConfig
+    from tally.operators import time_bucket, weekly_counts
+    from tally.sources import testbed as tb
+
+    r = tb.readings_view(spark, SF001)
+    deltas = r.select("id", "datetime", F.col("entries").alias("d_entries"))
+    wide = weekly_counts(time_bucket(deltas, RunConfig()), tb.counter_names(r))
+    wide.collect()
+    plan = wide._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    rollup = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "weekdate#" in x and "station#" in x]
+    assert len(rollup) == 1 and "time#" not in rollup[0], rollup
+
+
+def test_queries_use_every_reading(spark):
+    """Readings before the split seed the run, all later ones are its own."""
+    from tally.sources import testbed as tb
+
+    r = tb.readings_view(spark, SF001)
+    at = tb.split_points(r)
+    assert tb.latest_readings(r, at.start).count() == r.where(F.col("datetime") >= tb.ntz(at.start)).count()
+    assert tb.latest_readings(r, at.start, at.end).count() + tb.latest_readings(r, at.end).count() == tb.latest_readings(r, at.start).count()
+    assert at.start.weekday() == 5 and at.start.isoformat() == "2024-01-13T00:00:00"
+    assert tb.split_points(r.limit(0)).start.weekday() == 5
+
+
 def test_hot_counter_plan_partitions_by_chunk(spark):
     """Hot plan: the readings windows are partitioned by (id, time chunk), not by id alone."""
     import re
