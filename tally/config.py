@@ -43,16 +43,13 @@ class RunConfig:
     # D9 replaces names by the lookup's names with no fallback (reference).
     fallback_names: bool = False
     baseline_label: str = BASELINE_LABEL
-    # A counter with more than ``max_rows_per_key`` rows is hot: its readings
-    # are cut into time chunks of about that many rows, at most
-    # ``chunk_seconds`` and at least ``min_chunk_seconds`` wide.  The run's
-    # check sets ``chunk_seconds`` to the chosen width, or None (no hot counter).
-    chunk_seconds: int | None = 86_400
-    min_chunk_seconds: int = 1
+    # A counter with more than ``max_rows_per_key`` rows is hot: the readings are
+    # then cut by rank into ranges of about that many rows.  The run's check
+    # (``split_hot``) sets ``hot_ranges`` to their number, or leaves it None
+    # (no hot counter: plain windows); a number given here is used as it is.
+    split_hot: bool = True
     max_rows_per_key: int = 1_000_000
-    # Largest lookup / per-counter table broadcast to every task (about 50 MB
-    # for a per-counter table); larger sides are joined by shuffle.
-    broadcast_max_rows: int = 1_000_000
+    hot_ranges: int | None = None
     # Also export the snapshot and the accumulated table as CSV, as the
     # reference writes them (missing as "NA" and as empty respectively).
     export_state_csv: bool = False

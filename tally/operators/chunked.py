@@ -2,7 +2,7 @@
 
 A plain ``lag`` over ``partitionBy(id)`` puts every reading of one counter
 in one task; if one counter holds a third of the rows, so does that task.
-Here each key's rows are cut into time chunks and the window runs per
+Here the rows are cut into chunks along the order and the window runs per
 ``(key, chunk)``.  The value a chunk's first row needs from before the chunk
 comes from a small per-chunk summary (partial aggregation, so the hot key is
 combined map-side), shifted one chunk along a window over the summary, and
@@ -19,28 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["seeded_lag", "seeded_running_sum", "sort_exprs", "order_key", "chunk_width"]
+from tally.session import written
 
-_CHUNK = "__chunk"
-_SEED = "__seed"
+__all__ = ["CHUNK", "hot_ranges", "rank_chunks", "seeded_lag", "seeded_running_sum", "sort_exprs", "order_key"]
 
+#: Name of the column that ``rank_chunks`` adds.
+CHUNK = "chunk"
 
-def chunk_width(df: DataFrame, keys: list[str], ts: str, max_rows: int,
-                max_seconds: int, min_seconds: int = 1) -> int | None:
-    """Chunk width in seconds that splits the largest key into ~``max_rows``-row chunks.
-
-    One job: rows and time span per key (combined map-side), then the largest
-    key's count and span.  None when no key has more than ``max_rows`` rows.
-    Rows of one key at one instant cannot be split by time and stay together.
-    """
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                    F.min(ts).alias("t0"), F.max(ts).alias("t1"))
-    top = per_key.agg(F.max_by(F.struct("n", "t0", "t1"), "n").alias("top")).first()["top"]
-    if top is None or top["n"] <= max_rows:
-        return None
-    span = (top["t1"] - top["t0"]).total_seconds() if top["t0"] is not None else 0.0
-    width = int(span * max(max_rows, 1) / top["n"])
-    return max(min_seconds, min(max_seconds, width))
+_CHUNK = "__chunk"
+_SEED = "__seed"
 
 
 def sort_exprs(order: list[tuple[str, bool]]) -> list[Column]:
@@ -58,13 +45,37 @@ def order_key(order: list[tuple[str, bool]]) -> Column:
     return F.struct(*fields)
 
 
+def hot_ranges(df: DataFrame, keys: list[str], max_rows: int) -> int | None:
+    """Into how many ranges of about ``max_rows`` rows to cut ``df``; None if no key has more than that.
+
+    One grouped count, combined map-side.  A quarter more than needed, as the
+    bounds of the ranges come from a sample.
+    """
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    got = per_key.agg(F.max("n").alias("top"), F.sum("n").alias("rows")).first()
+    if got["top"] is None or got["top"] <= max_rows:
+        return None
+    return -(-5 * got["rows"] // (4 * max(max_rows, 1)))
+
+
+def rank_chunks(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], ranges: int) -> DataFrame:
+    """``df`` with a column ``CHUNK``: which of ``ranges`` near-equal ranges of (keys, order) a row lies in.
+
+    Rows are dealt by rank, so bursts and rows without a time are split like
+    any others, and a key spans as many chunks as its rows need; only rows equal
+    in the keys and the whole order stay together.  The result is written to
+    the checkpoint folder and read back, so all uses see the same bounds.
+    """
+    dealt = df.repartitionByRange(ranges, *[F.col(k).asc_nulls_first() for k in keys], *sort_exprs(order))
+    return written(dealt.withColumn(CHUNK, F.spark_partition_id()))
+
+
 def seeded_lag(df: DataFrame, keys: list[str], order: list[tuple[str, bool]],
                values: list[str], chunk: Column | None, prefix: str = "prev_") -> DataFrame:
     """Add ``prefix + v`` = ``lag(v)`` over ``partitionBy(keys).orderBy(order)``.
 
-    ``chunk`` must be a non-decreasing function of the order (e.g. the hour
-    chunk of the timestamp that leads the order); ``None`` runs the plain
-    window.  Ties in ``order`` are broken arbitrarily, as in any window, so
+    ``chunk`` must not decrease along the order of a key (e.g. the column of
+    ``rank_chunks``); ``None`` runs the plain window.  Ties in ``order`` are broken arbitrarily, as in any window, so
     ``values`` should be part of the order or equal among tied rows.
     """
     if chunk is None:

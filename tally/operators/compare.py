@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tally.config import BUCKETS, RunConfig
 from tally.functions.columns import drop_suffix
 from tally.functions.exprs import inf_to_null, ratio_r
-from tally.operators.joins import bounded_broadcast, join_nullsafe
+from tally.operators.joins import join_nullsafe
 from tally.schemas import BASELINE_KEYS, STATION_KEYS
 
 __all__ = ["baseline_ratio"]
@@ -26,12 +26,12 @@ def baseline_ratio(weekly: DataFrame, baseline: DataFrame, stations: DataFrame,
     """
     lab = "_" + cfg.baseline_label
     base = baseline.withColumn("week", F.col("week").cast("int"))
-    j = join_nullsafe(weekly, bounded_broadcast(base, cfg.broadcast_max_rows),
+    j = join_nullsafe(weekly, base,
                       BASELINE_KEYS, "left", suffixes=(lab, "_bl"))
     j = j.withColumns({f"d_{b}": ratio_r(f"{b}{lab}", f"{b}_bl") for b in BUCKETS})
     doubles = [f.name for f in j.schema.fields if isinstance(f.dataType, T.DoubleType)]
     j = j.withColumns({c: inf_to_null(c) for c in doubles})
-    j = join_nullsafe(j, bounded_broadcast(stations, cfg.broadcast_max_rows), STATION_KEYS, "left")
+    j = join_nullsafe(j, stations, STATION_KEYS, "left")
     if cfg.fallback_names:
         names = {"linename": F.coalesce("linename_new", "linename"),
                  "station": F.coalesce("station_new", "station")}

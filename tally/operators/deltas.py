@@ -8,15 +8,15 @@ cannot recover) and, after the direction join, ``sign``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.functions.exprs import gap_hours, time_chunk
-from tally.operators.chunked import chunk_width, seeded_lag
-from tally.operators.joins import bounded_broadcast, join_nullsafe
+from tally.functions.exprs import gap_hours
+from tally.operators.chunked import CHUNK, hot_ranges, rank_chunks, seeded_lag
+from tally.operators.joins import join_nullsafe
 
-__all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "reading_chunk", "split_hot_counters",
+__all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "split_hot_counters",
            "raw_deltas", "dominant_direction", "attach_direction", "clean_deltas"]
 
 SRC_PRIOR, SRC_NEW = 0, 1
@@ -24,39 +24,35 @@ ORDER_RAW = [("datetime", True), ("src", False), ("entries", True)]
 ORDER_CLEAN = ORDER_RAW + [("sign", False)]
 
 
-def reading_chunk(cfg: RunConfig) -> Column | None:
-    """Time chunk of a reading; splits one counter's readings across tasks."""
-    return time_chunk("datetime", cfg.chunk_seconds) if cfg.chunk_seconds else None
-
-
 def split_hot_counters(readings: DataFrame, cfg: RunConfig) -> RunConfig:
     """Decide the plan: chunked windows only if some counter has more than ``max_rows_per_key`` rows.
 
     Without a hot counter a plain window per counter is cheapest
-    (``chunk_seconds`` None).  With one, the chunk width is chosen so the
-    hottest counter's chunks hold about ``max_rows_per_key`` rows each.  The
-    check is one grouped aggregate, combined map-side.
+    (``hot_ranges`` None).  With one, ``hot_ranges`` says into how many ranges
+    the readings are cut.  The check is one grouped count, combined map-side.
     """
-    if not cfg.chunk_seconds:
+    if not cfg.split_hot or cfg.hot_ranges:
         return cfg
-    width = chunk_width(readings, ["id"], "datetime", cfg.max_rows_per_key,
-                        cfg.chunk_seconds, cfg.min_chunk_seconds)
-    return cfg.with_(chunk_seconds=width)
+    return cfg.with_(hot_ranges=hot_ranges(readings, ["id"], cfg.max_rows_per_key))
 
 
 def raw_deltas(prior: DataFrame | None, latest: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
     """Union the carried-over readings with the new ones and difference them.
 
     Output ``id, datetime, entries, src, d_entries``; the first row of each
-    ``id`` has a null delta, a null reading makes two null deltas.
+    ``id`` has a null delta, a null reading makes two null deltas.  With
+    ``cfg.hot_ranges`` the readings are cut into that many rank ranges and the
+    output carries ``chunk`` too, which the later steps go by.
     """
     parts = [latest.select("id", "datetime", "entries", F.lit(SRC_NEW).alias("src"))]
     if prior is not None:
         parts.insert(0, prior.select("id", "datetime", "entries", F.lit(SRC_PRIOR).alias("src")))
     u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    d = seeded_lag(u, ["id"], ORDER_RAW, ["entries"], reading_chunk(cfg))
+    if cfg.hot_ranges:
+        u = rank_chunks(u, ["id"], ORDER_RAW, cfg.hot_ranges)
+    d = seeded_lag(u, ["id"], ORDER_RAW, ["entries"], F.col(CHUNK) if cfg.hot_ranges else None)
     return d.select("id", "datetime", "entries", "src",
-                    (F.col("entries") - F.col("prev_entries")).alias("d_entries"))
+                    (F.col("entries") - F.col("prev_entries")).alias("d_entries"), *([CHUNK] if cfg.hot_ranges else []))
 
 
 def dominant_direction(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
@@ -82,12 +78,13 @@ def attach_direction(raw: DataFrame, cfg: RunConfig = RunConfig(),
 
     Readings of counters without a direction drop out, as the reference's
     left join followed by a null-rejecting filter does.  Without hot counters
-    (``cfg.chunk_seconds`` is None) the vote is a window over the counter, on
+    (``raw`` has no ``chunk``) the vote is a window over the counter, on
     the partitioning ``raw`` already has, and the tie fan-out is an
-    ``explode``: no join and no shuffle.  With hot counters, or an explicit
-    ``direction`` table, it is a join with the (size-checked) vote table.
+    ``explode``: no join and no shuffle.  With hot counters it is a join with
+    the vote table on counter and chunk, so no task gets a whole hot counter.
     """
-    if direction is None and cfg.chunk_seconds is None:
+    hot = CHUNK in raw.columns
+    if direction is None and not hot:
         w = Window.partitionBy("id")
         sign = F.signum("d_entries")
         counted = raw.withColumns({
@@ -102,7 +99,10 @@ def attach_direction(raw: DataFrame, cfg: RunConfig = RunConfig(),
         return counted.select(*raw.columns, F.explode(dirs).alias("sign"))
     if direction is None:
         direction = dominant_direction(raw, cfg)
-    return join_nullsafe(raw, bounded_broadcast(direction, cfg.broadcast_max_rows), ["id"], "inner")
+    if not hot:
+        return join_nullsafe(raw, direction, ["id"], "inner")
+    voted = join_nullsafe(raw.select("id", CHUNK).distinct(), direction, ["id"], "inner")
+    return join_nullsafe(raw, voted, ["id", CHUNK], "inner")
 
 
 def clean_deltas(raw: DataFrame, direction: DataFrame | None = None,
@@ -118,7 +118,8 @@ def clean_deltas(raw: DataFrame, direction: DataFrame | None = None,
     keep = (moved >= 0) & ~F.isnan(moved)
     if cfg.keep_first_interval:
         keep = keep | (F.col("d_entries").isNull() & (F.col("src") == SRC_PRIOR))
-    s = seeded_lag(j.where(keep), ["id"], ORDER_CLEAN, ["entries", "datetime"], reading_chunk(cfg))
+    s = seeded_lag(j.where(keep), ["id"], ORDER_CLEAN, ["entries", "datetime"],
+                   F.col(CHUNK) if CHUNK in raw.columns else None)
     d = s.select("id", "datetime", "entries", "src", "sign",
                  ((F.col("entries") - F.col("prev_entries")) * F.col("sign")).alias("d_entries"),
                  gap_hours("datetime", "prev_datetime", cfg.gap_rounding).alias("d_time"))

@@ -3,7 +3,9 @@
 Every join of the reference treats NA keys as equal, so keys are compared
 with ``<=>``.  Spark still plans these as hash / sort-merge joins on
 ``(coalesce(k), isnull(k))``, never as a nested loop.  Non-key columns present
-on both sides get suffixes, as the reference's joins do.
+on both sides get suffixes, as the reference's joins do.  No side is marked for
+broadcast: Spark broadcasts one only if its bytes, measured at run time (AQE),
+are below ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["join_nullsafe", "bounded_broadcast", "held_frames", "hold", "release"]
+__all__ = ["join_nullsafe", "held_frames", "hold", "release"]
 
-# Frames persisted by the operators (checked broadcast sides, the D5 join);
+# Frames persisted by the operators (the D5 join, the readings of a run);
 # a run releases them once its outputs are written.
 _HELD: list[DataFrame] = []
 
@@ -39,24 +41,6 @@ def release(since: int = 0) -> None:
         _HELD.pop().unpersist()
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows of the frame, which is
-    persisted first so the join reuses what the check computed.  Above the
-    bound the frame is released and returned as is: Spark plans a shuffle
-    join (AQE may still convert it at run time from measured sizes).
-    """
-    if max_rows <= 0:
-        return df
-    held = hold(df)
-    if held.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(held)
-    _HELD.remove(held)
-    held.unpersist()
-    return df
-
-
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
                   suffixes: tuple[str, str] = (".x", ".y")) -> DataFrame:
     """Join on ``keys`` with null-safe equality; output keeps one copy of each key.

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.operators.joins import bounded_broadcast, hold, join_nullsafe
+from tally.operators.chunked import CHUNK
+from tally.operators.joins import hold, join_nullsafe
 
 __all__ = ["latest_per_counter", "snapshot_join", "growing_copies", "enrich_new_counters", "next_snapshot"]
 
@@ -17,12 +18,12 @@ def latest_per_counter(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFram
     A counter with any null ``datetime`` has a null maximum in the reference
     and drops out entirely (T4).  The maximum is a grouped aggregate (combined
     map-side), joined back on ``(id, datetime)``, which spreads a hot counter
-    over many tasks.  Without hot counters (``cfg.chunk_seconds`` is None) it is a
+    over many tasks.  Without hot counters (``raw`` has no ``chunk``) it is a
     window over the counter on ``raw``'s own partitioning instead.
     Output ``id, datetime, entries, d_entries``.
     """
     cols = ["id", "datetime", "entries", "d_entries"]
-    if cfg.chunk_seconds is None:
+    if CHUNK not in raw.columns:
         w = Window.partitionBy("id")
         return (raw.select(*cols, F.max("datetime").over(w).alias("__max"),
                            F.max(F.col("datetime").isNull()).over(w).alias("__any_null"))
@@ -33,9 +34,8 @@ def latest_per_counter(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFram
                 F.max(F.col("datetime").isNull()).alias("__any_null"))
            .where(~F.col("__any_null"))
            .select("id", F.col("__max").alias("datetime")))
-    top = bounded_broadcast(top, cfg.broadcast_max_rows)
-    return join_nullsafe(raw.select(*cols), top,
-                         ["id", "datetime"], "inner")
+    timed = raw.where(F.col("datetime").isNotNull())  # the others never match
+    return join_nullsafe(timed.select(*cols), top, ["id", "datetime"], "inner")
 
 
 def snapshot_join(latest_rows: DataFrame, prior: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
@@ -67,7 +67,7 @@ def enrich_new_counters(unnamed: DataFrame, latest: DataFrame, stations: DataFra
     names = latest.select("id", "station", "linename").distinct()
     s = stations.select("station", "linename", "station_new", "linename_new")
     j = join_nullsafe(unnamed.select("id", "datetime", "entries"), names, ["id"], "left")
-    j = join_nullsafe(j, bounded_broadcast(s, cfg.broadcast_max_rows), ["station", "linename"], "left")
+    j = join_nullsafe(j, s, ["station", "linename"], "left")
     return j.select("id", "datetime", "entries",
                     F.coalesce("station_new", "station").alias("station"),
                     F.coalesce("linename_new", "linename").alias("linename"))

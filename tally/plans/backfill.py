@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tally.config import RunConfig
 from tally.plans.week import WeekResult, run_week
 from tally.schemas import SNAPSHOT, WEEKLY
+from tally.session import size_shuffles
 from tally.sources.readings import read_readings
 from tally.sources.store import Store
 
@@ -47,6 +48,7 @@ def run_landed_week(spark: SparkSession, store: Store, run_date: dt.date, readin
     c = cfg.with_(run_date=run_date)
     prev = c.prior_date()
     if latest is None:
+        size_shuffles(spark, readings_path)
         latest = read_readings(spark, readings_path, c)
     return run_week(spark, c, latest,
                     store.read(spark, "snapshots", prev, SNAPSHOT),

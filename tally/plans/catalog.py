@@ -20,6 +20,7 @@ from tally.config import RunConfig
 from tally.functions.columns import drop_columns, lower_names, rename_columns
 from tally.functions.exprs import (concat_strict, not_in_keep_null, parse_mdy_hms,
                                    saturday_floor, week_number, yymmdd)
+from tally.operators.chunked import CHUNK
 from tally.operators.compare import baseline_ratio
 from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas
 from tally.operators.snapshot import latest_per_counter, next_snapshot, snapshot_join
@@ -91,7 +92,7 @@ def parse_timestamp(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> D
 
 def raw_deltas_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Carried-over + new readings, first difference per counter."""
-    return _raw(spark, sf_dir, cfg)[0]
+    return _raw(spark, sf_dir, cfg)[0].drop(CHUNK)
 
 
 def dominant_direction_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
@@ -253,10 +254,10 @@ def read_readings_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> D
     return read_readings(spark, path, cfg)
 
 
-# The same queries with every counter treated as hot: windows run per
-# (counter, 6-hour chunk) with seed rows, the vote and the latest reading use
-# grouped aggregates and joins.  They must equal the plain plans exactly.
-SPLIT_CFG = RunConfig(chunk_seconds=6 * 3600, min_chunk_seconds=6 * 3600, max_rows_per_key=0)
+# The same queries with the readings cut into 64 rank ranges, as for hot counters:
+# windows run per (counter, range) with seed rows, the vote and the latest reading
+# use grouped aggregates and joins.  They must equal the plain plans exactly.
+SPLIT_CFG = RunConfig(hot_ranges=64)
 
 
 def _split(fn):

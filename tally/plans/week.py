@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tally.config import RunConfig
@@ -46,9 +45,8 @@ def weekly_from_readings(prior: DataFrame | None, latest: DataFrame, names: Data
     if not checked:
         cfg = split_hot_counters(latest, cfg)
     raw = raw_deltas(prior, latest, cfg)
-    if cfg.chunk_seconds:
-        # hot counters: the vote table and the chunk seeds each re-read raw
-        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    if cfg.hot_ranges:
+        raw = hold(raw)  # hot counters: the vote table and the chunk seeds each re-read raw
     clean = clean_deltas(raw, None, cfg)
     return weekly_counts(time_bucket(clean, cfg), names, cfg)
 

@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of a post-shuffle partition and of a scan split.
+PARTITION_BYTES = 256 << 20
 
 # Fixed settings every session of the engine gets.
 ENGINE_CONF = {
@@ -77,3 +81,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="tally-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back: cuts lineage, fixes what chance decided."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tally-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions_for(input_bytes: int, least: int = 1) -> int:
+    """Partitions that hold ``PARTITION_BYTES`` of the input each, at least ``least``."""
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
+def size_shuffles(spark: SparkSession, paths: list[str] | str) -> int:
+    """Raise ``spark.sql.shuffle.partitions`` to fit the files at ``paths``; AQE merges, but never adds partitions."""
+    total = 0
+    for path in [paths] if isinstance(paths, str) else paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.globStatus(p) or []:
+            total += fs.getContentSummary(found.getPath()).getLength()
+    n = shuffle_partitions_for(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n

@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.functions.exprs import time_chunk
-from tally.operators.chunked import chunk_width, seeded_running_sum
-from tally.operators.joins import bounded_broadcast
+from tally.operators.chunked import CHUNK, rank_chunks, seeded_running_sum
+from tally.operators.deltas import split_hot_counters
 
 __all__ = ["SPLIT", "BASE_END", "Split", "split_points", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
            "latest_readings", "stations_lookup", "counter_names", "ntz"]
@@ -81,20 +80,16 @@ def readings_view_cfg(spark: SparkSession, sf_dir: str,
     ev = load(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("id"), "user_id", "event_id", F.col("ts").alias("datetime"),
         F.round(F.col("value") * 100).cast("long").alias("cents"))
-    width = None
-    if cfg.chunk_seconds:
-        width = chunk_width(ev, ["id"], "datetime", cfg.max_rows_per_key,
-                            cfg.chunk_seconds, cfg.min_chunk_seconds)
-    cfg = cfg.with_(chunk_seconds=width)
-    chunk = time_chunk("datetime", width) if width else None
+    cfg = split_hot_counters(ev, cfg)
+    order = [("datetime", True), ("event_id", True)]
+    if cfg.hot_ranges:
+        ev = rank_chunks(ev, ["id"], order, cfg.hot_ranges)
     # Partitioned by the counter id, so the deltas' windows can reuse it.
-    run = seeded_running_sum(ev, ["id"], [("datetime", True), ("event_id", True)],
-                             "cents", "total", chunk)
+    run = seeded_running_sum(ev, ["id"], order, "cents", "total", F.col(CHUNK) if cfg.hot_ranges else None)
     nation = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("station"), "n_regionkey")
     region = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"),
                                                   F.col("r_name").alias("linename"))
-    names = bounded_broadcast(nation.join(region, "n_regionkey").drop("n_regionkey"),
-                              cfg.broadcast_max_rows)
+    names = nation.join(region, "n_regionkey").drop("n_regionkey")
     r = run.join(names, (F.col("user_id") % 25) == F.col("n_nationkey"))
     sign = F.when(F.col("user_id") % 7 == 0, F.lit(-1)).otherwise(F.lit(1))
     # The view stands for a landed readings table: every query reads it many

@@ -6,16 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.operators import clean_deltas, dominant_direction, raw_deltas
+from tally.operators import clean_deltas, dominant_direction, latest_per_counter, raw_deltas
 from tally.operators.chunked import seeded_lag, seeded_running_sum
 from tally.operators.deltas import ORDER_RAW, split_hot_counters
 from tally.functions import time_chunk
 from tally.sources import testbed as tb
 from tests.conftest import READ_SCHEMA, SF01, frame, hourly, ts
 
-PLAIN = RunConfig(chunk_seconds=None)
-# Chunks of one hour over hourly readings: every row is a chunk boundary.
-CHUNKED = RunConfig(chunk_seconds=3600, min_chunk_seconds=3600, max_rows_per_key=0)
+PLAIN = RunConfig(split_hot=False)
+# More ranges than a hand-made counter has readings: (nearly) every row is a chunk boundary.
+CHUNKED = RunConfig(hot_ranges=12)
 
 
 def run(spark, values, cfg=PLAIN, prior=None, id_="c"):
@@ -83,7 +83,7 @@ def test_t6_nan_reading_is_dropped(spark):
 
 def test_first_interval_option(spark):
     prior = [("c", ts(8, 7), 99.0)]
-    keep = RunConfig(chunk_seconds=None, keep_first_interval=True)
+    keep = RunConfig(split_hot=False, keep_first_interval=True)
     _, _, ref = run(spark, [100, 101, 102, 103, 104], PLAIN, prior)
     _, _, kept = run(spark, [100, 101, 102, 103, 104], keep, prior)
     assert [r.entries for r in ref.orderBy("datetime").collect()] == [101.0, 102.0, 103.0, 104.0]
@@ -98,7 +98,7 @@ def test_t12_gap_filter(spark):
     clean = clean_deltas(raw, dominant_direction(raw, PLAIN), PLAIN)
     assert [(r.entries, r.d_time) for r in clean.orderBy("datetime").collect()] == \
         [(2.0, -1), (3.0, -1), (4.0, -12), (5.0, -12)]
-    floor = RunConfig(chunk_seconds=None, gap_rounding="floor")
+    floor = RunConfig(split_hot=False, gap_rounding="floor")
     clean_f = clean_deltas(raw, dominant_direction(raw, floor), floor)
     assert [r.entries for r in clean_f.orderBy("datetime").collect()] == [2.0, 3.0, 4.0]
 
@@ -121,11 +121,11 @@ def _rows(df, cols):
 def test_chunked_equals_plain_on_events(spark):
     """The skew-splitting windows give exactly the plain-window results."""
     r_plain = tb.readings_view(spark, SF01, PLAIN)
-    r_chunk = tb.readings_view(spark, SF01, RunConfig(chunk_seconds=21600, min_chunk_seconds=21600, max_rows_per_key=0))
+    r_chunk = tb.readings_view(spark, SF01, RunConfig(hot_ranges=64))
     cols = ["id", "datetime", "entries"]
     assert _rows(r_plain, cols) == _rows(r_chunk, cols)
     prior, latest = tb.prior_snapshot(r_plain, PLAIN), tb.latest_readings(r_plain)
-    for cfg in (RunConfig(chunk_seconds=21600, min_chunk_seconds=21600, max_rows_per_key=0), RunConfig(chunk_seconds=3600, min_chunk_seconds=3600, max_rows_per_key=0)):
+    for cfg in (RunConfig(hot_ranges=64), RunConfig(hot_ranges=12)):
         raw_p = raw_deltas(prior, latest, PLAIN)
         raw_c = raw_deltas(prior, latest, cfg)
         cols = ["id", "datetime", "entries", "src", "d_entries"]
@@ -153,10 +153,44 @@ def test_window_vote_equals_vote_table(spark):
 
 def test_hot_counter_split_decision(spark):
     latest = frame(spark, hourly("hot", range(50)) + hourly("cold", range(3)), READ_SCHEMA)
-    # 50 hourly readings over 49 h, at most 10 rows per chunk: chunks of 49 h * 10 / 50
-    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10)).chunk_seconds == 49 * 3600 * 10 // 50
-    assert split_hot_counters(latest, RunConfig(max_rows_per_key=100)).chunk_seconds is None
-    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10, chunk_seconds=600)).chunk_seconds == 600
+    # 53 readings in ranges of at most 10, a quarter more ranges than needed
+    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10)).hot_ranges == 7
+    assert split_hot_counters(latest, RunConfig(max_rows_per_key=50)).hot_ranges is None
+    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10, split_hot=False)).hot_ranges is None
+    assert split_hot_counters(latest, RunConfig(max_rows_per_key=10, hot_ranges=3)).hot_ranges == 3
+    assert split_hot_counters(latest.limit(0), RunConfig(max_rows_per_key=0)).hot_ranges is None
+
+
+def _burst(n):
+    """One early reading, the rest within 20 seconds."""
+    t0 = ts(8)
+    return [("hot", t0, 0.0)] + [("hot", t0 + dt.timedelta(days=6, microseconds=20_000_000 * i // n), float(i)) for i in range(1, n)]
+
+
+def _timeless(n):
+    """Nine readings in ten have no time."""
+    return [("hot", ts(8) + dt.timedelta(seconds=i) if i % 10 == 0 else None, float(i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("make", [_burst, _timeless])
+def test_hot_counter_is_split_by_rank(spark, make):
+    """Bursts and readings without a time are split like any others, with the plain result."""
+    latest = frame(spark, make(20_000) + hourly("cold", range(9)), READ_SCHEMA)
+    cfg = split_hot_counters(latest, RunConfig(max_rows_per_key=1000))
+    raw = raw_deltas(None, latest, cfg)
+    largest = raw.groupBy("id", "chunk").count().agg(F.max("count")).first()[0]
+    assert largest <= 1300, largest
+    plain = raw_deltas(None, latest, PLAIN)
+
+    def digest(df, *cols):  # order-free; nulls count as a value
+        return df.select(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]).cast("decimal(38,0)").alias("h")) \
+            .agg(F.count("h"), F.sum("h")).first()
+
+    assert digest(raw, "id", "datetime", "entries", "src", "d_entries") == digest(plain, "id", "datetime", "entries", "src", "d_entries")
+    cols = ["id", "datetime", "entries", "sign", "d_entries", "d_time"]
+    assert digest(clean_deltas(raw, None, cfg), *cols) == digest(clean_deltas(plain, None, PLAIN), *cols)
+    cols = ["id", "datetime", "entries", "d_entries"]
+    assert digest(latest_per_counter(raw, cfg), *cols) == digest(latest_per_counter(plain, PLAIN), *cols)
 
 
 def test_seeded_running_sum_matches_plain(spark):

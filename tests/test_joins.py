@@ -1,23 +1,35 @@
-"""Size-checked broadcast, null-safe joins and chunk sizing."""
+"""Null-safe joins, broadcasts by bytes and shuffle sizes."""
 
-import datetime as dt
+from tally.operators.joins import join_nullsafe
+from tally.session import shuffle_partitions_for, size_shuffles
 
-from tally.operators.chunked import chunk_width
-from tally.operators.joins import _HELD, bounded_broadcast, join_nullsafe, release
 
+def test_broadcast_follows_the_bytes(spark):
+    """No side is marked; Spark broadcasts a side only below its threshold of bytes."""
+    big, small = spark.range(1000).withColumnRenamed("id", "k"), spark.range(10).selectExpr("id as k", "id as v")
 
-def _hinted(df):
-    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    def plan():
+        df = join_nullsafe(big, small, ["k"], "left")
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
+    assert "BroadcastHashJoin" in plan()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "BroadcastHashJoin" not in plan() and "NestedLoop" not in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
-def test_broadcast_only_under_bound(spark):
-    small = spark.createDataFrame([(1,), (2,), (3,)], "k int")
-    assert _hinted(bounded_broadcast(small, 3))
-    assert not _hinted(bounded_broadcast(small, 2))
-    assert not _hinted(bounded_broadcast(small, 0))
-    assert len(_HELD) >= 1
-    release()
-    assert not _HELD
+
+def test_shuffle_partitions_follow_the_input(spark, tmp_path):
+    assert shuffle_partitions_for(0, 8) == 8
+    assert shuffle_partitions_for((256 << 20) * 400 + 1, 200) == 401
+    assert shuffle_partitions_for(100 << 40, 200) == 409_600
+    (tmp_path / "a.txt").write_text("x" * 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert size_shuffles(spark, [str(tmp_path / "a.txt"), str(tmp_path / "none*.txt")]) == int(before)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
 def test_nullsafe_join_suffixes(spark):
@@ -29,16 +41,6 @@ def test_nullsafe_join_suffixes(spark):
         (None, 1.0, 3.0), ("x", 2.0, None), ("y", None, 4.0)]))
 
 
-def test_chunk_width(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [("hot", t0 + dt.timedelta(minutes=i)) for i in range(100)] + [("cold", t0)]
-    df = spark.createDataFrame(rows, "id string, datetime timestamp_ntz")
-    assert chunk_width(df, ["id"], "datetime", 100, 86400) is None          # nobody above 100 rows
-    assert chunk_width(df, ["id"], "datetime", 10, 86400) == 99 * 60 * 10 // 100
-    same = spark.createDataFrame([("hot", t0)] * 20, "id string, datetime timestamp_ntz")
-    assert chunk_width(same, ["id"], "datetime", 5, 86400, 7) == 7          # one instant: floor width
-
-
 def test_checkpoint_dir_is_read_from_the_session(spark):
     import tempfile
 

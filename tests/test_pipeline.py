@@ -102,7 +102,7 @@ def test_single_shuffle_of_the_readings(spark):
     r = tb.readings_view(spark, SF001)
     r.write.parquet(f"{root}/readings")
     scan = spark.read.parquet(f"{root}/readings")
-    plain = RunConfig(chunk_seconds=None)
+    plain = RunConfig(split_hot=False)
     clean = clean_deltas(raw_deltas(None, scan, plain), None, plain)
     plan = clean._jdf.queryExecution().executedPlan().toString()
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
@@ -152,7 +152,7 @@ def test_hot_counter_plan_partitions_by_chunk(spark):
     from tally.sources import testbed as tb
 
     r = tb.readings_view(spark, SF001)
-    hot = RunConfig(chunk_seconds=6 * 3600, min_chunk_seconds=6 * 3600, max_rows_per_key=0)
+    hot = RunConfig(hot_ranges=64)
     clean = clean_deltas(raw_deltas(None, r, hot), None, hot)
     plan = clean._jdf.queryExecution().executedPlan().toString()
     # Window [expressions], [partition keys], [order].  Lags over the readings run per

@@ -8,7 +8,7 @@ from tally.operators.snapshot import growing_copies
 from tally.session import ensure_checkpoint_dir
 from tests.conftest import READ_SCHEMA, SNAP_SCHEMA, frame, ts
 
-CFG = RunConfig(chunk_seconds=None)
+CFG = RunConfig(split_hot=False)
 STATIONS = "station string, linename string, station_new string, linename_new string"
 
 
@@ -74,7 +74,7 @@ def test_t2_null_id_is_a_counter(spark):
 @pytest.mark.parametrize("distinct, copies", [(False, [2, 4, 16, 256]), (True, [2, 2, 2, 2])])
 def test_tied_rows_of_an_absent_counter(spark, distinct, copies):
     """The reference's join squares them from run to run; distinct names keep them as they are."""
-    cfg = RunConfig(chunk_seconds=None, distinct_prior_names=distinct)
+    cfg = RunConfig(split_hot=False, distinct_prior_names=distinct)
     snap = frame(spark, [("a", ts(1), 1.0, "S1", "L1"), ("a", ts(1), 2.0, "S1", "L1"),
                          ("b", ts(1), 5.0, "S2", "L2")], SNAP_SCHEMA)
     none = frame(spark, [], STATIONS)

@@ -7,7 +7,7 @@ from tally.operators import merge_weekly, time_bucket, weekly_counts
 from tally.schemas import WEEKLY
 from tests.conftest import frame
 
-CFG = RunConfig(chunk_seconds=None)
+CFG = RunConfig(split_hot=False)
 DELTAS = "id string, datetime timestamp_ntz, d_entries double"
 NAMES = "id string, station string, linename string"
 
