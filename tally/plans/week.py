@@ -56,8 +56,8 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
              store: Store | None = None) -> WeekResult:
     """Run one week.  ``latest`` is D1's output for this run's file.
 
-    With a ``store``, the snapshot, new counters, merged table and baseline
-    export are written as version ``cfg.file_date()``, later steps read the
+    With a ``store``, the snapshot, new counters, weekly counts, merged table and
+    baseline export are written as version ``cfg.file_date()``, later steps read the
     written snapshot back (K5), and everything the run persisted is released
     at the end.  ``raw`` has three consumers and is persisted.
     """
@@ -91,6 +91,8 @@ def _run_week(spark, cfg, latest, prior, accumulated, stations, baseline, store)
 
     clean = clean_deltas(raw, None, cfg)
     weekly = weekly_counts(time_bucket(clean, cfg), snapshot, cfg)
+    if store is not None:
+        weekly = store.publish(spark, weekly, "week_counts", day)  # the result doesn't recompute the run
     merged = merge_weekly(weekly, accumulated)
     if store is not None:
         merged = store.publish(spark, merged, "weekly", day)

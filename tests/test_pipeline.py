@@ -38,6 +38,10 @@ def test_two_week_outputs(spark, two_weeks):
     w2 = st.read(spark, "weekly", WEEK2, WEEKLY)
     assert w1.count() > 0 and w2.count() >= w1.count()
     assert delta.count() == w2.count()
+    # a run's own counts are a written version too, merged into the accumulated table
+    own = st.read(spark, "week_counts", WEEK2)
+    assert 0 < own.count() <= w2.count()
+    assert own.join(w2.select("linename", "station", "weekdate", "week"), ["linename", "station", "weekdate", "week"], "left_anti").isEmpty()
     assert {"d_weekend", "weekend_2022", "weekend_bl"} <= set(delta.columns)
 
 
