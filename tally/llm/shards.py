@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tally.llm.common import keep, read
 
 LAW = "key"
+#: Up to so many buckets (two longs each) their offsets are broadcast; beyond, they are joined by shuffle.
+MAX_BROADCAST = 500_000
 
 
 def shard_of(doc_id: Column, shards: int, seed: int = 0) -> Column:
@@ -83,6 +85,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 0, bucket_
     counts = written.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("offset"))
+    if shards * each <= MAX_BROADCAST:  # a row a bucket: the written rows needn't be shuffled to meet them
+        offsets = F.broadcast(offsets)
     return (written.join(offsets, "bucket")
             .select("row", "size", "shard", (F.col("offset") + F.col("place")).alias("slot"), "grown_shard"))
 
