@@ -244,6 +244,14 @@ def test_shards(spark, docs):
     assert got == shards.query(spark, SF).collect() or sorted(got) == sorted(shards.query(spark, SF).collect())
 
 
+def test_shards_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    a = shards.shuffle_into_shards(df, shards=3, bucket_bytes=20_000).select("row.doc_id", "shard", "slot").collect()
+    monkeypatch.setattr(shards, "MAX_BROADCAST", 0)
+    b = shards.shuffle_into_shards(df, shards=3, bucket_bytes=20_000).select("row.doc_id", "shard", "slot").collect()
+    assert sorted(a) == sorted(b)
+
+
 def test_shards_in_small_buckets(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     a = shards.shuffle_into_shards(df, shards=3, bucket_bytes=20_000).select("row.doc_id", "shard", "slot").collect()
