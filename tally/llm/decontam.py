@@ -1,12 +1,14 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact check.
 
 For every benchmark item of L words, windows of L words of every document are
-compared with it.  Words are lower-cased runs of letters and digits; shingles
-have five words (an item of fewer words is one shingle).
+compared with it; a document of fewer words is one window, whole.  Words are
+lower-cased runs of letters and digits; shingles have five words (an item of
+fewer words is one shingle).
 
 * A window as similar as asked shares at least ``similarity`` of its shingles
   with the item, so only windows with that many shingles of the benchmark's
-  items of L words are fingerprinted; no match is lost by that.  The vocabulary
+  items of L words are fingerprinted; no match is lost by that, of short
+  documents neither.  The vocabulary
   is a bit filter of fixed size.
 * Fingerprints are cut into ``radius + 1`` blocks.  Two within ``radius`` bits
   agree on a block, so joining windows and items on (L, block, value) finds all
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tally.llm.common import _BASE, Words, keep, mix64, read, slices
 
 SHINGLE = 5
-_WINDOW = "row_id long, size int, word_start long, wid binary, fp long, shingles binary"
+_WINDOW = "row_id long, size int, word_start long, n_words int, wid binary, fp long, shingles binary"
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -65,8 +67,9 @@ def sized(shingles: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows_of(w: Words, vocabulary: np.ndarray, sizes: list[int], similarity: float):
-    """(size, first word) of windows with enough shingles of items of their size.
+    """(size, first word, words) of windows with enough shingles of items of ``size`` words.
 
+    A window has ``size`` words, or all of a text of fewer.
     ``vocabulary`` is a bit map of all shingles and of all ``sized`` ones.
     """
     bits = np.uint64(len(vocabulary) * 8 - 1)
@@ -75,7 +78,8 @@ def windows_of(w: Words, vocabulary: np.ndarray, sizes: list[int], similarity: f
         slot = (h & bits).astype(np.int64)
         return (vocabulary[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
-    last = np.repeat(w.first[1:], np.diff(w.first))
+    lengths = np.diff(w.first)
+    last = np.repeat(w.first[1:], lengths)
     hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in sizes:
         n = min(SHINGLE, size)
@@ -91,6 +95,10 @@ def windows_of(w: Words, vocabulary: np.ndarray, sizes: list[int], similarity: f
         need = max(1, int(np.ceil(similarity * m - 1e-9)))
         if len(at) < need:
             continue
+        short = np.flatnonzero((lengths < size) & (lengths - n + 1 >= need))
+        held = np.searchsorted(at, w.first[short + 1]) - np.searchsorted(at, w.first[short])
+        for t in short[held >= need].tolist():
+            yield size, int(w.first[t]), int(lengths[t])
         # each window once: at[j] is its first shingle of the vocabulary, at[j + need - 1] lies in it too
         lo = np.maximum(at[need - 1:] - m + 1, np.concatenate([[0], at[:-1] + 1])[:len(at) - need + 1])
         hi = at[:len(at) - need + 1]
@@ -99,7 +107,7 @@ def windows_of(w: Words, vocabulary: np.ndarray, sizes: list[int], similarity: f
         if count.sum():
             start = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             for s in start[start + size <= last[start]].tolist():
-                yield size, s
+                yield size, s, size
 
 
 def _windows(vocabulary, sizes, similarity: float):
@@ -110,20 +118,20 @@ def _windows(vocabulary, sizes, similarity: float):
             w = Words(b.column("text"), alnum=True)
             rows = []
             ids = b.column("row_id").to_pylist()
-            for size, s in windows_of(w, bitmap, sizes.value, similarity):
+            for size, s, words in windows_of(w, bitmap, sizes.value, similarity):
                 n = min(SHINGLE, size)
                 text = int(np.searchsorted(w.first, s, side="right")) - 1
-                shingles = w.ngrams_at(n, s, size - n + 1)
+                shingles = w.ngrams_at(n, s, words - n + 1)
                 packed = shingles.astype("<u8").tobytes()
                 wid = xxhash.xxh3_128_digest(packed)
                 if wid not in known:
                     if len(known) > 100_000:
                         known.clear()
                     known[wid] = simhash(shingles)
-                rows.append((ids[text], size, s - int(w.first[text]), wid, known[wid], packed))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row_id", "size", "word_start", "wid", "fp", "shingles"])
+                rows.append((ids[text], size, s - int(w.first[text]), words, wid, known[wid], packed))
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row_id", "size", "word_start", "n_words", "wid", "fp", "shingles"])
     return run
 
 
@@ -140,7 +148,7 @@ def _verify(similarity: float):
         for b in batches:
             s = np.array([similarity_of(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())], dtype=float)
             ok = pa.array(s >= similarity - 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column("wid"), b.column("item_id"), b.column("distance"), pa.array(s)], ["wid", "item_id", "distance", "similarity"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([b.column("wid"), b.column("size"), b.column("item_id"), b.column("distance"), pa.array(s)], ["wid", "size", "item_id", "distance", "similarity"]).filter(ok)
     return run
 
 
@@ -148,7 +156,8 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius:
     """``(row_id, item_id, similarity, distance, word_start, n_words)``: the best window per row id and item.
 
     ``docs`` needs ``row_id`` (long) and ``text``, ``items`` ``item_id`` and
-    ``text``; other columns are not read.  Null and empty texts hold no window;
+    ``text``; other columns are not read.  Null and empty texts hold no window,
+    a text of fewer words than an item is its one window for it (``n_words``);
     rows that share an id, null too, are one document's parts; repeated items
     each match; ties go to the more similar, then closer, then earlier window;
     either table empty gives an empty result.  The filter is a bit map of
@@ -177,12 +186,13 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius:
             .where(F.col("distance") <= radius).select("wid", "size", "item_id", "item_fp", "distance").distinct())
     whole = bench.select(F.col("item_id").alias("id"), F.col("size").alias("words"), F.col("fp").alias("its"), F.col("shingles").alias("b")).distinct()
     same = near["item_id"].eqNullSafe(whole["id"]) & (near["size"] == whole["words"]) & (near["item_fp"] == whole["its"])
-    pairs = near.join(whole, same).join(distinct.select("wid", "size", "a"), ["wid", "size"]).select("wid", "item_id", "distance", "a", "b")
-    good = pairs.mapInArrow(_verify(similarity), "wid binary, item_id long, distance int, similarity double")
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (-F.col("word_start")).alias("early"), "size")).alias("best")
-    return (found.select("row_id", "wid", "word_start", "size").join(good, "wid").groupBy("row_id", "item_id").agg(best)
+    pairs = near.join(whole, same).join(distinct.select("wid", "size", "a"), ["wid", "size"]).select("wid", "size", "item_id", "distance", "a", "b")
+    good = pairs.mapInArrow(_verify(similarity), "wid binary, size int, item_id long, distance int, similarity double")
+    best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (-F.col("word_start")).alias("early"), "n_words")).alias("best")
+    # by size too: as many words can be a short text to one item and a window of another's size in a longer text
+    return (found.select("row_id", "wid", "word_start", "size", "n_words").join(good, ["wid", "size"]).groupBy("row_id", "item_id").agg(best)
             .select("row_id", "item_id", "best.similarity", (-F.col("best.near")).alias("distance"),
-                    (-F.col("best.early")).alias("word_start"), F.col("best.size").alias("n_words")))
+                    (-F.col("best.early")).alias("word_start"), "best.n_words"))
 
 
 def _slots(bits: int):

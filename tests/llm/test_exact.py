@@ -173,6 +173,32 @@ def test_decontamination_finds_edited_copies(spark):
     assert got[0, 1].similarity == 1 and got[0, 1].word_start == 30 and got[0, 1].n_words == 80 and got[1, 1].similarity == pytest.approx(71 / 81)
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["w%d" % i for i in range(400)]
+    a, b = (list(map(str, rng.choice(vocabulary, n))) for n in (37, 45))
+    c = b[:37]  # 37 words, so a window of c's size is a short text to b
+    items = {1: a, 2: b, 3: c, 4: ["four", "words", "make", "one"], 5: ["x", "y"] * 9}
+    texts = [a[:-1], a[1:], a[:18] + a[19:], a[:-6], a[:-7], a[:4], c, b[:36], b[:-1] + ["z"] * 40, ["z"] * 40 + c + ["z"] * 40,
+             items[4][:3], items[4], items[5][:-2], items[5][:9], [], a[3:20] + ["new"] + a[20:33]]
+    want = {}
+    for i, t in enumerate(texts):
+        for k, w in items.items():
+            windows = [t[p:p + len(w)] for p in range(len(t) - len(w) + 1)] or [t]
+            best = max((weighted(shingles(w), shingles(x)), -p, len(x)) for p, x in enumerate(windows)) if t else (0, 0, 0)
+            if best[0] >= 0.8:
+                want[i, k] = best
+    assert {(0, 1), (1, 1), (3, 1), (6, 2), (6, 3), (7, 3), (12, 5)} <= set(want) and not {(4, 1), (5, 1), (9, 2), (10, 4)} & set(want)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.row_id, r.item_id): (r.similarity, -r.word_start, r.n_words) for r in decontam.matches(df, table).collect()}
+    assert set(got) == set(want)
+    for k, (s, at, n) in want.items():
+        assert got[k][0] == pytest.approx(s) and got[k][2] == n
+    left = {r.row_id for r in decontam.drop_contaminated(df, table).collect()}
+    assert left == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_backoff(spark, docs):
     w = {i: words(r.text) for i, r in docs.items()}
     c = Counter(tuple(x[i:i + n]) for x in w.values() for n in (1, 2, 3) for i in range(len(x) - n + 1))
