@@ -199,6 +199,19 @@ def test_decontamination_of_texts_shorter_than_an_item(spark):
     assert left == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_decontamination_radius_loses_no_similar_pair(spark):
+    rng = np.random.default_rng(21)
+    items, texts = [], []
+    for k in range(300):
+        for n, cut in ((9, 8), (60, 49)):  # 4 of 5 and 45 of 56 shingles
+            w = ["w%d" % i for i in rng.integers(0, 10**9, n)]
+            items.append((len(items), " ".join(w)))
+            texts.append((len(texts), " ".join(w[:cut])))
+    got = decontam.matches(spark.createDataFrame(texts, "row_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.row_id, r.item_id) for r in got} == {(i, i) for i in range(len(items))}
+    assert max(r.distance for r in got) > 16
+
+
 def test_backoff(spark, docs):
     w = {i: words(r.text) for i, r in docs.items()}
     c = Counter(tuple(x[i:i + n]) for x in w.values() for n in (1, 2, 3) for i in range(len(x) - n + 1))
