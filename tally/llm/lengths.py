@@ -84,16 +84,18 @@ def suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """``(context, docs_over, truncated_total, total)`` for any context limits, from the suffix sums alone."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context long")
-    over = F.col("n_tokens") > F.col("context")
-    # every limit is answered by the smallest length above it; a length serves a bounded list of limits
-    got = sums.select("n_tokens", "docs", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context")) if limits else asked.withColumn("n_tokens", F.lit(0)).withColumn("docs", F.lit(0))
-    answers = got.groupBy("context").agg(
-        F.sum(F.when(over, F.col("docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.least("n_tokens", "context") * F.col("docs")).alias("truncated_total"),
-        F.sum(F.col("n_tokens") * F.col("docs")).alias("total"))
-    return asked.distinct().join(answers, "context", "left").na.fill(0)
+    limits = sorted({int(x) for x in limits})
+    if not limits:
+        return sums.sparkSession.createDataFrame([], "context long, docs_over long, truncated_total long, total long")
+    # every limit is answered by the smallest length above it
+    row = F.struct("n_tokens", "docs_at_least", "tokens_at_least")
+    picks = [F.min(F.when(F.col("n_tokens") > x, row)).alias(f"c{i}") for i, x in enumerate(limits)]
+    def answer(i: int, x: int):
+        context = F.lit(x).cast("long")
+        docs, tokens = (F.coalesce(F.col(f"c{i}.{c}"), F.lit(0).cast("long")) for c in ("docs_at_least", "tokens_at_least"))
+        return F.struct(context.alias("context"), docs.alias("docs_over"), (F.col("total") - tokens + context * docs).alias("truncated_total"), F.col("total").alias("total"))
+    total = F.coalesce(F.max("tokens_at_least"), F.lit(0).cast("long")).alias("total")
+    return sums.agg(total, *picks).select(F.inline(F.array(*[answer(i, x) for i, x in enumerate(limits)])))
 
 
 def quantiles(sums: DataFrame, qs: list[float]) -> DataFrame:

@@ -318,6 +318,16 @@ def test_token_lengths(spark, docs):
         q: n[math.ceil(q * len(n)) - 1] for q in (0.5, 0.9, 1.0)}
 
 
+def test_limits_from_the_suffix_sums_alone(spark):
+    n = [0, 0, 3, 5, 5, 9, 2000]
+    sums = lengths.suffix_sums(spark.createDataFrame(list(Counter(n).items()), "n_tokens long, docs long"), block=4)
+    limits = [-1, 0, 2, 3, 5, 5, 100, 2000, 10**6]
+    for s, x in ((sums, n), (sums.limit(0), [])):
+        got = [tuple(r) for r in lengths.at_limits(s.drop("docs"), limits).collect()]
+        assert sorted(got) == [(c, sum(k > c for k in x), sum(min(k, c) for k in x), sum(x)) for c in sorted(set(limits))]
+    assert lengths.at_limits(sums, []).collect() == []
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Pieces(open(pieces.MODEL, "rb").read())
