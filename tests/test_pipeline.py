@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tally.plans.catalog import QUERIES
 from tally.plans.e2e import WEEK1, WEEK2, two_week_run
+from tally.plans.oracle import ORACLE
 from tally.schemas import SNAPSHOT, WEEKLY
 from tally.sources.store import Store
 from tests.conftest import SF001
@@ -63,7 +65,7 @@ def test_entry_smoke(spark):
 BANNED = ("BatchEvalPython", "ArrowEvalPython", "BroadcastNestedLoopJoin", "CartesianProduct")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_shape(spark, name):
     df = E.queries()[name](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -71,9 +73,9 @@ def test_plan_shape(spark, name):
         assert b not in plan, f"{name}: {b}"
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
-    r = compare(spark, SF001, name, E.queries()[name], E.oracle_sql()[name])
+    r = compare(spark, SF001, name, E.queries()[name], ORACLE[name])
     assert r["ok"], r
 
 
