@@ -11,6 +11,7 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from tally.llm.common import keep, read
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary splits a text before merging (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Blank runs of this many characters are taken out of the pattern's engine; the result doesn't depend on it.
+LONG_BLANK = 10_000
+_BLANKS = regex.compile(r"\p{White_Space}{%d,}" % LONG_BLANK)
 _ENCODERS: dict[int, tiktoken.Encoding] = {}
 
 
@@ -33,11 +37,36 @@ def encoder(ranks: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
     return _ENCODERS[key]
 
 
+def _cuts(text: str) -> Iterator[tuple[str, bool]]:
+    """The text cut around long blank runs: (part, whether it is one match of the pattern).
+
+    Of a blank run before something else all but the last character are one
+    match, the whole run at the end of the text; the tokenizer's own engine would
+    recurse once a character of it.
+    """
+    at = 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        yield text[at:m.start()], False
+        yield text[m.start():end], True
+        at = end
+    yield text[at:], False
+
+
+def count_tokens(enc: tiktoken.Encoding, text: str | None) -> int:
+    """Number of tokens of a text of any length (null: none)."""
+    if not text:
+        return 0
+    if len(text) < LONG_BLANK:
+        return len(enc.encode_ordinary(text))
+    return sum(len(enc._encode_single_piece(part) if whole else enc.encode_ordinary(part)) for part, whole in _cuts(text) if part)
+
+
 def _lengths(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for b in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
+            n = [count_tokens(enc, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
     return run
 
@@ -45,7 +74,8 @@ def _lengths(ranks, pattern: str):
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``(doc_id, n_tokens)`` of every row; null and empty texts have none.
 
-    The driver reads the vocabulary file (about 1 MB) and sends its content along.
+    Texts of any length are counted whole; ids may be null or repeat, an empty
+    table gives an empty result, and other columns are not looked at.  The driver reads the vocabulary file (about 1 MB) and sends its content along.
     """
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -54,7 +84,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
 
 def length_histogram(counts: DataFrame) -> DataFrame:
-    """``(n_tokens, docs)``: how many rows have each length."""
+    """``(n_tokens, docs)``: how many rows have each length (an empty table has none)."""
     return counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
 
 

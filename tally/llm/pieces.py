@@ -35,6 +35,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 _UNIT = re.compile(" +[^ \n]*|\n|[^ \n]+")
 _NONE = -1e18
+_UNITY = 1 << 32
+_LEAST = -(1 << 120)
 
 
 class Pieces:
@@ -73,6 +75,9 @@ class Pieces:
             raw[ids] = -np.log(np.where(usual, ranks, len(sp)) + 1.0) - math.log(math.log(len(sp)))
         self.score = raw
         self.unknown = float(raw[ids].min()) - UNKNOWN_PENALTY
+        # the last one, at -1: the bytes of a character without a piece
+        self.exact = [round(x * _UNITY) for x in [*raw.tolist(), self.unknown]]
+        self.piece_of = {i: p for p, i in self.id_of.items()}
         self.ascii = np.array([self.byte_id[b] for b in range(128)], dtype=np.int32)
         self.longest = max(map(len, self.id_of))
         # hashes of all pieces, and a bit map of their low bits
@@ -104,48 +109,85 @@ class Pieces:
 
     # -- one unit ---------------------------------------------------------------
 
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end place: (start place, score, ids) of every piece that ends there."""
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(unit) + 1)]
-        for j in range(1, len(unit) + 1):
-            for i in range(max(0, j - self.longest), j):
-                k = self.id_of.get(unit[i:j])
-                if k is not None:
-                    out[j].append((i, float(self.score[k]), (k,)))
-            if unit[j - 1] not in self.id_of:
-                out[j].append((j - 1, self.unknown, tuple(self.byte_id[b] for b in unit[j - 1].encode())))
-        return out
+    def lattice(self, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of a unit's lattice by end place: those ending at j are ``first[j]`` .. ``first[j + 1]`` of starts and ids.
+
+        Id -1 stands for the bytes of a character without a piece.
+        """
+        n = len(unit)
+        c = mix64(np.frombuffer(unit.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1))
+        acc, up = np.zeros(n + 1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+        starts, ends, ids = [], [], []
+        for length in range(1, min(self.longest, n) + 1):
+            acc = acc[:n - length + 1] + c[length - 1:] * up
+            up = up * _BASE
+            k = self.lookup(mix64(acc + np.uint64(length)))
+            at = np.arange(n) if length == 1 else np.flatnonzero(k >= 0)
+            starts.append(at.astype(np.int32))
+            ends.append((at + length).astype(np.int32))
+            ids.append(k[at])
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        first = np.searchsorted(end[order], np.arange(n + 2))
+        return first, np.concatenate(starts)[order], np.concatenate(ids)[order]
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations (score, ids), best first; ties in any order."""
-        into = self.edges(unit)
-        forward = [0.0] + [_NONE] * len(unit)
+        """The n best segmentations (score, ids), best first; ties in any order.
+
+        Each of the n best that pass a place ends in one of its n best tails, so no
+        place is expanded more than n times, and of equal entries the newest, which
+        is furthest on, goes first: ties don't multiply and a very long unit takes
+        time and memory in proportion to its length.
+        """
+        first, start, piece = map(memoryview, self.lattice(unit))
+        worth = self.exact
+        forward = [0] * (len(unit) + 1)
+        to = first[1]
         for j in range(1, len(unit) + 1):
-            forward[j] = max((forward[i] + s for i, s, _ in into[j]), default=_NONE)
+            at, to = to, first[j + 1]
+            best = _LEAST
+            for e in range(at, to):
+                s = forward[start[e]] + worth[piece[e]]
+                if s > best:
+                    best = s
+            forward[j] = best
         found: list[tuple[float, tuple[int, ...]]] = []
-        heap: list = [(-forward[-1], 0, 0.0, len(unit), None)]  # best total first
-        made = 0
+        heap: list = [(-forward[-1], 0, 0, len(unit), None)]  # best total first
+        made, seen = 0, bytearray(len(unit) + 1) if n < 256 else [0] * (len(unit) + 1)
         while heap and len(found) < n:
             _, _, done, j, rest = heapq.heappop(heap)
             if j == 0:
                 ids: list[int] = []
+                at = 0
                 while rest is not None:
-                    ids += rest[0]
-                    rest = rest[1]
-                found.append((done, tuple(ids)))
+                    k, rest = rest
+                    if k >= 0:
+                        ids.append(k)
+                        at += len(self.piece_of[k])
+                    else:
+                        ids += [self.byte_id[b] for b in unit[at].encode()]
+                        at += 1
+                found.append((done / _UNITY, tuple(ids)))
                 continue
-            for i, s, ids in into[j]:
-                made += 1
-                heapq.heappush(heap, (-(done + s + forward[i]), made, done + s, i, (ids, rest)))
+            if seen[j] >= n:
+                continue
+            seen[j] += 1
+            for e in range(first[j], first[j + 1]):
+                i, s = start[e], worth[piece[e]]
+                if seen[i] < n or i == 0:
+                    made += 1
+                    heapq.heappush(heap, (-(done + s + forward[i]), -made, done + s, i, (piece[e], rest)))
         return found
 
     # -- all distinct units of a batch --------------------------------------------
 
-    def best_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Best ids of all units one after another, how many each has, best scores, and how far runners-up lie behind."""
+    def best_of(self, units: list[str], n: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list]]:
+        """Best ids of all units one after another, how many each has, best scores, how far runners-up lie behind,
+        and the n best of units searched one by one."""
         count = np.zeros(len(units), dtype=np.int64)
         score, gap = np.zeros(len(units)), np.full(len(units), np.inf)
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        lists: dict[int, list] = {}
         done: list[tuple[np.ndarray, np.ndarray]] = []  # units and the ids of each, one after another
         low = 0
         for width in (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48):
@@ -154,7 +196,7 @@ class Pieces:
             for at in range(0, len(some), 20_000):
                 done.append(self._viterbi(units, some[at:at + 20_000], size, width, count, score, gap))
         for u in np.flatnonzero(count == 0).tolist():  # very long, or with characters beyond ASCII that have no piece
-            top = self.nbest(units[u], 2)
+            top = lists[u] = self.nbest(units[u], max(2, n))
             done.append((np.array([u]), np.array(top[0][1], dtype=np.int32)))
             count[u], score[u] = len(top[0][1]), top[0][0]
             gap[u] = top[0][0] - top[1][0] if len(top) > 1 else np.inf
@@ -163,7 +205,7 @@ class Pieces:
         for some, ids in done:
             n = count[some]
             flat[np.repeat(head[some] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-        return flat, count, score, gap
+        return flat, count, score, gap, lists
 
     def _viterbi(self, units, some, size, width, count, score, gap):
         n, size = len(some), size[some]
@@ -264,7 +306,8 @@ class Encoder:
         known, find = len(self.number), self.number.__getitem__
         rows = [np.array(list(map(find, _UNIT.findall(" " + t))), dtype=np.int64) if t else np.zeros(0, dtype=np.int64) for t in texts]
         new = list(self.number)[known:]
-        ids, count, score, gap = self.pieces.best_of(new)
+        ids, count, score, gap, lists = self.pieces.best_of(new, self.n)
+        self.lists |= {known + u: top[:self.n] for u, top in lists.items()}
         self.names += new
         self.flat = np.concatenate([self.flat, ids])
         self.head = np.concatenate([self.head, self.head[-1] + np.cumsum(count)])
@@ -340,7 +383,8 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = 4, with_ids: bool = Tru
     and ``round_trip``: decoding the ids gives the text.  Null and empty texts
     have no pieces.  Characters without a piece become their bytes.  Ties go to
     any of the equal segmentations, the same one each time; an empty table
-    gives an empty result; ids may be null or repeat.
+    gives an empty result; ids may be null or repeat.  A very long text, or one
+    without a break, is encoded whole: time and memory grow with its length.
     """
     if n < 1:
         raise ValueError("n must be positive")
@@ -363,7 +407,10 @@ def _decode(model):
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``(row, text)`` of rows with piece ``ids`` (null: null text)."""
+    """``(row, text)`` of rows with piece ``ids`` (null: null text; none: empty text); an empty table gives an empty result.
+
+    Ids of any number are decoded whole; other columns pass through in ``row``.
+    """
     rows = encoded.select("row", "ids")
     return rows.mapInArrow(_decode(_model(encoded, model)), T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
 

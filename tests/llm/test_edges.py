@@ -63,6 +63,18 @@ def test_what_stays(table, items):
     assert all(ok for *_, ok in pieces_) and [n for i, n, _ in pieces_ if i == 1] == [0]
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_very_long_texts(spark, items, name):
+    """Long runs without a break and one very long text of words go through every operator whole."""
+    texts = [" " * 300_000, "a" * 300_000, "\n" * 300_000, "x" + " " * 300_000 + "y", "word " * 100_000]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = OPERATORS[name](d, items).collect()
+    if name in ("quality", "simhash", "suffix", "pieces", "lm", "langid", "shards"):
+        assert len(got) == len(texts)
+    if name == "pieces":
+        assert all(r.round_trip for r in got)
+
+
 def test_no_items(table, items):
     assert decontam.matches(table.select("doc_id", "text").toDF("row_id", "text"), items.limit(0)).collect() == []
     assert decontam.drop_contaminated(table, items.limit(0)).count() == len(ROWS)

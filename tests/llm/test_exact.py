@@ -334,13 +334,17 @@ def vocabulary():
 
 
 def every_segmentation(p, text):
-    into, out = p.edges(text), []
+    out = []
 
     def back(j, score, ids):
         if j == 0:
             out.append((score, tuple(ids)))
-        for i, s, k in into[j]:
-            back(i, score + s, [*k, *ids])
+        for i in range(j):
+            k = p.id_of.get(text[i:j])
+            if k is not None:
+                back(i, score + p.score[k], [k, *ids])
+            elif i == j - 1:
+                back(i, score + p.unknown, [*(p.byte_id[b] for b in text[i].encode()), *ids])
     back(len(text), 0.0, [])
     return sorted(out, reverse=True)
 
@@ -354,6 +358,33 @@ def test_nbest_segmentations(vocabulary, text):
     assert all(vocabulary.decode(x) == text for _, x in top)
 
 
+@pytest.mark.parametrize("unit", ["a" * 14, " " * 14 + "y", "x" + " " * 12, "aaaabaaab" + "é" * 3, "abababababab"])
+def test_nbest_of_tied_lattices(vocabulary, unit):
+    want = every_segmentation(vocabulary, unit)
+    for n in (1, 2, 4, 9):
+        top = vocabulary.nbest(unit, n)
+        assert [s for s, _ in top] == pytest.approx([s for s, _ in want[:n]])
+        assert len({ids for _, ids in top}) == len(top) and {ids for _, ids in top} <= {ids for _, ids in want}
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 200_000 + "y", "\n" * 200_000, "a" * 200_000, "".join(chr(97 + i * i * 7919 % 26) for i in range(50_000)), "é漢" * 50_000])
+def test_very_long_runs_are_encoded_whole(vocabulary, text):
+    top = next(iter(pieces.Encoder(vocabulary, 4).encode([text])))
+    assert vocabulary.decode(top[0][1]) == text and [s for s, _ in top] == sorted((s for s, _ in top), reverse=True)
+
+
+def test_long_blank_runs_count_as_the_pattern_says(monkeypatch):
+    with open(lengths.VOCABULARY, "rb") as f:
+        enc = lengths.encoder(f.read())
+    texts = ["a" + " " * n + tail for n in (1, 2, 9, 10, 11, 40) for tail in ("", "b c", "\n", "\u3000x", "1  2", "é" + " " * 30)]
+    texts += ["\n \t" * 20 + "q", " " * 12, "x\x1c\x1c" + " " * 15 + "y", "a" + "\u0085\u2003" * 8]
+    plain = [len(enc.encode_ordinary(t)) for t in texts]
+    monkeypatch.setattr(lengths, "LONG_BLANK", 10)
+    monkeypatch.setattr(lengths, "_BLANKS", lengths.regex.compile(r"\p{White_Space}{10,}"))
+    assert [lengths.count_tokens(enc, t) for t in texts] == plain
+    assert lengths.count_tokens(enc, "x" + " " * 1_000_000 + "y") > 1 and lengths.count_tokens(enc, "\n" * 1_000_000) > 1
+
+
 def test_pieces_round_trip(spark, docs):
     got = pieces.query(spark, SF).collect()
     assert len(got) == len(docs) and all(r.round_trip and r.nbest_scores == sorted(r.nbest_scores, reverse=True) for r in got)
