@@ -146,6 +146,44 @@ class Words:
         return acc
 
 
+def suffix_ranks(key: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of all suffixes, and each doubling's ranks: ``levels[k]`` are equal where the next 2**k words are.
+
+    ``key`` names the words (different texts share none), ``end`` is the end of each word's text.
+    """
+    n = len(key)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    new = np.ones(n, dtype=bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    at = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    levels, step = [rank], 1
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    act = order[tied]
+    while len(act):
+        after = act.astype(np.int64) + step
+        second = np.where(after < end[act], rank[np.minimum(after, n - 1)] + 1, 0)
+        pair = (rank[act].astype(np.int64) << 32) | second
+        o = np.argsort(pair, kind="stable")
+        act, pair = act[o], pair[o]
+        old = rank[act]
+        t = np.arange(len(act), dtype=np.int32)
+        split, group = np.ones(len(act), dtype=bool), np.ones(len(act), dtype=bool)
+        split[1:], group[1:] = pair[1:] != pair[:-1], old[1:] != old[:-1]
+        head = np.maximum.accumulate(np.where(group, t, 0))
+        order[old + t - head] = act
+        rank = rank.copy()
+        rank[act] = old + np.maximum.accumulate(np.where(split, t, 0)) - head
+        levels.append(rank)
+        step *= 2
+        tied = ~split
+        tied[:-1] |= ~split[1:]
+        act = act[tied]
+    return order, levels
+
+
 def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table (cut by column ``by``) to the shared checkpoint folder and read it back: cuts lineage.
 
