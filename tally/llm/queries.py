@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tally.llm import decontam, langid, lengths, licenses, lm, pieces, quality, runs, shards, simhash, spelling, suffix
+from tally.llm import decontam, langid, lengths, licenses, lm, mixing, pieces, quality, runs, shards, simhash, spelling, suffix
 
 #: Arrow batches of whole texts stay small, whatever their length.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -32,6 +32,7 @@ _ALL = {
     "op8_suffix_dedup": suffix.query,
     "op9_shards": shards.query,
     "op10_lengths": lengths.query,
+    "op11_mixing": mixing.query,
     "op12_runs": runs.query,
     "op13_spelling": spelling.query,
 }
