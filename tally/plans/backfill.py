@@ -6,7 +6,8 @@ row-count growth branch) make week k depend on all of week k-1's output.
 Weeks therefore run in date order, each one a fully distributed job; the
 versions written to the store cut the lineage between weeks, so a lost
 executor never recomputes earlier weeks and a failed backfill resumes from
-the last published week.
+the last published week.  Each run publishes the list of files it read, so files
+that land late are noticed, however they come in.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from tally.config import RunConfig
 from tally.plans.week import WeekResult, run_week
 from tally.schemas import SNAPSHOT, WEEKLY
 from tally.session import size_shuffles
+from tally.sources.manifest import changes, input_files
 from tally.sources.readings import read_readings
 from tally.sources.store import Store
 
-__all__ = ["backfill", "by_week", "is_done", "run_landed_week"]
+__all__ = ["LateFiles", "backfill", "by_week", "is_done", "run_landed_week", "stale"]
 
 
 def by_week(files: list[tuple[dt.date, str]]) -> dict[dt.date, list[str]]:
@@ -33,43 +35,88 @@ def by_week(files: list[tuple[dt.date, str]]) -> dict[dt.date, list[str]]:
     return out
 
 
+OUTPUTS = ("snapshots", "weekly", "baseline_delta")
+
+
+class LateFiles(RuntimeError):
+    """Files landed for, or changed in, a week whose successor has run (or files that a new run needs are gone)."""
+
+
 def is_done(spark: SparkSession, store: Store, week: dt.date, cfg: RunConfig = RunConfig()) -> bool:
     """True if every output of that week's run is there, the last one included."""
-    tables = ["snapshots", "weekly", "baseline_delta"]
-    if cfg.export_state_csv:
-        tables += ["snapshots_csv", "weekly_csv"]
+    tables = [*OUTPUTS, *(("snapshots_csv", "weekly_csv") if cfg.export_state_csv else ())]
     return all(store.exists(spark, t, week) for t in tables)
 
 
+def _started_from(spark: SparkSession, store: Store, prior: dt.date) -> dict:
+    return {t: store.version(spark, t, prior) for t in ("snapshots", "weekly")}
+
+
 def run_landed_week(spark: SparkSession, store: Store, run_date: dt.date, readings_path,
                     stations: DataFrame, baseline: DataFrame, cfg: RunConfig = RunConfig(),
                     latest: DataFrame | None = None) -> WeekResult:
-    """One week from a landed readings file and the store's previous versions."""
+    """One week from a landed readings file and the store's previous versions.
+
+    The run's manifest is published last, as version ``file_date`` of ``runs``: the
+    files it read and the versions it started from.
+    """
     c = cfg.with_(run_date=run_date)
     prev = c.prior_date()
+    files = input_files(spark, readings_path)  # before the read: a file that lands meanwhile is not in it
+    started = _started_from(spark, store, prev)
     if latest is None:
         size_shuffles(spark, readings_path)
-        latest = read_readings(spark, readings_path, c)
-    return run_week(spark, c, latest,
-                    store.read(spark, "snapshots", prev, SNAPSHOT),
-                    store.read(spark, "weekly", prev, WEEKLY),
-                    stations, baseline, store)
+        latest = read_readings(spark, [f[0] for f in files] or readings_path, c)
+    result = run_week(spark, c, latest,
+                      store.read(spark, "snapshots", prev, SNAPSHOT),
+                      store.read(spark, "weekly", prev, WEEKLY),
+                      stations, baseline, store)
+    store.commit(spark, "runs", c.file_date(), {"version": "manifest", "files": files, "prior": started})
+    return result
+
+
+def stale(spark: SparkSession, store: Store, week: dt.date, files: list[list], cfg: RunConfig = RunConfig()) -> dict | None:
+    """Why a week must run (again); None if its run is up to date with ``files`` and its prior state."""
+    run = store.entry(spark, "runs", week)
+    if run is None or not is_done(spark, store, week, cfg):
+        return {"never run": [week.isoformat()]}
+    why = changes(run["files"], files)
+    if run["prior"] != _started_from(spark, store, week - dt.timedelta(days=7)):
+        why["prior state"] = [(week - dt.timedelta(days=7)).isoformat()]
+    return why or None
 
 
 def backfill(spark: SparkSession, store: Store, files: dict, stations: DataFrame,
              baseline: DataFrame, cfg: RunConfig = RunConfig(),
-             resume: bool = True) -> list[dt.date]:
+             resume: bool = True, late: str = "rerun") -> list[dt.date]:
     """Run ``{file_date: path or paths}`` week by week, oldest first; returns the Saturdays run.
 
     Files of one week, whatever their dates, are read by one run.  With
-    ``resume``, weeks with all outputs in the store are skipped, so a failed
-    backfill restarts where it stopped.
+    ``resume``, weeks whose run is up to date are skipped, so a failed
+    backfill restarts where it stopped.  A week that got a new or changed file
+    after its run runs again, with the files it read before, and so does every
+    later week, as each starts from the one before; ``late="refuse"`` raises
+    ``LateFiles`` instead, naming week and files, unless it is the newest week.
     """
+    if late not in ("rerun", "refuse"):
+        raise ValueError(f"late must be 'rerun' or 'refuse', not {late!r}")
     flat = [(day, p) for day, ps in files.items() for p in ([ps] if isinstance(ps, str) else ps)]
+    given = by_week(flat)
+    ran = store.dates(spark, "runs")
+    given |= {w: [] for w in ran if w not in given}  # weeks whose prior state was made anew must follow
     done = []
-    for week, paths in sorted(by_week(flat).items()):
-        if resume and is_done(spark, store, week, cfg):
+    for week, paths in sorted(given.items()):
+        before = [f[0] for f in (store.entry(spark, "runs", week) or {"files": []})["files"]]
+        now = input_files(spark, [*paths, *before])
+        why = stale(spark, store, week, now, cfg)
+        if resume and why is None:
             continue
-        run_landed_week(spark, store, week, paths, stations, baseline, cfg)
+        missing = (why or {}).get("gone")
+        if missing:
+            raise LateFiles(f"week {week} must run again, but files it read are gone: {', '.join(missing)}")
+        named = {k: v for k, v in (why or {}).items() if k in ("new", "changed")}
+        if late == "refuse" and named and any(w > week for w in ran):
+            raise LateFiles(f"week {week} got files after a later week had run: {named}")
+        run_landed_week(spark, store, week, [f[0] for f in now], stations, baseline, cfg)
         done.append(week)
     return done

@@ -224,10 +224,22 @@ def all_weeks_run_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> D
     all weeks.  Files go to the session's checkpoint folder.
     """
     from tally.plans.e2e import all_weeks_run
+
+    return all_weeks_run(spark, sf_dir, _scratch(spark, "weeks"), cfg)
+
+
+def late_file_run_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """S1 S2 with a correction that lands after its week and the later ones have run: those weeks run again."""
+    from tally.plans.e2e import late_file_run
+
+    return late_file_run(spark, sf_dir, _scratch(spark, "late"), cfg)
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder in the session's checkpoint folder (the cluster's shared scratch)."""
     from tally.session import ensure_checkpoint_dir
 
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-weeks-{uuid.uuid4().hex}"
-    return all_weeks_run(spark, sf_dir, root, cfg)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-{what}-{uuid.uuid4().hex}"
 
 
 def snapshot_distinct_names(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
@@ -289,6 +301,7 @@ QUERIES = {
     "second_week_snapshot": second_week_snapshot,
     "read_readings": read_readings_q,
     "all_weeks_run": all_weeks_run_q,
+    "late_file_run": late_file_run_q,
     "snapshot_distinct_names": snapshot_distinct_names,
     "raw_deltas_split": _split(raw_deltas_q),
     "clean_deltas_split": _split(clean_deltas_q),

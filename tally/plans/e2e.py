@@ -9,6 +9,7 @@ published outputs.  This exercises every source, sink and operator.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,12 @@ from tally.functions.exprs import concat_strict, saturday_floor
 from tally.operators.compare import baseline_ratio
 from tally.plans.backfill import backfill
 from tally.plans.week import WeekResult, run_week, weekly_from_readings
-from tally.schemas import BASELINE, SNAPSHOT, STATIONS, WEEKLY
+from tally.schemas import BASELINE, READINGS_RAW, SNAPSHOT, STATIONS, WEEKLY
 from tally.sources import testbed as tb
 from tally.sources.readings import read_readings
 from tally.sources.store import Store, read_table
 
-__all__ = ["land_week", "counter_id", "two_week_run", "all_weeks_run"]
+__all__ = ["land_week", "land_all_weeks", "counter_id", "two_week_run", "all_weeks_run", "late_file_run"]
 
 WEEK1 = dt.date(2024, 1, 13)
 WEEK2 = dt.date(2024, 1, 20)
@@ -72,8 +73,19 @@ def _land_csv(df: DataFrame, path: str, columns: list[str]) -> str:
     return path
 
 
-def all_weeks_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig = RunConfig()) -> DataFrame:
-    """Run every week after the first of the readings, oldest first; returns the last run's comparison.
+@dataclass
+class LandedWeeks:
+    """A store that holds the state before the first file, the landed files by week, and the lookups."""
+
+    store: Store
+    readings: DataFrame          # with ids as the files have them, at whole seconds
+    files: dict                  # {Saturday: path}
+    stations: DataFrame
+    baseline: DataFrame
+
+
+def land_all_weeks(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig = RunConfig()) -> LandedWeeks:
+    """Land every week after the first of the readings as files, and the lookups as CSV.
 
     The first week's readings give the state the chain starts from; the last
     file takes the readings without a time too, so none is left out.  Only
@@ -102,10 +114,39 @@ def all_weeks_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig =
     for i in range(1, n + 1):
         a = midnight + i * week
         files[a.date()] = land_week(tb.latest_readings(r0, a, None if i == n else a + week), f"{root}/landing/{a:%y%m%d}")
-    backfill(spark, store, files, stations, baseline, cfg)
-    label = sorted(files)[-1]
-    schema = baseline_ratio(store.read(spark, "weekly", label, WEEKLY), baseline, stations, cfg).schema
-    return store.read_csv(spark, "baseline_delta", label, schema)
+    return LandedWeeks(store, r, files, stations, baseline)
+
+
+def _last_comparison(spark: SparkSession, w: LandedWeeks, cfg: RunConfig) -> DataFrame:
+    label = sorted(w.files)[-1]
+    schema = baseline_ratio(w.store.read(spark, "weekly", label, WEEKLY), w.baseline, w.stations, cfg).schema
+    return w.store.read_csv(spark, "baseline_delta", label, schema)
+
+
+def all_weeks_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig = RunConfig()) -> DataFrame:
+    """Run every week after the first of the readings, oldest first; returns the last run's comparison."""
+    w = land_all_weeks(spark, sf_dir, root, cfg)
+    backfill(spark, w.store, w.files, w.stations, w.baseline, cfg)
+    return _last_comparison(spark, w, cfg)
+
+
+def late_file_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig = RunConfig()) -> DataFrame:
+    """Every week, with half the readings of the middle one landing after all weeks have run.
+
+    The second backfill is given the late file alone; it runs the middle week and
+    those after it again.  Returns the last run's comparison, that of all readings.
+    """
+    w = land_all_weeks(spark, sf_dir, root, cfg)
+    middle = sorted(w.files)[len(w.files) // 2]
+    whole = spark.read.schema(READINGS_RAW).option("header", True).csv(w.files[middle])
+    late = F.coalesce(F.crc32(F.concat_ws("|", *whole.columns).cast("binary")) % 2 == 0, F.lit(False))
+    parts = {}
+    for name, rows in (("first", whole.where(~late)), ("late", whole.where(late))):
+        parts[name] = f"{root}/{name}/{middle:%y%m%d}"
+        rows.write.option("header", True).csv(parts[name])
+    backfill(spark, w.store, w.files | {middle: parts["first"]}, w.stations, w.baseline, cfg)
+    backfill(spark, w.store, {middle: parts["late"]}, w.stations, w.baseline, cfg)
+    return _last_comparison(spark, w, cfg)
 
 
 def _at_second(df: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
 from tally.operators.joins import held_frames, hold, release
 from tally.operators.snapshot import growing_copies, next_snapshot
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
+from tally.schemas import WEEKLY
 from tally.session import ensure_checkpoint_dir
 from tally.sources.store import Store
 
@@ -51,6 +52,22 @@ def weekly_from_readings(prior: DataFrame | None, latest: DataFrame, names: Data
     return weekly_counts(time_bucket(clean, cfg), names, cfg)
 
 
+def merge_touched_weeks(spark: SparkSession, store: Store, weekly: DataFrame, accumulated: DataFrame, cfg: RunConfig) -> DataFrame:
+    """J6/D8 on the weeks that the run has cells for; returns the whole published table.
+
+    The prior version's parts of other weeks are neither read nor written: the new
+    version names them.  A store without a prior version takes all of ``accumulated``.
+    The driver sees the run's week dates only.
+    """
+    day = cfg.file_date()
+    prior = store.entry(spark, "weekly", cfg.prior_date())
+    if prior is None or "parts" not in prior:
+        return store.publish(spark, merge_weekly(weekly, accumulated), "weekly", day)
+    touched = [r["part"] for r in weekly.select(store.part_of("weekly").alias("part")).distinct().collect()]
+    old = store.read(spark, "weekly", cfg.prior_date(), WEEKLY, parts=touched)
+    return store.publish(spark, merge_weekly(weekly, old), "weekly", day, onto=prior["parts"])
+
+
 def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: DataFrame,
              accumulated: DataFrame, stations: DataFrame, baseline: DataFrame,
              store: Store | None = None) -> WeekResult:
@@ -59,7 +76,9 @@ def run_week(spark: SparkSession, cfg: RunConfig, latest: DataFrame, prior: Data
     With a ``store``, the snapshot, new counters, weekly counts, merged table and
     baseline export are written as version ``cfg.file_date()``, later steps read the
     written snapshot back (K5), and everything the run persisted is released
-    at the end.  ``raw`` has three consumers and is persisted.
+    at the end.  The accumulated table is then the store's version of the week
+    before, of which only the touched weeks are read and written; ``accumulated``
+    counts if there is none.  ``raw`` has three consumers and is persisted.
     """
     held = held_frames()
     try:
@@ -93,11 +112,12 @@ def _run_week(spark, cfg, latest, prior, accumulated, stations, baseline, store)
     weekly = weekly_counts(time_bucket(clean, cfg), snapshot, cfg)
     if store is not None:
         weekly = store.publish(spark, weekly, "week_counts", day)  # the result doesn't recompute the run
-    merged = merge_weekly(weekly, accumulated)
     if store is not None:
-        merged = store.publish(spark, merged, "weekly", day)
+        merged = merge_touched_weeks(spark, store, weekly, accumulated, cfg)
         if cfg.export_state_csv:
             store.export_csv(merged, "weekly_csv", day)
+    else:
+        merged = merge_weekly(weekly, accumulated)
     delta = baseline_ratio(merged, baseline, stations, cfg)
     if store is not None:
         store.export_csv(delta, "baseline_delta", day)

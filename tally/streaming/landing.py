@@ -6,8 +6,9 @@ landing folder, and ``foreachBatch`` runs the weekly job for every Saturday
 week that has new files, oldest first, on *all* landed files of that week: part
 files and corrections of one week are one run.  The weekly job replaces its own
 versions, so a restart after a failure neither skips nor double-counts a week.
-A file for a week whose successor has already run is refused, since the later
-weeks were built on the state without it.  There is no
+A file for a week whose successor has already run is refused by name, since the
+later weeks were built on the state without it, or makes them all run again
+(``late="rerun"``).  There is no
 streaming state: the carried state lives in the store, as in the reference.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tally.config import RunConfig
-from tally.plans.backfill import by_week, run_landed_week
+from tally.plans.backfill import backfill, by_week
 from tally.schemas import READINGS_RAW
 from tally.sources.store import Store
 
@@ -49,8 +50,11 @@ def landed_files(spark: SparkSession, landing_dir: str) -> list[tuple[dt.date, s
 
 def start_weekly_stream(spark: SparkSession, landing_dir: str, store: Store, checkpoint: str,
                         stations: DataFrame, baseline: DataFrame, cfg: RunConfig = RunConfig(),
-                        available_now: bool = True) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes what has landed and stops."""
+                        available_now: bool = True, late: str = "refuse") -> StreamingQuery:
+    """Start the stream; with ``available_now`` it processes what has landed and stops.
+
+    ``late="rerun"`` runs a week that got a late file, and all later ones, again instead of refusing it.
+    """
     src = (spark.readStream.schema(READINGS_RAW)
            .option("header", True).option("enforceSchema", True).option("escape", '"')
            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
@@ -60,14 +64,13 @@ def start_weekly_stream(spark: SparkSession, landing_dir: str, store: Store, che
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         new = [r["__file"] for r in batch.select("__file").distinct().collect()]
         landed = by_week(landed_files(spark, landing_dir))
-        for week in sorted(by_week([(file_date_of(f), f) for f in new])):
+        touched = sorted(by_week([(file_date_of(f), f) for f in new]))
+        for week in touched[:1]:
             c = cfg.with_(run_date=week)
             if not (store.exists(spark, "snapshots", c.prior_date())
                     and store.exists(spark, "weekly", c.prior_date())):
                 raise RuntimeError(f"state for {c.prior_date()} is missing; land files in date order")
-            if store.exists(spark, "weekly", week + dt.timedelta(days=7)):
-                raise RuntimeError(f"week {week} got a file after the next week had run")
-            run_landed_week(spark, store, week, landed[week], stations, baseline, c)
+        backfill(spark, store, {week: landed[week] for week in touched}, stations, baseline, cfg, late=late)
 
     q = (src.writeStream.foreachBatch(run_batch)
          .option("checkpointLocation", checkpoint))
