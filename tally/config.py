@@ -15,7 +15,8 @@ PEAK_HOURS = (8, 9, 10, 11, 18, 19, 20, 21)  # weekday hours kept for the rollup
 WEEKEND_DAYS = (1, 7)                        # Spark dayofweek: Sunday 1, Saturday 7
 BUCKETS = ("weekend", "weekday_am", "weekday_pm")
 BASELINE_LABEL = "2022"                      # suffix of this year's columns in D9
-READING_TIME_FORMAT = "M/d/yyyy H:mm:ss"     # date and time cells of the readings file
+# Date and time cells of the readings file, after a mark: month day year hour minute second.
+MDY_HMS = r"^![^0-9A-Za-z]*(\d{1,2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{4})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2}(?:\.\d{1,6})?)[^0-9A-Za-z]*$"
 FILE_TAG_FORMAT = "yyMMdd"                   # date label of a weekly file
 MISSING_MARKERS = ("", "NA")                 # text cells read as missing
 
@@ -43,6 +44,9 @@ class RunConfig:
     # D9 replaces names by the lookup's names with no fallback (reference).
     fallback_names: bool = False
     baseline_label: str = BASELINE_LABEL
+    # Break ties on (id, datetime) by the readings' place in their files, as the reference
+    # does.  Otherwise the reading's value stands in, which needs no place.
+    file_order: bool = False
     # A counter with more than ``max_rows_per_key`` rows is hot: the readings are
     # then cut by rank into ranges of about that many rows.  The run's check
     # (``split_hot``) sets ``hot_ranges`` to their number, or leaves it None

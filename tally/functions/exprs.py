@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tally.config import FILE_TAG_FORMAT, MISSING_MARKERS, READING_TIME_FORMAT
+from tally.config import FILE_TAG_FORMAT, MDY_HMS, MISSING_MARKERS
 
 __all__ = [
     "concat_strict", "not_in_keep_null", "in_set", "clean_text", "to_double",
     "nan_to_null", "parse_mdy_hms", "saturday_floor", "monday_floor", "yymmdd",
     "week_number", "epoch_micros", "gap_hours", "day_bucket", "ratio_r",
-    "inf_to_null", "time_chunk",
+    "inf_to_null",
 ]
 
 
@@ -65,15 +65,15 @@ def to_double(c) -> Column:
     return nan_to_null(clean_text(c).try_cast("double"))
 
 
-def parse_mdy_hms(c, fmt: str = READING_TIME_FORMAT) -> Column:
-    """E5: month/day/year h:m:s to TIMESTAMP_NTZ; bad text gives null.
+def parse_mdy_hms(c) -> Column:
+    """E5: month, day, four-digit year, h, m, s to TIMESTAMP_NTZ, whatever stands between them; bad text gives null.
 
-    ``try_to_timestamp`` guards the strict NTZ parser so malformed rows never
-    raise under ANSI and the result carries no time-zone conversion.
+    Separators are any characters but letters and digits, parts have one or two
+    digits, seconds may have a fraction.  One expression writes the parts in ISO
+    order, one cast parses them: text of another form keeps its mark and is null.
     """
-    c = _c(c)
-    f = F.lit(fmt)
-    return F.when(F.try_to_timestamp(c, f).isNotNull(), F.to_timestamp_ntz(c, f))
+    marked = F.concat(F.lit("!"), _c(c))
+    return F.regexp_replace(marked, F.lit(MDY_HMS), F.lit("$3-$1-$2 $4:$5:$6")).try_cast("timestamp_ntz")
 
 
 def saturday_floor(d) -> Column:
@@ -101,11 +101,6 @@ def epoch_micros(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch().cast("timestamp_ntz"), _c(ts))
 
 
-def time_chunk(ts, seconds: int) -> Column:
-    """Index of the ``seconds``-wide time chunk holding ``ts`` (null stays null)."""
-    return F.floor(epoch_micros(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
-
-
 def gap_hours(ts, prev_ts, rounding: str = "trunc") -> Column:
     """Whole hours of the interval from ``ts`` back to ``prev_ts`` (<= 0).
 

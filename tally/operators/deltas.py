@@ -22,6 +22,13 @@ __all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "split_hot_counte
 SRC_PRIOR, SRC_NEW = 0, 1
 ORDER_RAW = [("datetime", True), ("src", False), ("entries", True)]
 ORDER_CLEAN = ORDER_RAW + [("sign", False)]
+#: Place of a reading in its files, if the readings carry it: then it breaks ties before ``entries``.
+PLACE = "place"
+
+
+def ordered(df: DataFrame, order: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """``order`` with the file order (T1) where ``df`` has it; a carried-over row has no place and comes first by ``src``."""
+    return [x for c, nl in order for x in ([(PLACE, True), (c, nl)] if c == "entries" and PLACE in df.columns else [(c, nl)])]
 
 
 def split_hot_counters(readings: DataFrame, cfg: RunConfig) -> RunConfig:
@@ -40,19 +47,22 @@ def raw_deltas(prior: DataFrame | None, latest: DataFrame, cfg: RunConfig = RunC
     """Union the carried-over readings with the new ones and difference them.
 
     Output ``id, datetime, entries, src, d_entries``; the first row of each
-    ``id`` has a null delta, a null reading makes two null deltas.  With
+    ``id`` has a null delta, a null reading makes two null deltas.  Readings with a
+    ``place`` keep it, and tied ones are in file order.  With
     ``cfg.hot_ranges`` the readings are cut into that many rank ranges and the
     output carries ``chunk`` too, which the later steps go by.
     """
-    parts = [latest.select("id", "datetime", "entries", F.lit(SRC_NEW).alias("src"))]
+    place = [PLACE] if PLACE in latest.columns else []
+    parts = [latest.select("id", "datetime", "entries", F.lit(SRC_NEW).alias("src"), *place)]
     if prior is not None:
         parts.insert(0, prior.select("id", "datetime", "entries", F.lit(SRC_PRIOR).alias("src")))
-    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    order = ordered(u, ORDER_RAW)
     if cfg.hot_ranges:
-        u = rank_chunks(u, ["id"], ORDER_RAW, cfg.hot_ranges)
-    d = seeded_lag(u, ["id"], ORDER_RAW, ["entries"], F.col(CHUNK) if cfg.hot_ranges else None)
+        u = rank_chunks(u, ["id"], order, cfg.hot_ranges)
+    d = seeded_lag(u, ["id"], order, ["entries"], F.col(CHUNK) if cfg.hot_ranges else None)
     return d.select("id", "datetime", "entries", "src",
-                    (F.col("entries") - F.col("prev_entries")).alias("d_entries"), *([CHUNK] if cfg.hot_ranges else []))
+                    (F.col("entries") - F.col("prev_entries")).alias("d_entries"), *place, *([CHUNK] if cfg.hot_ranges else []))
 
 
 def dominant_direction(raw: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
@@ -118,7 +128,7 @@ def clean_deltas(raw: DataFrame, direction: DataFrame | None = None,
     keep = (moved >= 0) & ~F.isnan(moved)
     if cfg.keep_first_interval:
         keep = keep | (F.col("d_entries").isNull() & (F.col("src") == SRC_PRIOR))
-    s = seeded_lag(j.where(keep), ["id"], ORDER_CLEAN, ["entries", "datetime"],
+    s = seeded_lag(j.where(keep), ["id"], ordered(j, ORDER_CLEAN), ["entries", "datetime"],
                    F.col(CHUNK) if CHUNK in raw.columns else None)
     d = s.select("id", "datetime", "entries", "src", "sign",
                  ((F.col("entries") - F.col("prev_entries")) * F.col("sign")).alias("d_entries"),

@@ -21,7 +21,7 @@ from tally.plans.week import WeekResult, run_week
 from tally.schemas import SNAPSHOT, WEEKLY
 from tally.session import size_shuffles
 from tally.sources.manifest import changes, input_files
-from tally.sources.readings import read_readings
+from tally.sources.readings import observed, read_readings
 from tally.sources.store import Store
 
 __all__ = ["LateFiles", "backfill", "by_week", "is_done", "run_landed_week", "stale"]
@@ -58,20 +58,24 @@ def run_landed_week(spark: SparkSession, store: Store, run_date: dt.date, readin
     """One week from a landed readings file and the store's previous versions.
 
     The run's manifest is published last, as version ``file_date`` of ``runs``: the
-    files it read and the versions it started from.
+    files it read, the versions it started from and, by column, how many cells
+    held text that could not be parsed.
     """
     c = cfg.with_(run_date=run_date)
     prev = c.prior_date()
     files = input_files(spark, readings_path)  # before the read: a file that lands meanwhile is not in it
     started = _started_from(spark, store, prev)
+    seen = None
     if latest is None:
         size_shuffles(spark, readings_path)
-        latest = read_readings(spark, [f[0] for f in files] or readings_path, c)
+        latest, seen = observed(read_readings(spark, [f[0] for f in files] or readings_path, c, flags=True))
     result = run_week(spark, c, latest,
                       store.read(spark, "snapshots", prev, SNAPSHOT),
                       store.read(spark, "weekly", prev, WEEKLY),
                       stations, baseline, store)
-    store.commit(spark, "runs", c.file_date(), {"version": "manifest", "files": files, "prior": started})
+    if seen is not None:
+        result.unparsed = seen.get
+    store.commit(spark, "runs", c.file_date(), {"version": "manifest", "files": files, "prior": started, "unparsed": result.unparsed})
     return result
 
 

@@ -33,6 +33,7 @@ class WeekResult:
     accumulated: DataFrame     # merged accumulated table
     delta: DataFrame           # baseline comparison
     growing: DataFrame         # counters whose snapshot rows multiply (J2)
+    unparsed: dict | None = None  # cells of the landed files that could not be parsed, by column (E5, T8)
 
 
 def weekly_from_readings(prior: DataFrame | None, latest: DataFrame, names: DataFrame,

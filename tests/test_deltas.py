@@ -9,7 +9,7 @@ from tally.config import RunConfig
 from tally.operators import clean_deltas, dominant_direction, latest_per_counter, raw_deltas
 from tally.operators.chunked import seeded_lag, seeded_running_sum
 from tally.operators.deltas import ORDER_RAW, split_hot_counters
-from tally.functions import time_chunk
+from tally.functions import epoch_micros
 from tally.sources import testbed as tb
 from tests.conftest import READ_SCHEMA, SF01, frame, hourly, ts
 
@@ -18,6 +18,11 @@ PLAIN = RunConfig(split_hot=False)
 CHUNKED = RunConfig(hot_ranges=12)
 
 
+def time_chunk(ts, seconds):
+    """Index of the ``seconds``-wide time chunk holding ``ts`` (null stays null)."""
+    return F.floor(epoch_micros(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
+
+
 def run(spark, values, cfg=PLAIN, prior=None, id_="c"):
     latest = frame(spark, hourly(id_, values), READ_SCHEMA)
     p = frame(spark, prior, READ_SCHEMA) if prior else None
