@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from tally.functions.exprs import (concat_strict, not_in_keep_null, parse_mdy_hm
                                    saturday_floor, week_number, yymmdd)
 from tally.operators.chunked import CHUNK
 from tally.operators.compare import baseline_ratio
+from tally.operators.counted import count_copies, counted_raw, counted_snapshot
 from tally.operators.deltas import clean_deltas, dominant_direction, raw_deltas
 from tally.operators.snapshot import latest_per_counter, next_snapshot, snapshot_join
 from tally.operators.weekly import merge_weekly, time_bucket, weekly_counts
@@ -90,6 +90,16 @@ def parse_timestamp(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> D
     return o.select("o_orderkey", "s", parse_mdy_hms("s").alias("datetime"))
 
 
+def parse_mixed_separators(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """E5 with dashes, dots and blanks between the parts as well as slashes and colons."""
+    o = tb.load(spark, sf_dir, "orders").select("o_orderkey", _mdy_text().alias("s"))
+    k = F.col("o_orderkey") % 5
+    s = (F.when(k == 0, F.translate("s", "/", "-")).when(k == 1, F.translate("s", "/:", "..")).when(k == 2, F.translate("s", "/:", "  "))
+         .when(k == 3, F.concat(F.lit(" "), F.translate("s", "/:", "-."), F.lit("  "))).otherwise(F.col("s")))
+    o = o.select("o_orderkey", s.alias("s"))
+    return o.select("o_orderkey", "s", parse_mdy_hms("s").alias("datetime"))
+
+
 def raw_deltas_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """Carried-over + new readings, first difference per counter."""
     return _raw(spark, sf_dir, cfg)[0].drop(CHUNK)
@@ -187,20 +197,38 @@ def week_file_date(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> Da
 
 
 def multi_file_union(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
-    """Per-file frames with raw headers folded into one table."""
+    """Files with raw headers, landed one folder each, read as one table by one scan."""
     o = tb.load(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
-    parts = [st == "F", st == "O", ~F.coalesce(st.isin("F", "O"), F.lit(False))]
-    frames = [o.where(p).select(F.col("o_orderkey").alias("O_ORDERKEY"),
-                                F.col("o_orderpriority").alias("C/A"),
-                                F.col("o_totalprice").alias("O_TotalPrice"),
-                                F.col("o_orderstatus").alias("O_ORDERSTATUS"))
-              for p in parts]
-    frames = [rename_columns(lower_names(f), {"c/a": "c_a"}) for f in frames]
-    u = reduce(lambda a, b: a.unionByName(b), frames)
+    part = F.when(st.isin("F", "O"), st).otherwise(F.lit("rest"))
+    root = _scratch(spark, "files")
+    (o.select(F.col("o_orderkey").alias("O_ORDERKEY"), F.col("o_orderpriority").alias("C/A"), F.col("o_totalprice").alias("O_TotalPrice"),
+              F.col("o_orderstatus").alias("O_ORDERSTATUS"), part.alias("file")).write.partitionBy("file").parquet(root))
+    files = [f"{root}/{x['file']}" for x in o.select(F.concat(F.lit("file="), part).alias("file")).distinct().orderBy("file").collect()]
+    raw = spark.read.parquet(*files) if files else spark.read.schema("O_ORDERKEY long, `C/A` string, O_TotalPrice double, O_ORDERSTATUS string").parquet(root)
+    u = rename_columns(lower_names(raw), {"c/a": "c_a"})
     return drop_columns(u.select("o_orderkey", "c_a", "o_totalprice", "o_orderstatus"), "o_orderstatus")
 
 
+def new_counters_written(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """K1: the run's new counters, published through a store and read back."""
+    from tally.sources.store import Store
+
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    _, new = next_snapshot(_raw_of(prior, latest, cfg), prior, latest, tb.stations_lookup(spark, sf_dir), cfg)
+    store, day = Store(_scratch(spark, "new")), tb.split_points(r).start.date()
+    return store.publish(spark, latest.select("id", "datetime", "entries", "station", "linename").limit(0) if new is None else new, "new_counters", day)
+
+
+def counted_snapshot_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """D2 D5 J2 on counted rows: every prior row twice is one row with two copies; the next snapshot has their products."""
+    r, prior, latest, cfg = _scenario(spark, sf_dir, cfg)
+    twice = count_copies(prior.unionByName(prior)).persist(StorageLevel.MEMORY_AND_DISK)
+    raw = counted_raw(twice, latest, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    snap, _ = counted_snapshot(raw, twice, latest, tb.stations_lookup(spark, sf_dir), cfg)
+    return snap.withColumn("copies", F.col("copies").cast("long"))
+
+
 def second_week_snapshot(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """D5 twice: the second run takes all later readings from the first one's snapshot (C1's no-growth branch)."""
     r, cfg = _view(spark, sf_dir, cfg)
@@ -228,6 +256,13 @@ def all_weeks_run_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> D
     return all_weeks_run(spark, sf_dir, _scratch(spark, "weeks"), cfg)
 
 
+def one_plan_run_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
+    """D1-D9 of all weeks in one plan: one scan of all files, no run by run chain."""
+    from tally.plans.e2e import one_plan_run
+
+    return one_plan_run(spark, sf_dir, _scratch(spark, "history"), cfg)
+
+
 def late_file_run_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> DataFrame:
     """S1 S2 with a correction that lands after its week and the later ones have run: those weeks run again."""
     from tally.plans.e2e import late_file_run
@@ -302,6 +337,10 @@ QUERIES = {
     "read_readings": read_readings_q,
     "all_weeks_run": all_weeks_run_q,
     "late_file_run": late_file_run_q,
+    "one_plan_run": one_plan_run_q,
+    "parse_mixed_separators": parse_mixed_separators,
+    "new_counters_written": new_counters_written,
+    "counted_snapshot": counted_snapshot_q,
     "snapshot_distinct_names": snapshot_distinct_names,
     "raw_deltas_split": _split(raw_deltas_q),
     "clean_deltas_split": _split(clean_deltas_q),

@@ -18,13 +18,15 @@ from tally.config import RunConfig
 from tally.functions.exprs import concat_strict, saturday_floor
 from tally.operators.compare import baseline_ratio
 from tally.plans.backfill import backfill
+from tally.plans.history import run_history
 from tally.plans.week import WeekResult, run_week, weekly_from_readings
 from tally.schemas import BASELINE, READINGS_RAW, SNAPSHOT, STATIONS, WEEKLY
+from tally.session import size_shuffles
 from tally.sources import testbed as tb
-from tally.sources.readings import read_readings
+from tally.sources.readings import read_landed, read_readings
 from tally.sources.store import Store, read_table
 
-__all__ = ["land_week", "land_all_weeks", "counter_id", "two_week_run", "all_weeks_run", "late_file_run"]
+__all__ = ["land_week", "land_all_weeks", "counter_id", "two_week_run", "all_weeks_run", "late_file_run", "one_plan_run"]
 
 WEEK1 = dt.date(2024, 1, 13)
 WEEK2 = dt.date(2024, 1, 20)
@@ -130,6 +132,16 @@ def all_weeks_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig =
     return _last_comparison(spark, w, cfg)
 
 
+def one_plan_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig = RunConfig()) -> DataFrame:
+    """The same landed files as ``all_weeks_run``, read by one scan and run in one plan; returns the last comparison."""
+    w = land_all_weeks(spark, sf_dir, root, cfg)
+    before = min(w.files) - dt.timedelta(days=7)
+    size_shuffles(spark, list(w.files.values()))
+    h = run_history(read_landed(spark, w.files, cfg), sorted(w.files), w.store.read(spark, "snapshots", before, SNAPSHOT),
+                    w.store.read(spark, "weekly", before, WEEKLY), w.stations, cfg)
+    return baseline_ratio(h.accumulated, w.baseline, w.stations, cfg)
+
+
 def late_file_run(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig = RunConfig()) -> DataFrame:
     """Every week, with half the readings of the middle one landing after all weeks have run.
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.config import BUCKETS, RunConfig
+from tally.operators.chunked import hot_ranges
 from tally.operators.counted import COPIES, count_copies, counted_clean, counted_raw, counted_weekly, named
 from tally.operators.joins import join_nullsafe
 from tally.operators.weekly import time_bucket
@@ -138,13 +139,22 @@ def run_history(readings: DataFrame, runs: list[dt.date], prior: DataFrame, accu
     spark, last = readings.sparkSession, len(runs)
     number = F.create_map(*[x for i, d in enumerate(runs) for x in (F.lit(d), F.lit(i + 1))]) if runs else F.lit(None)
     numbered = readings.select("id", (F.element_at(number, F.col("run")) if runs else F.lit(None)).cast("int").alias("run"), "datetime", "station", "linename", "entries")
-    # dealt once; each use below is on this partitioning
-    rows = numbered.repartition("id", "run")
-    per = Window.partitionBy("id", "run")
-    marked = rows.withColumns({"top": F.max("datetime").over(per), "any_null": F.max(F.col("datetime").isNull()).over(per)})
-    per_run = marked.groupBy("id", "run").agg(F.max("top").alias("top"), F.max("any_null").alias("any_null"), F.sum(F.when(F.col("datetime") == F.col("top"), 1.0)).alias("ties"))
-    per_run = written(per_run)
-    ends = (marked.where(~F.col("any_null") & (F.col("datetime") == F.col("top"))).groupBy("id", "run", "datetime", "entries").agg(F.count(F.lit(1)).cast("double").alias(COPIES)))
+    if cfg.split_hot and not cfg.hot_ranges:
+        cfg = cfg.with_(hot_ranges=hot_ranges(numbered, ["id", "run"], cfg.max_rows_per_key))
+    if cfg.hot_ranges:  # a counter too large for a task: its latest rows are found by joins that spread it
+        rows = numbered
+        tops = numbered.groupBy("id", "run").agg(F.max("datetime").alias("top"), F.max(F.col("datetime").isNull()).alias("any_null"))
+        at_end = join_nullsafe(numbered.where(F.col("datetime").isNotNull()), tops.where(~F.col("any_null")).select("id", "run", F.col("top").alias("datetime")), ["id", "run", "datetime"])
+        ends = written(at_end.groupBy("id", "run", "datetime", "entries").agg(F.count(F.lit(1)).cast("double").alias(COPIES)))
+        ties = ends.groupBy("id", "run").agg(F.sum(COPIES).alias("ties"))
+        per_run = written(join_nullsafe(tops, ties, ["id", "run"], "left"))
+    else:  # dealt once; each use below is on this partitioning
+        rows = numbered.repartition("id", "run")
+        per = Window.partitionBy("id", "run")
+        marked = rows.withColumns({"top": F.max("datetime").over(per), "any_null": F.max(F.col("datetime").isNull()).over(per)})
+        per_run = written(marked.groupBy("id", "run").agg(F.max("top").alias("top"), F.max("any_null").alias("any_null"),
+                                                          F.sum(F.when(F.col("datetime") == F.col("top"), 1.0)).alias("ties")))
+        ends = marked.where(~F.col("any_null") & (F.col("datetime") == F.col("top"))).groupBy("id", "run", "datetime", "entries").agg(F.count(F.lit(1)).cast("double").alias(COPIES))
 
     prior = count_copies(prior.select("id", "datetime", "entries", "station", "linename", *([COPIES] if COPIES in prior.columns else [])))
     tops = prior.groupBy("id").agg(F.max("datetime").alias("top0"), F.max(F.col("datetime").isNull()).alias("any_null0"), F.sum(COPIES).alias("total0"))

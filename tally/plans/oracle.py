@@ -355,6 +355,30 @@ FROM lat l FULL JOIN (SELECT DISTINCT id, station, linename FROM prior) q ON l.i
 
     # a correction that lands late changes nothing in the end
     "late_file_run": _all_weeks(),
+
+    "one_plan_run": _all_weeks(),
+
+    "parse_mixed_separators": """
+SELECT o_orderkey, s, try_strptime(trim(regexp_replace(s, '[^0-9a-z]+', ' ', 'g')), '%m %d %Y %H %M %S') AS datetime FROM (
+  SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN replace(s, '/', '-')
+         WHEN 1 THEN replace(replace(s, '/', '.'), ':', '.') WHEN 2 THEN replace(replace(s, '/', ' '), ':', ' ')
+         WHEN 3 THEN ' ' || replace(replace(s, '/', '-'), ':', '.') || '  ' ELSE s END AS s
+  FROM (
+    SELECT o_orderkey,
+           CASE WHEN o_orderkey % 17 = 0 THEN 'garbage'
+                ELSE CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m/%d/%Y')
+                          ELSE strftime(o_orderdate, '%-m/%-d/%Y') END
+                     || ' ' || CAST(o_orderkey % 24 AS VARCHAR)
+                     || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0')
+                     || ':' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') END AS s
+    FROM orders))""",
+
+    "new_counters_written": _with(_RUN, _LATEST_ROWS) + "SELECT * FROM new_ts WHERE (SELECT g FROM grew)",
+
+    "counted_snapshot": _with(
+        _BASE, "\ntwice AS (SELECT * FROM prior UNION ALL SELECT * FROM prior)",
+        _chain("", "twice", "latest"), _snapshot("", "raw", "twice", "latest")) + """
+SELECT id, datetime, entries, station, linename, count(*) AS copies FROM snap GROUP BY ALL""",
 }
 
 # The hot-counter plans compute the same results.

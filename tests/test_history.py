@@ -122,6 +122,10 @@ def test_one_plan_equals_the_weeks_run_one_by_one(spark, seed):
     assert rows(expand(h.snapshot).select(*SNAPSHOT.fieldNames())) == rows(snap)
     assert rows(h.weekly.select("run", *sorted(res.weekly.columns))) == sorted(each)
     assert rows(h.accumulated.select(*WEEKLY.fieldNames())) == rows(acc)
+    if not seed:  # with the readings dealt by rank, as for hot counters
+        h = run_history(readings, runs, frame(spark, prior, SNAPSHOT), frame(spark, old, WEEKLY), st, CFG.with_(split_hot=True, max_rows_per_key=15))
+        assert rows(expand(h.snapshot).select(*SNAPSHOT.fieldNames())) == rows(snap)
+        assert rows(h.accumulated.select(*WEEKLY.fieldNames())) == rows(acc)
 
 
 def test_counters_without_a_name_are_refused(spark):
