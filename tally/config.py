@@ -47,10 +47,10 @@ class RunConfig:
     # Break ties on (id, datetime) by the readings' place in their files, as the reference
     # does.  Otherwise the reading's value stands in, which needs no place.
     file_order: bool = False
-    # A counter with more than ``max_rows_per_key`` rows is hot: the readings are
+    # A counter with more than ``max_rows_per_key`` rows is hot: its readings are
     # then cut by rank into ranges of about that many rows.  The run's check
-    # (``split_hot``) sets ``hot_ranges`` to their number, or leaves it None
-    # (no hot counter: plain windows); a number given here is used as it is.
+    # (``split_hot``) sets ``hot_ranges`` to the number of such ranges in all readings, or
+    # leaves it None (no hot counter: plain windows); a number given here is used as it is.
     split_hot: bool = True
     max_rows_per_key: int = 1_000_000
     hot_ranges: int | None = None

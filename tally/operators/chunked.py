@@ -19,12 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tally.operators.joins import join_nullsafe
 from tally.session import written
 
-__all__ = ["CHUNK", "hot_ranges", "rank_chunks", "seeded_lag", "seeded_running_sum", "sort_exprs", "order_key"]
+__all__ = ["CHUNK", "hot_ranges", "hot_chunks", "rank_chunks", "split_bounds", "seeded_lag", "seeded_running_sum", "sort_exprs", "order_key"]
 
-#: Name of the column that ``rank_chunks`` adds.
+#: Name of the column that ``rank_chunks`` and ``hot_chunks`` add.
 CHUNK = "chunk"
+#: Rows sampled for a range of a hot key, and up to how many ranges the bounds are broadcast (about 3 MB).
+SAMPLES, MAX_RANGES = 64, 50_000
 
 _CHUNK = "__chunk"
 _SEED = "__seed"
@@ -70,6 +73,54 @@ def rank_chunks(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], r
     return written(dealt.withColumn(CHUNK, F.spark_partition_id()))
 
 
+def _per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def split_bounds(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], per_key: DataFrame, limit: int) -> DataFrame:
+    """``(keys, __groups)`` of every key with more than ``limit`` rows: the bounds of its ranges, in groups.
+
+    The sketch of a key's order is a sample of its rows by hash, ``SAMPLES`` a range:
+    samples of parts merge by union, and the same rows give the same bounds in
+    whatever parts they come.
+    """
+    hot = per_key.where(F.col("__n") > limit)  # fewer than all rows / limit keys
+    share = min(1.0, SAMPLES / limit)
+    picked = F.pmod(F.xxhash64(F.lit(1), *[F.col(c) for c in [*keys, *[c for c, _ in order]]]), F.lit(1 << 32)) < int(share * (1 << 32))
+    rows = join_nullsafe(df.where(picked).select(*keys, order_key(order).alias("__k")), F.broadcast(hot), keys, "inner")
+    got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__k")).alias("__s"), F.max("__n").alias("__n"))
+    ranges = F.ceil(5 * F.col("__n") / (4 * limit)).cast("int")
+    got = got.withColumn("__r", F.least(ranges, F.size("__s"))).where("__r > 1")
+    bounds = F.transform(F.sequence(F.lit(1), F.col("__r") - 1), lambda i: F.get("__s", F.floor(i * F.size("__s") / F.col("__r")).cast("int")))
+    got = got.select(*keys, F.array_distinct(bounds).alias("__b"))
+    # groups of about the root of their number: a row compares with the groups' heads, then in one group
+    step = F.ceil(F.sqrt(F.size("__b"))).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("__b") - 1) / step).cast("int")), lambda g: F.slice("__b", g * step + 1, step))
+    return got.select(*keys, groups.alias("__groups"), step.alias("__step"))
+
+
+def hot_chunks(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], ranges: int) -> DataFrame:
+    """``df`` with a column ``CHUNK`` that cuts only the hot keys' rows into ranges of their order.
+
+    A key is hot if it has more rows than a range of ``rank_chunks`` would hold; all
+    rows of the others are chunk 0 and stay on whatever partitioning by key comes
+    next: nothing is dealt by range or written but the bounds, which are
+    small and broadcast.  Above ``MAX_RANGES`` all rows are dealt by rank instead.
+    """
+    if ranges > MAX_RANGES:
+        return rank_chunks(df, keys, order, ranges)
+    per_key = written(_per_key(df, keys))
+    total = per_key.agg(F.sum("__n").alias("n")).first()["n"] or 0
+    limit = max(1, 5 * total // (4 * ranges))
+    bounds = written(split_bounds(df, keys, order, per_key, limit))  # every use sees the same bounds
+    j = join_nullsafe(df.withColumn("__k", order_key(order)), F.broadcast(bounds), keys, "left")
+    k, groups = F.col("__k"), F.col("__groups")
+    head = F.size(F.filter(groups, lambda g: F.get(g, 0) <= k))
+    inside = F.size(F.filter(F.get(groups, head - 1), lambda b: b <= k))
+    chunk = F.when(groups.isNull() | (head == 0), F.lit(0)).otherwise((head - 1) * F.col("__step") + inside)
+    return j.select(*df.columns, chunk.alias(CHUNK))
+
+
 def seeded_lag(df: DataFrame, keys: list[str], order: list[tuple[str, bool]],
                values: list[str], chunk: Column | None, prefix: str = "prev_") -> DataFrame:
     """Add ``prefix + v`` = ``lag(v)`` over ``partitionBy(keys).orderBy(order)``.

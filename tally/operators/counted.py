@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tally.config import BUCKETS, RunConfig
 from tally.functions.exprs import gap_hours, week_number
-from tally.operators.chunked import CHUNK, rank_chunks, seeded_lag
+from tally.operators.chunked import CHUNK, hot_chunks, seeded_lag
 from tally.operators.deltas import ORDER_CLEAN, ORDER_RAW, SRC_NEW, SRC_PRIOR
 from tally.operators.joins import hold, join_nullsafe
 
@@ -50,7 +50,7 @@ def counted_raw(prior: DataFrame | None, latest: DataFrame, cfg: RunConfig = Run
     if prior is not None:
         u = u.unionByName(prior.select(*cols, F.lit(SRC_PRIOR).alias("src"), F.col(COPIES).cast("double").alias(COPIES)))
     if cfg.hot_ranges:
-        u = rank_chunks(u, list(keys), ORDER_RAW, cfg.hot_ranges)
+        u = hot_chunks(u, list(keys), ORDER_RAW, cfg.hot_ranges)
     d = seeded_lag(u, list(keys), ORDER_RAW, ["entries"], F.col(CHUNK) if cfg.hot_ranges else None)
     return d.withColumn("d_entries", F.col("entries") - F.col("prev_entries")).drop("prev_entries")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tally.config import RunConfig
 from tally.functions.exprs import gap_hours
-from tally.operators.chunked import CHUNK, hot_ranges, rank_chunks, seeded_lag
+from tally.operators.chunked import CHUNK, hot_ranges, hot_chunks, seeded_lag
 from tally.operators.joins import join_nullsafe
 
 __all__ = ["SRC_PRIOR", "SRC_NEW", "ORDER_RAW", "ORDER_CLEAN", "split_hot_counters",
@@ -35,8 +35,8 @@ def split_hot_counters(readings: DataFrame, cfg: RunConfig) -> RunConfig:
     """Decide the plan: chunked windows only if some counter has more than ``max_rows_per_key`` rows.
 
     Without a hot counter a plain window per counter is cheapest
-    (``hot_ranges`` None).  With one, ``hot_ranges`` says into how many ranges
-    the readings are cut.  The check is one grouped count, combined map-side.
+    (``hot_ranges`` None).  With one, ``hot_ranges`` says how many ranges all
+    readings would make; only counters larger than a range are cut.  The check is one grouped count, combined map-side.
     """
     if not cfg.split_hot or cfg.hot_ranges:
         return cfg
@@ -49,8 +49,8 @@ def raw_deltas(prior: DataFrame | None, latest: DataFrame, cfg: RunConfig = RunC
     Output ``id, datetime, entries, src, d_entries``; the first row of each
     ``id`` has a null delta, a null reading makes two null deltas.  Readings with a
     ``place`` keep it, and tied ones are in file order.  With
-    ``cfg.hot_ranges`` the readings are cut into that many rank ranges and the
-    output carries ``chunk`` too, which the later steps go by.
+    ``cfg.hot_ranges`` the readings of counters too large for one range in that many
+    are cut by rank (``hot_chunks``), all others stay whole, and the output carries ``chunk`` too, which the later steps go by.
     """
     place = [PLACE] if PLACE in latest.columns else []
     parts = [latest.select("id", "datetime", "entries", F.lit(SRC_NEW).alias("src"), *place)]
@@ -59,7 +59,7 @@ def raw_deltas(prior: DataFrame | None, latest: DataFrame, cfg: RunConfig = RunC
     u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     order = ordered(u, ORDER_RAW)
     if cfg.hot_ranges:
-        u = rank_chunks(u, ["id"], order, cfg.hot_ranges)
+        u = hot_chunks(u, ["id"], order, cfg.hot_ranges)
     d = seeded_lag(u, ["id"], order, ["entries"], F.col(CHUNK) if cfg.hot_ranges else None)
     return d.select("id", "datetime", "entries", "src",
                     (F.col("entries") - F.col("prev_entries")).alias("d_entries"), *place, *([CHUNK] if cfg.hot_ranges else []))

@@ -301,10 +301,10 @@ def read_readings_q(spark: SparkSession, sf_dir: str, cfg: RunConfig = CFG) -> D
     return read_readings(spark, path, cfg)
 
 
-# The same queries with the readings cut into 64 rank ranges, as for hot counters:
-# windows run per (counter, range) with seed rows, the vote and the latest reading
-# use grouped aggregates and joins.  They must equal the plain plans exactly.
-SPLIT_CFG = RunConfig(hot_ranges=64)
+# The same queries with every counter of more than 16 readings cut into ranges, as hot
+# counters are: windows run per (counter, range) with seed rows, the vote and the latest
+# reading use grouped aggregates and joins.  They must equal the plain plans exactly.
+SPLIT_CFG = RunConfig(max_rows_per_key=16)
 
 
 def _split(fn):

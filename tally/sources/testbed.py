@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
-from tally.operators.chunked import CHUNK, rank_chunks, seeded_running_sum
+from tally.operators.chunked import CHUNK, hot_chunks, seeded_running_sum
 from tally.operators.deltas import split_hot_counters
 
 __all__ = ["SPLIT", "BASE_END", "Split", "split_points", "load", "readings_view", "readings_view_cfg", "prior_snapshot",
@@ -90,7 +90,7 @@ def readings_view_cfg(spark: SparkSession, sf_dir: str,
     ev = ev.join(names, (F.col("user_id") % 25) == F.col("n_nationkey"))
     order = [("datetime", True), ("event_id", True)]
     if cfg.hot_ranges:
-        ev = rank_chunks(ev, ["id"], order, cfg.hot_ranges)
+        ev = hot_chunks(ev, ["id"], order, cfg.hot_ranges)
     r = seeded_running_sum(ev, ["id"], order, "cents", "total", F.col(CHUNK) if cfg.hot_ranges else None)
     sign = F.when(F.col("user_id") % 7 == 0, F.lit(-1)).otherwise(F.lit(1))
     # The view stands for a landed readings table: every query reads it many

@@ -198,6 +198,38 @@ def test_hot_counter_is_split_by_rank(spark, make):
     assert digest(latest_per_counter(raw, cfg), *cols) == digest(latest_per_counter(plain, PLAIN), *cols)
 
 
+def test_only_hot_counters_are_dealt_anew(spark):
+    """Counters below the bound stay whole on the hash exchange: no range exchange, and only hot rows leave chunk 0."""
+    t0 = ts(8)
+    cold = [(f"c{i}", t0 + dt.timedelta(minutes=7 * k), float(k)) for i in range(40) for k in range(50)]
+    hot = [("hot", t0 + dt.timedelta(seconds=(k * 7919) % 5000), float(k)) for k in range(4000)] + [(None, None, float(k)) for k in range(3000)]
+    latest = frame(spark, cold + hot, READ_SCHEMA)
+    cfg = split_hot_counters(latest, RunConfig(max_rows_per_key=500))
+    raw = raw_deltas(None, latest, cfg)
+    per = {(r.id, r.chunk): r["count"] for r in raw.groupBy("id", "chunk").count().collect()}
+    assert {k: n for k, n in per.items() if k[0] not in ("hot", None)} == {(f"c{i}", 0): 50 for i in range(40)}
+    moved = sum(n for (i, c), n in per.items() if c)
+    assert 0 < moved <= 7000 and max(per.values()) <= 650
+    assert len({c for i, c in per if i == "hot"}) >= 8 and len({c for i, c in per if i is None}) >= 6
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+    # the same rows in other parts have the same bounds
+    again = raw_deltas(None, latest.repartition(13), cfg)
+    assert {(r.id, r.chunk): r["count"] for r in again.groupBy("id", "chunk").count().collect()} == per
+    plain = raw_deltas(None, latest, PLAIN)
+    cols = ["id", "datetime", "entries", "d_entries"]
+    assert sorted(map(str, raw.select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
+
+
+def test_many_ranges_deal_all_rows_by_rank(spark, monkeypatch):
+    from tally.operators import chunked
+    latest = frame(spark, hourly("hot", range(60)) + hourly("cold", range(9)), READ_SCHEMA)
+    cfg = RunConfig(hot_ranges=12)
+    want = sorted(map(str, raw_deltas(None, latest, cfg).drop("chunk").collect()))
+    monkeypatch.setattr(chunked, "MAX_RANGES", 1)
+    assert sorted(map(str, raw_deltas(None, latest, cfg).drop("chunk").collect())) == want
+
+
 def test_seeded_running_sum_matches_plain(spark):
     rows = [("k" if i % 3 else "h", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * i), i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v long")
