@@ -31,21 +31,23 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = 128, excerpt: int = 1024, max_languages: int = 256) -> dict[str, bytes]:
     """A dictionary for each language from rows with text, ``lang`` and an id that isn't held out.
 
-    Bounds: ``sample`` rows of each language, those with the smallest hash of
-    id and text, and ``excerpt`` characters from the middle of each.  Raises if
-    there are more than ``max_languages`` languages.
+    Bounds: ``sample`` different texts of each language, those with the smallest
+    hash, and ``excerpt`` characters from the middle of each.  Raises if
+    there are more than ``max_languages`` languages.  Null and empty texts and null
+    languages teach nothing; repeated texts count once; an empty table gives no
+    dictionaries; of a very long text only the excerpt is kept.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return {}
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id", "text"), 1) / float(1 << 63)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * sample / n)))])
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "text"), 1) / float(1 << 63)
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * sample / max(n, 1))))])
     start = F.greatest(F.lit(1), F.floor((F.length("text") - excerpt) / 2).cast("int") + 1)
     few = (rows.withColumn("draw", draw).where(F.col("draw") <= share[F.col("lang")])
-           .select("lang", "draw", F.substring("text", start, F.lit(excerpt)).alias("part")))
+           .select("lang", "draw", F.substring("text", start, F.lit(excerpt)).alias("part")).dropDuplicates(["lang", "draw"]))
     order = Window.partitionBy("lang").orderBy("draw", "part")
     got = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).orderBy("lang", "k").collect()
     return {lang: "\n".join(r["part"] for r in got if r["lang"] == lang).lower().encode() for lang in sorted(counts)}
