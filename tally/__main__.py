@@ -48,10 +48,14 @@ def main(argv=None) -> int:
     ap.add_argument("--master")
     ap.add_argument("--baseline-label", default="2022")
     ap.add_argument("--csv", action="store_true", help="also export snapshot and accumulated table as CSV")
+    ap.add_argument("--file-order", action="store_true", help="break ties of readings by their place in the files")
+    ap.add_argument("--counted", action="store_true", help="keep equal snapshot rows as one row with a number of copies")
+    ap.add_argument("--late", choices=["rerun", "refuse"], help="what a file for a week that has run does (backfill: rerun, stream: refuse)")
     a = ap.parse_args(argv)
 
     spark = get_session(a.master)
-    cfg = RunConfig(run_date=a.run_date, baseline_label=a.baseline_label, export_state_csv=a.csv)
+    cfg = RunConfig(run_date=a.run_date, baseline_label=a.baseline_label, export_state_csv=a.csv,
+                    file_order=a.file_order, counted_copies=a.counted)
     store = Store(a.store)
     stations = _lookup(spark, a.stations, STATIONS)
     baseline = _lookup(spark, a.baseline, BASELINE)
@@ -65,13 +69,13 @@ def main(argv=None) -> int:
         from tally.plans.backfill import backfill
         if not a.landing:
             ap.error("backfill needs --landing")
-        done = backfill(spark, store, _landed(spark, a.landing), stations, baseline, cfg)
+        done = backfill(spark, store, _landed(spark, a.landing), stations, baseline, cfg, late=a.late or "rerun")
         print(" ".join(d.isoformat() for d in done))
     else:
         from tally.streaming import start_weekly_stream
         if not (a.landing and a.checkpoint):
             ap.error("stream needs --landing and --checkpoint")
-        start_weekly_stream(spark, a.landing, store, a.checkpoint, stations, baseline, cfg).awaitTermination()
+        start_weekly_stream(spark, a.landing, store, a.checkpoint, stations, baseline, cfg, late=a.late or "refuse").awaitTermination()
     return 0
 
 

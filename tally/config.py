@@ -41,6 +41,9 @@ class RunConfig:
     # The reference joins every prior row of a counter, so tied rows multiply from run to
     # run.  True joins each distinct (id, station, linename) of the prior once instead.
     distinct_prior_names: bool = False
+    # Equal snapshot rows are one row with a number of ``copies`` (a column of the
+    # snapshot); sums and later copies are multiplied by it, as if the rows were there.
+    counted_copies: bool = False
     # D9 replaces names by the lookup's names with no fallback (reference).
     fallback_names: bool = False
     baseline_label: str = BASELINE_LABEL

@@ -54,8 +54,11 @@ def growing_copies(snapshot: DataFrame, prior: DataFrame) -> DataFrame:
 
     Nothing is cut: the report lets the user choose ``distinct_prior_names``.
     """
-    before = prior.groupBy("id").agg(F.count(F.lit(1)).alias("copies_before"))
-    now = snapshot.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    def total(df):  # rows may be counted
+        return F.sum("copies") if "copies" in df.columns else F.count(F.lit(1))
+
+    before = prior.groupBy("id").agg(total(prior).alias("copies_before"))
+    now = snapshot.groupBy("id").agg(total(snapshot).alias("copies")).where("copies > 1")
     both = join_nullsafe(now, before, ["id"], "left")
     return (both.select("id", F.coalesce("copies_before", F.lit(0)).alias("copies_before"), "copies")
             .where("copies > copies_before"))

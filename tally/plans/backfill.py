@@ -17,6 +17,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from tally.config import RunConfig
+from tally.operators.counted import COPIES, expand
 from tally.plans.week import WeekResult, run_week
 from tally.schemas import SNAPSHOT, WEEKLY
 from tally.session import size_shuffles
@@ -52,6 +53,15 @@ def _started_from(spark: SparkSession, store: Store, prior: dt.date) -> dict:
     return {t: store.version(spark, t, prior) for t in ("snapshots", "weekly")}
 
 
+def prior_state(spark: SparkSession, store: Store, day: dt.date, cfg: RunConfig) -> DataFrame:
+    """A published snapshot, counted or in single rows as the run wants it, whichever it was written as."""
+    counted = COPIES in [f["name"] for f in (store.entry(spark, "snapshots", day) or {}).get("schema", {}).get("fields", [])]
+    if not counted:
+        return store.read(spark, "snapshots", day, SNAPSHOT)
+    rows = store.read(spark, "snapshots", day)
+    return rows if cfg.counted_copies else expand(rows)
+
+
 def run_landed_week(spark: SparkSession, store: Store, run_date: dt.date, readings_path,
                     stations: DataFrame, baseline: DataFrame, cfg: RunConfig = RunConfig(),
                     latest: DataFrame | None = None) -> WeekResult:
@@ -70,7 +80,7 @@ def run_landed_week(spark: SparkSession, store: Store, run_date: dt.date, readin
         size_shuffles(spark, readings_path)
         latest, seen = observed(read_readings(spark, [f[0] for f in files] or readings_path, c, flags=True))
     result = run_week(spark, c, latest,
-                      store.read(spark, "snapshots", prev, SNAPSHOT),
+                      prior_state(spark, store, prev, cfg),
                       store.read(spark, "weekly", prev, WEEKLY),
                       stations, baseline, store)
     if seen is not None:

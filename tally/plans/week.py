@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tally.config import RunConfig
 from tally.operators.compare import baseline_ratio
+from tally.operators.counted import count_copies, counted_clean, counted_raw, counted_snapshot, counted_weekly
 from tally.operators.deltas import clean_deltas, raw_deltas, split_hot_counters
 from tally.operators.joins import held_frames, hold, release
 from tally.operators.snapshot import growing_copies, next_snapshot
@@ -93,9 +94,13 @@ def _run_week(spark, cfg, latest, prior, accumulated, stations, baseline, store)
     day = cfg.file_date()
     latest = hold(latest)
     cfg = split_hot_counters(latest, cfg)
-    raw = hold(raw_deltas(prior, latest, cfg))
-
-    snapshot, new_counters = next_snapshot(raw, prior, latest, stations, cfg)
+    if cfg.counted_copies:
+        prior = hold(count_copies(prior))
+        raw = hold(counted_raw(prior, latest, cfg))
+        snapshot, new_counters = counted_snapshot(raw, prior, latest, stations, cfg)
+    else:
+        raw = hold(raw_deltas(prior, latest, cfg))
+        snapshot, new_counters = next_snapshot(raw, prior, latest, stations, cfg)
     if store is not None:
         if new_counters is not None:
             new_counters = store.publish(spark, new_counters, "new_counters", day)
@@ -109,8 +114,10 @@ def _run_week(spark, cfg, latest, prior, accumulated, stations, baseline, store)
         ensure_checkpoint_dir(spark)
         snapshot = snapshot.checkpoint(eager=True)
 
-    clean = clean_deltas(raw, None, cfg)
-    weekly = weekly_counts(time_bucket(clean, cfg), snapshot, cfg)
+    if cfg.counted_copies:
+        weekly = counted_weekly(time_bucket(counted_clean(raw, cfg), cfg), snapshot)
+    else:
+        weekly = weekly_counts(time_bucket(clean_deltas(raw, None, cfg), cfg), snapshot, cfg)
     if store is not None:
         weekly = store.publish(spark, weekly, "week_counts", day)  # the result doesn't recompute the run
     if store is not None:

@@ -106,6 +106,32 @@ def test_many_copies_are_one_row(spark):
     assert snap.first()[COPIES] == 2.0 ** 64
 
 
+def test_counted_runs_through_a_store(spark):
+    """Two landed weeks with ``counted_copies`` hold the same state, counted; a plain run can go on from it."""
+    from tally.plans.backfill import backfill
+    from tally.sources.store import Store
+    from tests.test_streaming import WEEK1, WEEK2, _land, _tiny
+    root = tempfile.mkdtemp(prefix="tally-counted-")
+    week = dt.timedelta(days=7)
+    tied = [("A_U1_0", dt.datetime(2024, 1, 12, 20), 90.0, "S", "L")] * 2 + [("A_U9_0", dt.datetime(2024, 1, 12, 20), 5.0, "S", "L")] * 3
+    out = []
+    for name, cfg in (("plain", CFG), ("counted", CFG.with_(counted_copies=True))):
+        st, stations, base = _tiny(spark, f"{root}/{name}")
+        st.write(frame(spark, tied, SNAPSHOT), "snapshots", WEEK1 - week)
+        files = {w: _land(f"{root}/{name}/landing", f"readings_{w:%y%m%d}.txt", w, "U1") for w in (WEEK1, WEEK2)}
+        assert backfill(spark, st, files, stations, base, cfg) == [WEEK1, WEEK2]
+        out.append((st, stations, base))
+    (a, stations, base), (b, _, _) = out
+    for w in (WEEK1, WEEK2):
+        assert rows(expand(b.read(spark, "snapshots", w)).select(*SNAPSHOT.fieldNames())) == rows(a.read(spark, "snapshots", w, SNAPSHOT))
+        assert rows(b.read(spark, "weekly", w, WEEKLY)) == rows(a.read(spark, "weekly", w, WEEKLY))
+    assert b.read(spark, "snapshots", WEEK2).count() == 2 and a.read(spark, "snapshots", WEEK2).count() == 81 + 2
+    w3 = WEEK2 + week
+    for st in (a, b):
+        backfill(spark, st, {w3: _land(f"{st.root}/landing", f"readings_{w3:%y%m%d}.txt", w3, "U2")}, stations, base, CFG)
+    assert rows(a.read(spark, "snapshots", w3, SNAPSHOT).groupBy("id").count()) == rows(b.read(spark, "snapshots", w3, SNAPSHOT).groupBy("id").count())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_one_plan_equals_the_weeks_run_one_by_one(spark, seed):
     prior, weekly, old = scenario(random.Random(100 + seed))
