@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tally.llm.common import discard, keep, partitions, read, suffix_ranks
 
-#: Shortest word, and how many characters of it deal it out (at most half of the shortest word).
-SHORTEST, ROUTE = 7, 3
+#: Shortest word, and how many of its first and of its last characters deal it out (its halves have at least so many).
+SHORTEST, ROUTE = 7, (3, 4)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Letters: ASCII ones and code points 0xC0 to 0xFF.
 LETTERS = "a-z\\u00C0-\\u00FF"
@@ -210,7 +210,7 @@ def _route(words: DataFrame, block: int) -> DataFrame:
     s = F.col("s")
     sides = words.select("n", F.explode(F.array(F.struct(F.lit(False).alias("back"), F.col("word").alias("s")),
                                                 F.struct(F.lit(True).alias("back"), F.reverse("word").alias("s")))).alias("x")).select("n", "x.*")
-    rows = sides.withColumn("key", F.substring(s, 1, ROUTE))
+    rows = sides.withColumn("key", F.when(F.col("back"), F.substring(s, 1, ROUTE[1])).otherwise(F.substring(s, 1, ROUTE[0])))
     big = rows.groupBy("back", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
     rows = rows.join(big.select("back", "key", F.lit(True).alias("hot")), ["back", "key"], "left")
     cool = rows.where(F.col("hot").isNull()).select("key", "s", "n", "back", F.lit(True).alias("indexed"))
