@@ -115,6 +115,16 @@ class Pieces:
         Id -1 stands for the bytes of a character without a piece.
         """
         n = len(unit)
+        if n <= 256:  # the same, by the dictionary: arrays don't pay for so few pieces
+            first, start, ids = [0, 0], [], []
+            for j in range(1, n + 1):
+                for i in range(max(0, j - self.longest), j):
+                    k = self.id_of.get(unit[i:j], -1)
+                    if k >= 0 or i == j - 1:
+                        start.append(i)
+                        ids.append(k)
+                first.append(len(start))
+            return np.array(first), np.array(start, dtype=np.int32), np.array(ids, dtype=np.int32)
         c = mix64(np.frombuffer(unit.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1))
         acc, up = np.zeros(n + 1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
         starts, ends, ids = [], [], []
@@ -183,7 +193,7 @@ class Pieces:
 
     def best_of(self, units: list[str], n: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list]]:
         """Best ids of all units one after another, how many each has, best scores, how far runners-up lie behind,
-        and the n best of units searched one by one."""
+        and the n best of very long units."""
         count = np.zeros(len(units), dtype=np.int64)
         score, gap = np.zeros(len(units)), np.full(len(units), np.inf)
         size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
@@ -196,7 +206,9 @@ class Pieces:
             for at in range(0, len(some), 20_000):
                 done.append(self._viterbi(units, some[at:at + 20_000], size, width, count, score, gap))
         for u in np.flatnonzero(count == 0).tolist():  # very long, or with characters beyond ASCII that have no piece
-            top = lists[u] = self.nbest(units[u], max(2, n))
+            top = self.nbest(units[u], max(2, n) if len(units[u]) > 1000 else 2)
+            if len(units[u]) > 1000:  # searched once, for all n
+                lists[u] = top
             done.append((np.array([u]), np.array(top[0][1], dtype=np.int32)))
             count[u], score[u] = len(top[0][1]), top[0][0]
             gap[u] = top[0][0] - top[1][0] if len(top) > 1 else np.inf
