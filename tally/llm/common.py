@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.session import ensure_checkpoint_dir
+from tally.session import ensure_checkpoint_dir, shuffle_partitions_for
 
 #: ASCII white space that separates words (space, tab .. carriage return).
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -218,8 +218,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame, size: int = 0) -> int:
+    """Shuffle partitions for ``size`` bytes: the session's, or more where those would hold too much each."""
+    return shuffle_partitions_for(size, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def fp_hex(col) -> F.Column:

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from tally.llm import decontam, langid, lengths, licenses, lm, mixing, pieces, quality, runs, shards, simhash, spelling, suffix
+from tally.session import size_shuffles
 
 #: Arrow batches of whole texts stay small, whatever their length.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def apply_settings(spark) -> None:
+def apply_settings(spark, sf_dir: str) -> None:
+    """Batch size, and shuffle partitions of 256 MB of the documents each where the session has fewer."""
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
+    size_shuffles(spark, f"{sf_dir}/documents.parquet")
 
 
 def _with_settings(fn):
     def run(spark, sf_dir):
-        apply_settings(spark)
+        apply_settings(spark, sf_dir)
         return fn(spark, sf_dir)
     run.__name__, run.__doc__ = fn.__module__.rpartition(".")[2], fn.__doc__
     return run

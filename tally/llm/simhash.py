@@ -138,8 +138,15 @@ def _bucket_links(max_bits: int):
     return run
 
 
-def near_links(fps: DataFrame, max_bits: int = 4, bucket: int = 4096) -> DataFrame:
-    """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect all within ``max_bits`` bits."""
+#: Bytes of a shuffled row of ``near_links``.
+ROW_BYTES = 56
+
+
+def near_links(fps: DataFrame, max_bits: int = 4, bucket: int = 4096, rows_at_most: int = 0) -> DataFrame:
+    """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect all within ``max_bits`` bits.
+
+    ``rows_at_most``: a bound of their number; the partitions follow it.
+    """
     masks = block_masks(max_bits)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"))
                                for i, m in enumerate(masks)])).alias("k")
@@ -150,16 +157,16 @@ def near_links(fps: DataFrame, max_bits: int = 4, bucket: int = 4096) -> DataFra
              .withColumn("c", F.pmod(F.xxhash64("fp"), chunks))
              .withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
              .select("i", "v", F.least("c", "d").alias("p"), F.greatest("c", "d").alias("q"), "fp"))
-    n = partitions(fps)
+    n = partitions(fps, rows_at_most * len(masks) * ROW_BYTES)
     return (dealt.repartition(n, "i", "v", "p", "q").sortWithinPartitions("i", "v", "p", "q")
             .mapInArrow(_bucket_links(max_bits), "u long, v long"))
 
 
 def _roots(rows: DataFrame, max_bits: int, bucket: int) -> DataFrame:
-    """``(fp, root, first)``: each fingerprint's component and its own first row (ids first, nulls last)."""
+    """``(fp, root, first)`` of kept ``rows``: each fingerprint's component and its own first row (ids first, nulls last)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
     distinct = rows.groupBy("fp").agg(first)
-    nodes = connected_components(near_links(distinct.select("fp"), max_bits, bucket))
+    nodes = connected_components(near_links(distinct.select("fp"), max_bits, bucket, rows.count()))
     return distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
 
 

@@ -313,7 +313,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, filter_bi
     hot = kids.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > hot_bytes).select("h")
     split = not hot.isEmpty()
     usual = kids.join(hot, "h", "left_anti") if split else kids
-    marks = (usual.select("h", "kid", "n", "body").repartition(partitions(docs), "h").sortWithinPartitions("h")
+    stored = kids.agg(F.sum("size")).first()[0] or 0
+    marks = (usual.select("h", "kid", "n", "body").repartition(partitions(docs, stored), "h").sortWithinPartitions("h")
              .mapInArrow(_mark(length), "kid binary, first long, last long"))
     if split:
         marks = marks.union(_mark_hot(kids.join(hot, "h", "left_semi"), length))

@@ -24,3 +24,19 @@ def test_plans_have_no_nested_loops(spark, name):
 def test_sql(spark, name):
     r = compare(spark, SF, name, E.queries()[name], ORACLE[name])
     assert r["ok"], r
+
+
+def test_shuffles_follow_the_bytes(spark, tmp_path):
+    from tally.llm.common import partitions
+    from tally.llm.queries import apply_settings
+    before = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(1)
+    assert partitions(df) == before and partitions(df, 1) == before
+    assert partitions(df, 1000 * (256 << 20) + 1) == 1001
+    with open(tmp_path / "documents.parquet", "wb") as f:
+        f.truncate((before + 2) * (256 << 20))  # a sparse file
+    try:
+        apply_settings(spark, str(tmp_path))
+        assert partitions(df) == before + 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(before))
