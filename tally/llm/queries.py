@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tally.llm import decontam, langid, lengths, licenses, lm, mixing, pieces, quality, runs, shards, simhash, spelling, suffix
+from tally.llm import decontam, langid, lengths, licenses, lm, mixing, oracle, pieces, quality, runs, shards, simhash, spelling, suffix
 from tally.session import size_shuffles
 
 #: Arrow batches of whole texts stay small, whatever their length.
@@ -41,4 +41,4 @@ _ALL = {
 }
 
 QUERIES = {k: _with_settings(f) for k, f in _ALL.items()}
-ORACLE = {"op3_quality": quality.SQL}
+ORACLE = {"op3_quality": quality.SQL, "op8_suffix_dedup": oracle.SUFFIX_DEDUP, "op12_runs": oracle.RUNS, "op13_spelling": oracle.SPELLING}

@@ -283,6 +283,45 @@ def test_shards(spark, docs):
     assert got == shards.query(spark, SF).collect() or sorted(got) == sorted(shards.query(spark, SF).collect())
 
 
+def xxh64(*values):
+    """Spark's xxhash64 of values as bytes: each hashed with the hash before it as seed (nulls skipped), signed."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_shards_and_order_recomputed(spark):
+    """Shard, grown shard and slot of every row from the definition: highest vote, seeded bucket, shuffled rows."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    df = df.union(spark.createDataFrame([(None, "x"), (10**6, None), (10**6 + 1, ""), (None, None)], "doc_id long, text string"))
+    rows, bucket_bytes, shards_n, seed = df.collect(), 20_000, 3, 5
+    total = sum(len((r.text or "").encode()) + 1 for r in rows)
+    each = -(-total // (shards_n * bucket_bytes))
+    long = lambda x: None if x is None else x.to_bytes(8, "little", signed=True)
+    raw = lambda x: None if x is None else x.encode()
+    number = lambda x: x.to_bytes(4, "little", signed=True)
+
+    def shard(r, n):
+        return max(range(n), key=lambda i: (xxh64(number(seed), number(i), long(r.doc_id)), -i))
+
+    buckets = defaultdict(list)
+    for r in rows:
+        part = xxh64(number(seed + 1), long(r.doc_id), raw(r.text)) % each
+        buckets[shard(r, shards_n) * each + part].append(r)
+    expected = []
+    for s in range(shards_n):
+        order = []
+        for b in range(s * each, (s + 1) * each):
+            sorted_rows = sorted(buckets[b], key=lambda r: (xxh64(long(r.doc_id), raw(r.text)), -1 if r.doc_id is None else r.doc_id))
+            order += [sorted_rows[i] for i in np.random.default_rng((seed, b)).permutation(len(sorted_rows))]
+        expected += [(r.doc_id, r.text, s, slot, shard(r, shards_n + 1)) for slot, r in enumerate(order)]
+    got = shards.shuffle_into_shards(df, shards=shards_n, seed=seed, bucket_bytes=bucket_bytes)
+    got = [tuple(r) for r in got.select("row.doc_id", "row.text", "shard", "slot", "grown_shard").collect()]
+    assert each > 2 and Counter(got) == Counter(expected)
+
+
 def test_shards_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     a = shards.shuffle_into_shards(df, shards=3, bucket_bytes=20_000).select("row.doc_id", "shard", "slot").collect()

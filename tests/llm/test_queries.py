@@ -1,5 +1,6 @@
 """The registered queries: names, plans without nested loops, SQL where there is some."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as E
@@ -26,6 +27,20 @@ def test_sql(spark, name):
     assert r["ok"], r
 
 
+@pytest.mark.parametrize("name", ["op8_suffix_dedup", "op12_runs", "op13_spelling"])
+def test_sql_of_odd_rows(spark, tmp_path, name):
+    """Nulls, empty texts, repeated rows, periods, overlapping repeats, letters beyond ASCII, blanks of all kinds."""
+    tail = "naïveté " * 40
+    texts = [None, "", " \t\n", "a " * 30, "x" * 500, tail, tail, "so " + tail + "it goes", "a b c " * 9 + "\x0b a b c d " * 7, "ÀÉÎÕÜßÿ÷× " * 25,
+             "surround surronud surround sourround", "é" * 150 + "ü", "surround " * 60, "surroun " * 3 + "surrounds " * 2]
+    rows = [(None if i % 5 == 4 else i % 7, t) for i, t in enumerate(texts * 6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    r = compare(spark, str(tmp_path), name, E.queries()[name], ORACLE[name], con)
+    assert r["ok"] and r["spark_rows"] and not r["type_diff"], r
+
+
 def test_shuffles_follow_the_bytes(spark, tmp_path):
     from tally.llm.common import partitions
     from tally.llm.queries import apply_settings
