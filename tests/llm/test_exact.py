@@ -254,6 +254,29 @@ def test_license_positions_and_partial_notices(spark):
     assert got == {(0, "GPL-3.0"): (1.0, 7), (1, "GPL-3.0"): (0.875, 0), (3, "GPL-3.0"): (1.0, 3)}
 
 
+def test_every_license_template_is_found(spark):
+    """Each template inside a text; long ones with their last tenth missing too, whatever stands around them."""
+    texts, want = [], {}
+    for k, (name, template) in enumerate(licenses.TEMPLATES):
+        want[len(texts)] = (name, 1.0, k)
+        texts.append(" ".join(f"w{k}x{i}" for i in range(k)) + " /* " + template.replace(" ", "\n * ", 1) + " */ end")
+        words = template.split()
+        if len(words) >= 50:
+            want[len(texts)] = (name, None, 0)
+            texts.append(" ".join(words[:-len(words) // 10]) + " and nothing else")
+    found = defaultdict(dict)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found[r.doc_id][r.license] = (r.containment, r.word_start)
+    for i, (name, share, start) in want.items():
+        assert found[i][name][1] == start and (found[i][name][0] == share or share is None and 0.8 <= found[i][name][0] <= 1), (i, name, found[i])
+
+
+def test_license_shingles_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "MAX_SHINGLES", 10)
+    with pytest.raises(ValueError, match="shingles"):
+        licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", F.length("text").alias("n"))
