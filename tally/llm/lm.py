@@ -200,4 +200,5 @@ def backoff_scores(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: f
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return backoff_scores(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = backoff_scores(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log10_score", "log10_per_word")])

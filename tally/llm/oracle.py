@@ -16,6 +16,32 @@ def _crc32(value: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, o: xor(c // 256, crc_of[1 + xor(c, o) % 256])), 4294967295::BIGINT)"
 
 
+#: op5: the three count tables joined to the n-grams that end at each word.
+BACKOFF = """
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM texts),
+grams AS (
+    SELECT rid, word, lag(word) OVER t AS before, lag(word) OVER t || ' ' || word AS two, lag(word, 2) OVER t || ' ' || lag(word) OVER t AS before_two,
+           lag(word, 2) OVER t || ' ' || lag(word) OVER t || ' ' || word AS three
+    FROM words WINDOW t AS (PARTITION BY rid ORDER BY i)),
+ones AS (SELECT word, count(*) AS n FROM grams GROUP BY word),
+twos AS (SELECT two, count(*) AS n FROM grams WHERE two IS NOT NULL GROUP BY two),
+threes AS (SELECT three, count(*) AS n FROM grams WHERE three IS NOT NULL GROUP BY three),
+total AS (SELECT count(*) AS n FROM words),
+scored AS (
+    SELECT rid, CASE
+        WHEN c.n >= 2 THEN log10(c.n / c_of.n)
+        WHEN b.n >= 2 THEN log10(b.n / b_of.n) + CASE WHEN c.n IS NULL THEN 0 ELSE log10(0.4::DOUBLE) END
+        ELSE log10(a.n / total.n) + CASE WHEN b.n IS NULL THEN 0 WHEN c.n IS NULL THEN log10(0.4::DOUBLE) ELSE 2 * log10(0.4::DOUBLE) END END AS s
+    FROM grams g JOIN ones a ON g.word = a.word LEFT JOIN ones b_of ON g.before = b_of.word
+    LEFT JOIN twos b ON g.two = b.two LEFT JOIN twos c_of ON g.before_two = c_of.two LEFT JOIN threes c ON g.three = c.three, total),
+sums AS (SELECT rid, fsum(s) AS score FROM scored GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS log10_score, round(score / len(w), 6) AS log10_per_word
+FROM texts LEFT JOIN sums USING (rid)
+"""
+
 #: op8: every string of 200 bytes as two hex digits a byte, those found twice, and what they cover.
 SUFFIX_DEDUP = """
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

@@ -41,4 +41,10 @@ _ALL = {
 }
 
 QUERIES = {k: _with_settings(f) for k, f in _ALL.items()}
-ORACLE = {"op3_quality": quality.SQL, "op8_suffix_dedup": oracle.SUFFIX_DEDUP, "op12_runs": oracle.RUNS, "op13_spelling": oracle.SPELLING}
+ORACLE = {
+    "op3_quality": quality.SQL,
+    "op5_backoff": oracle.BACKOFF,
+    "op8_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op12_runs": oracle.RUNS,
+    "op13_spelling": oracle.SPELLING,
+}

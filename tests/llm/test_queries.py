@@ -27,7 +27,7 @@ def test_sql(spark, name):
     assert r["ok"], r
 
 
-@pytest.mark.parametrize("name", ["op8_suffix_dedup", "op12_runs", "op13_spelling"])
+@pytest.mark.parametrize("name", ["op5_backoff", "op8_suffix_dedup", "op12_runs", "op13_spelling"])
 def test_sql_of_odd_rows(spark, tmp_path, name):
     """Nulls, empty texts, repeated rows, periods, overlapping repeats, letters beyond ASCII, blanks of all kinds."""
     tail = "naïveté " * 40
