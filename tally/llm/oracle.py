@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tally.llm.licenses import TEMPLATES
+
 #: Common table expression: the CRC-32 of each byte, before the last complement.
 _CRC = """
 bits AS (  -- CRC-32 of one byte, for each byte
@@ -16,6 +18,31 @@ def _crc32(value: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, o: xor(c // 256, crc_of[1 + xor(c, o) % 256])), 4294967295::BIGINT)"
 
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
+_LETTERS = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
+
+#: op4: windows by the template shingles they hold (all templates have five words and more).
+LICENSES = f"""
+WITH templates AS (
+    SELECT row_number() OVER () AS t, license, regexp_extract_all(lower(template), '{_LETTERS}') AS w FROM (VALUES {_TEMPLATES}) v(license, template)),
+wanted AS (
+    SELECT t, license, len(w) AS size, greatest(1, len(w) // 4) AS step, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+    FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM templates)),
+shares AS (SELECT t, count(DISTINCT g) AS n FROM wanted GROUP BY t),
+texts AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(text), '{_LETTERS}') AS w FROM documents WHERE text IS NOT NULL),
+words AS (SELECT rid, doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM texts),
+fives AS (
+    SELECT rid, doc_id, i, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS g
+    FROM words WINDOW p AS (PARTITION BY rid ORDER BY i)),
+hits AS (SELECT DISTINCT rid, doc_id, i, t, license, size, step, g FROM fives JOIN wanted USING (g)),
+held AS (  -- window k starts at word k * step and has size + step words
+    SELECT *, unnest(range(greatest(0, ceil((i + 5 - size - step) / step))::BIGINT, i // step + 1)) AS k FROM hits),
+windows AS (SELECT rid, doc_id, t, license, k, count(DISTINCT g) AS n, min(i) AS word_start FROM held GROUP BY ALL),
+found AS (SELECT doc_id, license, windows.n / shares.n AS containment, word_start FROM windows JOIN shares USING (t))
+SELECT doc_id, license, max(containment) AS containment, arg_max(word_start, (containment, -word_start)) AS word_start
+FROM found WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
+
 #: op5: the three count tables joined to the n-grams that end at each word.
 BACKOFF = """
 WITH texts AS (

@@ -43,6 +43,7 @@ _ALL = {
 QUERIES = {k: _with_settings(f) for k, f in _ALL.items()}
 ORACLE = {
     "op3_quality": quality.SQL,
+    "op4_licenses": oracle.LICENSES,
     "op5_backoff": oracle.BACKOFF,
     "op8_suffix_dedup": oracle.SUFFIX_DEDUP,
     "op12_runs": oracle.RUNS,

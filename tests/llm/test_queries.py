@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tally.llm.licenses import TEMPLATES
 from tally.llm.queries import ORACLE, QUERIES
 from tests.oracle_compare import compare
 
@@ -27,12 +28,13 @@ def test_sql(spark, name):
     assert r["ok"], r
 
 
-@pytest.mark.parametrize("name", ["op5_backoff", "op8_suffix_dedup", "op12_runs", "op13_spelling"])
+@pytest.mark.parametrize("name", ["op4_licenses", "op5_backoff", "op8_suffix_dedup", "op12_runs", "op13_spelling"])
 def test_sql_of_odd_rows(spark, tmp_path, name):
     """Nulls, empty texts, repeated rows, periods, overlapping repeats, letters beyond ASCII, blanks of all kinds."""
     tail = "naïveté " * 40
     texts = [None, "", " \t\n", "a " * 30, "x" * 500, tail, tail, "so " + tail + "it goes", "a b c " * 9 + "\x0b a b c d " * 7, "ÀÉÎÕÜßÿ÷× " * 25,
-             "surround surronud surround sourround", "é" * 150 + "ü", "surround " * 60, "surroun " * 3 + "surrounds " * 2]
+             "surround surronud surround sourround", "é" * 150 + "ü", "surround " * 60, "surroun " * 3 + "surrounds " * 2,
+             "Über " + TEMPLATES[2][1].upper() + TEMPLATES[0][1] * 3, TEMPLATES[1][1][8:] + " " + TEMPLATES[1][1]]
     rows = [(None if i % 5 == 4 else i % 7, t) for i, t in enumerate(texts * 6)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
