@@ -163,7 +163,8 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius:
     a text of fewer words than an item is its one window for it (``n_words``);
     rows that share an id, null too, are one document's parts; repeated items
     each match; ties go to the more similar, then closer, then earlier window;
-    either table empty gives an empty result.  The filter is a bit map of
+    either table empty gives an empty result; a very long text is searched whole.
+    The filter is a bit map of
     2**filter_bits bits; the window sizes are the items' distinct word counts.
     """
     if not 0 < similarity <= 1:
@@ -211,7 +212,9 @@ def _slots(bits: int):
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, with their own columns, whose text holds no benchmark item.
 
-    Rows are told apart by their text, so null or repeated ids don't matter.
+    Rows are told apart by their text, so null or repeated ids don't matter and
+    repeated rows share their fate; null and empty texts stay; very long texts are
+    searched whole; an empty table stays empty, and without items all rows stay.
     """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     bad = matches(keyed.select(F.xxhash64("text").alias("row_id"), "text"), items, **how).select("row_id").distinct()

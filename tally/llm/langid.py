@@ -97,7 +97,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     Null and letterless texts, and texts whose two best languages need nearly the
     same number of bytes (``score <= margin``), are ``und``.  Without any
     dictionary everything is.  Rows with null or repeated ids are rows like any
-    other; an empty table gives an empty result; other columns are not read.
+    other; a very long text is encoded whole, in pieces; an empty table gives an
+    empty result; other columns are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))

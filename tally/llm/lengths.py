@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
 
 def length_histogram(counts: DataFrame) -> DataFrame:
-    """``(n_tokens, docs)``: how many rows have each length (an empty table has none)."""
+    """``(n_tokens, docs)``: how many rows have each length (an empty table has none; repeated and null ids count as rows)."""
     return counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
 
 

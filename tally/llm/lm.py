@@ -178,8 +178,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: f
     Words are lower-cased (A-Z) runs of anything but ASCII white space; n-grams
     don't cross texts; those of two and more words count if seen ``min_count``
     times.  Null and empty texts have score 0 and no mean.  Repeated rows count
-    each time; null ids are ids; an empty table gives an empty result; other
-    columns are not read.  ``block_bytes``: text bytes of a block.
+    each time; null ids are ids; an empty table gives an empty result; a text of
+    any length is scored whole in its block; other columns are not read.  ``block_bytes``: text bytes of a block.
     """
     if order < 1 or min_count < 1 or not 0 < alpha <= 1:
         raise ValueError("order and min_count must be positive, alpha in (0, 1]")

@@ -71,8 +71,8 @@ def _repeat_words(words: Column, window: int) -> Column:
 def measures(docs: DataFrame, stop_words: str = STOP_WORDS, window: int = WINDOW) -> DataFrame:
     """``docs`` with the measures of its ``text`` in a struct column ``measures``.
 
-    A null text counts as empty.  All other columns pass through; a column of
-    theirs called ``measures`` is replaced.
+    A null text counts as empty, a text of any length is measured whole.  All
+    other columns pass through; a column of theirs called ``measures`` is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "")
@@ -127,7 +127,11 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with its own columns only."""
+    """The rows of ``docs`` that pass, with its own columns only, whatever their names.
+
+    Null and empty texts don't pass, ids may be null or repeat, repeated rows pass or
+    fail alike, very long texts are measured whole, an empty table stays empty.
+    """
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     return quality(marked, rules).where("kept").select("row.*")
 

@@ -64,7 +64,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 0, bucket_
     shard, each bucket's rows in order.  Law ``key``: id and shard count alone
     decide the shard.  A null id is a key like any other; rows equal in id and
     text are interchangeable and share a bucket; an empty table gives an empty
-    result; columns may have any name.
+    result; a very long text makes its bucket larger by itself; columns may have any name.
     """
     if shards < 1 or bucket_bytes < 1:
         raise ValueError("shards and bucket_bytes must be positive")

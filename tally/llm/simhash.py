@@ -179,7 +179,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket:
     smallest ``doc_id`` reachable over links of at most ``max_bits`` differing
     bits.  Rows with a null ``doc_id`` take part and never give the smallest
     (null where a component has no other); repeated rows are kept; an empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; a text of any length has one fingerprint of all
+    its words; other columns are not read.
     """
     rows = keep(fingerprints(docs, shingle))
     roots = _roots(rows, max_bits, bucket)
@@ -192,7 +193,8 @@ def simhash_keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4, buc
     """One row of each group, with all columns of ``docs``: the one with the smallest ``doc_id``.
 
     Among rows with that id, or in a group without ids, the smallest hash of the
-    text decides; of rows equal in both one stays.
+    text decides; of rows equal in both one stays.  Null, empty and very long texts
+    as in ``simhash_groups``; an empty table stays empty; columns may have any name.
     """
     rows = keep(fingerprints(docs, shingle))
     first = _roots(rows, max_bits, bucket).groupBy("root").agg(F.min("first").alias("first"))

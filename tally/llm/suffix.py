@@ -367,7 +367,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = True, c
     Strings are judged on the input.  A null text is empty (``kept`` null);
     texts under ``length`` bytes lose nothing; equal rows are each other's
     repeats; null or repeated ids don't matter, rows are told apart by their
-    text alone; an empty table gives an empty result.
+    text alone; a very long text is looked at whole; an empty table gives an
+    empty result.
     """
     spans = repeated_spans(docs, length, **how).withColumnRenamed("key", "_key")
     row = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
@@ -382,7 +383,12 @@ def _schema(joined: DataFrame, with_text: bool):
 
 
 def drop_repeats(docs: DataFrame, length: int = 200, **how) -> DataFrame:
-    """``docs`` with its own columns; ``text`` is what is left, and ``n_chars``, if there is one, its length."""
+    """``docs`` with its own columns; ``text`` is what is left, and ``n_chars``, if there is one, its length.
+
+    A null text stays null; repeated rows are each other's repeats; ids may be null or
+    repeat; very long texts are looked at whole; an empty table stays empty; columns
+    may have any name.
+    """
     got = remove_repeats(docs, length, **how)
     def value(c):
         if c == "text":
