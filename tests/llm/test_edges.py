@@ -94,3 +94,20 @@ def test_wrong_arguments(table, items):
               lambda: decontam.matches(table, items, similarity=2)):
         with pytest.raises(ValueError):
             f()
+
+
+def test_searches_and_counts_of_odd_rows(table, items):
+    rows = table.select(table.doc_id.alias("row_id"), "text", "lang", "h")
+    got = decontam.matches(rows, items).collect()
+    # "one" is an item of one word: the repeated row is one document's part, the upper-case one its match too
+    assert sorted((r.row_id, r.item_id, r.similarity) for r in got) == [(4, None, 1.0), (5, None, 1.0), (7, 1, 1.0)]
+    assert licenses.scan(table).collect() == []
+    counts = [(r.doc_id, r.n_tokens) for r in lengths.token_counts(table).collect()]
+    assert len(counts) == len(ROWS) and counts.count((None, 0)) == 2 and counts.count((4, 1)) == 2 and (1, 0) in counts
+    assert sum(r.docs for r in lengths.length_histogram(lengths.token_counts(table)).collect()) == len(ROWS)
+
+
+def test_decoding_of_odd_rows(spark):
+    rows = spark.createDataFrame([((1,), None), ((2,), []), ((None,), None)], "row struct<text: int>, ids array<int>")
+    assert sorted(((r.row.text, r.text) for r in pieces.decode(rows).collect()), key=str) == [(1, None), (2, ""), (None, None)]
+    assert pieces.decode(rows.limit(0)).collect() == []
