@@ -23,8 +23,6 @@ SHINGLE, BANDS, ROWS = 5, 16, 1
 #: Templates are broadcast and their shingles are literals of the plan; more than this many of either are refused.
 MAX_TEMPLATES, MAX_SHINGLES = 5000, 200_000
 
-_NO_WARRANTY = ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
-                "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details.")
 _BSD_LIABILITY = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
     "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
@@ -55,12 +53,9 @@ TEMPLATES = (
      "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations "
      "under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("GPL", _NO_WARRANTY.format("General Public License")),
-    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("LGPL", _NO_WARRANTY.replace("program", "library").format("Lesser General Public License")),
-    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
-    ("AGPL", _NO_WARRANTY.format("Affero General Public License")),
+    ("GPL", "modify it under the terms of the GNU General Public License"),
+    ("LGPL", "modify it under the terms of the GNU Lesser General Public License"),
+    ("AGPL", "modify it under the terms of the GNU Affero General Public License"),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),

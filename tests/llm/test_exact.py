@@ -271,6 +271,12 @@ def test_every_license_template_is_found(spark):
         assert found[i][name][1] == start and (found[i][name][0] == share or share is None and 0.8 <= found[i][name][0] <= 1), (i, name, found[i])
 
 
+def test_licenses_are_told_apart():
+    """No template's shingles lie to 80 % in a template of another license, or it would be reported along."""
+    each = [(name, set(shingles(alnum(template)))) for name, template in licenses.TEMPLATES]
+    assert all(len(s & t) < 0.8 * len(s) for a, s in each for b, t in each if a != b)
+
+
 def test_license_shingles_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MAX_SHINGLES", 10)
     with pytest.raises(ValueError, match="shingles"):
