@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tally.llm import decontam, langid, lengths, licenses, lm, pieces, quality, shards, simhash, suffix
@@ -293,6 +294,33 @@ def test_language_held_out_accuracy(spark):
     assert all(r.lang_pred in {"en", "de", "fr", "es", "und"} for r in got)
 
 
+def test_language_predictions_recomputed(spark, docs):
+    """Every text encoded piece by piece with each language's dictionary; close calls, nulls and letterless texts are ``und``."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    dictionaries = langid.fit(df)
+    odd = [(-1, None), (-2, ""), (-3, "123 ... 456"), (-4, "a"), (-5, "Ünïcode 5"), (None, "the of and to in")]
+    texts = odd + [(i, r.text) for i, r in docs.items()]
+
+    def encoded(raw, dictionary):
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=6)
+        c = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(c.compress(raw[a:a + 4096])) for a in range(0, len(raw), 4096))
+
+    want = {}
+    for i, t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            want[i] = ("und", 0.0)
+            continue
+        (least, lang), (second, _), *_ = sorted((encoded(t.lower().encode(), d), k) for k, d in dictionaries.items())
+        want[i] = (lang if second - least > 0.01 * second else "und", 1 - least / second)
+    got = langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), dictionaries).collect()
+    assert len(got) == len(texts) and len(dictionaries) > 2
+    assert {r.doc_id: r.lang_pred for r in got} == {i: x for i, (x, _) in want.items()}
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: x for i, (_, x) in want.items()})
+    assert {r.doc_id for r in got if r.held_out} == {i for i, _ in texts if i is not None and zlib.crc32(str(i).encode()) % 5 == 0}
+
+
 def test_dictionaries_never_see_held_out_rows(spark):
     rows = [(i, f"secret{i} " * 20, "en") for i in range(50)]
     d = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"].decode()
