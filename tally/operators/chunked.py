@@ -28,6 +28,8 @@ __all__ = ["CHUNK", "hot_ranges", "hot_chunks", "rank_chunks", "split_bounds", "
 CHUNK = "chunk"
 #: Rows sampled for a range of a hot key, and up to how many ranges the bounds are broadcast (about 3 MB).
 SAMPLES, MAX_RANGES = 64, 50_000
+#: Rows of a task that deals rows by rank.
+PART_ROWS = 250_000
 
 _CHUNK = "__chunk"
 _SEED = "__seed"
@@ -62,15 +64,24 @@ def hot_ranges(df: DataFrame, keys: list[str], max_rows: int) -> int | None:
 
 
 def rank_chunks(df: DataFrame, keys: list[str], order: list[tuple[str, bool]], ranges: int) -> DataFrame:
-    """``df`` with a column ``CHUNK``: which of ``ranges`` near-equal ranges of (keys, order) a row lies in.
+    """``df`` with a column ``CHUNK``: which range of (keys, order) a row lies in, of about four fifths of ``ranges`` equal ones.
 
     Rows are dealt by rank, so bursts and rows without a time are split like
     any others, and a key spans as many chunks as its rows need; only rows equal
-    in the keys and the whole order stay together.  The result is written to
-    the checkpoint folder and read back, so all uses see the same bounds.
+    in the keys and the whole order stay together.  Tasks hold up to about ``PART_ROWS``
+    rows, however small the ranges are: within a task a row's place in the sorted
+    rows gives its range.  The rows are written to the checkpoint folder first, as counting,
+    sampling and dealing each read them, and so is the result: all uses see the same bounds.
     """
-    dealt = df.repartitionByRange(ranges, *[F.col(k).asc_nulls_first() for k in keys], *sort_exprs(order))
-    return written(dealt.withColumn(CHUNK, F.spark_partition_id()))
+    df = written(df)
+    total = df.count()
+    limit = max(1, 5 * total // (4 * max(ranges, 1)))  # rows of a range
+    parts = max(1, min(ranges, -(-total // PART_ROWS)))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *sort_exprs(order)]
+    dealt = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    tied = Window.partitionBy(*keys, *[c for c, _ in order])
+    first = F.min("__at").over(tied)  # the place of the first of equal rows
+    return written(dealt.withColumn(CHUNK, F.floor(first / F.lit(limit))).drop("__at"))
 
 
 def _per_key(df: DataFrame, keys: list[str]) -> DataFrame:

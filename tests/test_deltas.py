@@ -230,6 +230,34 @@ def test_many_ranges_deal_all_rows_by_rank(spark, monkeypatch):
     assert sorted(map(str, raw_deltas(None, latest, cfg).drop("chunk").collect())) == want
 
 
+def test_small_ranges_share_tasks(spark, monkeypatch):
+    """Many ranges of a few rows make no task or file each; ties moving both ways stay together."""
+    from tally.operators import chunked
+    t0 = ts(8)
+    moves = [(f"c{i}", t0 + dt.timedelta(minutes=20 * (k // 3)), float((k // 3 + k % 3) * (-1) ** i)) for i in range(7) for k in range(900)]
+    even = [("even", t0 + dt.timedelta(minutes=20 * (k // 2)), float(k // 4 % 2)) for k in range(600)]
+    latest = frame(spark, moves + even + [(None, None, float(k)) for k in range(500)] + hourly("cold", range(9)), READ_SCHEMA)
+    monkeypatch.setattr(chunked, "MAX_RANGES", 1)
+    monkeypatch.setattr(chunked, "PART_ROWS", 2000, raising=False)
+    cfg = split_hot_counters(latest, RunConfig(max_rows_per_key=4))
+    assert cfg.hot_ranges > 2000
+    order = [("datetime", True), ("entries", True)]
+    dealt = chunked.rank_chunks(latest, ["id"], order, cfg.hot_ranges)
+    assert len(dealt.inputFiles()) <= 4
+    sizes = dealt.groupBy("id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("datetime", "entries").alias("kinds"))
+    assert sizes.where("n > 5 and kinds > 1").count() == 0 and sizes.count() > 1000
+    tied = dealt.groupBy("id", "datetime", "entries").agg(F.countDistinct("chunk").alias("n"))
+    assert tied.where("n > 1").count() == 0
+    raw, plain = raw_deltas(None, latest, cfg), raw_deltas(None, latest, PLAIN)
+
+    def rows(df, *cols):
+        return sorted(map(str, df.select(*cols).collect()))
+
+    assert rows(raw, "id", "datetime", "entries", "src", "d_entries") == rows(plain, "id", "datetime", "entries", "src", "d_entries")
+    cols = ["id", "datetime", "entries", "sign", "d_entries", "d_time"]
+    assert rows(clean_deltas(raw, None, cfg), *cols) == rows(clean_deltas(plain, None, PLAIN), *cols)
+
+
 def test_seeded_running_sum_matches_plain(spark):
     rows = [("k" if i % 3 else "h", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * i), i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v long")
