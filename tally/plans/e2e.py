@@ -21,7 +21,7 @@ from tally.plans.backfill import backfill
 from tally.plans.history import run_history
 from tally.plans.week import WeekResult, run_week, weekly_from_readings
 from tally.schemas import BASELINE, READINGS_RAW, SNAPSHOT, STATIONS, WEEKLY
-from tally.session import size_shuffles
+from tally.session import size_shuffles, written
 from tally.sources import testbed as tb
 from tally.sources.readings import read_landed, read_readings
 from tally.sources.store import Store, read_table
@@ -94,15 +94,16 @@ def land_all_weeks(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig =
     the list of weeks, from the first and last reading, is on the driver.
     """
     store = Store(root)
-    r0 = tb.readings_view(spark, sf_dir, cfg)
+    r0, hot = tb.readings_view_cfg(spark, sf_dir, cfg)
     r = _at_second(counter_id(r0))
-    names = tb.counter_names(r)
+    names = tb.counter_names(counter_id(tb.counter_names(r0)))  # ids made of counters, not of readings
     span = r0.agg(F.min(saturday_floor("datetime")).alias("a"), F.max(saturday_floor("datetime")).alias("b")).first()
     first, last = (span["a"], span["b"]) if span["a"] else (WEEK1, WEEK2)
     midnight = dt.datetime.combine(first, dt.time())
     week = dt.timedelta(days=7)
 
-    early = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(midnight + week)), names, cfg)
+    before = _at_second(counter_id(r0.where(F.col("datetime") < tb.ntz(midnight + week))))
+    early = written(weekly_from_readings(None, before, names, cfg))  # a lookup and the first state
     base = early.withColumn("base_weekdate", F.date_format("weekdate", "yyyy-MM-dd"))
     base = _land_csv(base, f"{root}/lookups/baseline.csv",
                      ["weekday_pm", "base_weekdate", "station", "week", "weekend", "linename", "weekday_am"])
@@ -110,7 +111,7 @@ def land_all_weeks(spark: SparkSession, sf_dir: str, root: str, cfg: RunConfig =
                       ["linename_new", "borough_id", "linename", "station_new", "station"])
     baseline, stations = read_table(spark, base, BASELINE, "csv"), read_table(spark, known, STATIONS, "csv")
 
-    store.write(_at_second(counter_id(tb.prior_snapshot(r0, cfg, midnight + week))), "snapshots", first)
+    store.write(_at_second(counter_id(tb.prior_snapshot(r0, hot, midnight + week))), "snapshots", first)
     store.write(early.select(*WEEKLY.fieldNames()), "weekly", first)
     files, n = {}, max(1, (last - first).days // 7)
     for i in range(1, n + 1):
@@ -170,7 +171,7 @@ def two_week_run(spark: SparkSession, sf_dir: str, root: str,
                  cfg: RunConfig = RunConfig()) -> DataFrame:
     """Run weeks 1 and 2; returns week 2's baseline comparison."""
     store = Store(root)
-    r0 = tb.readings_view(spark, sf_dir, cfg)
+    r0, hot = tb.readings_view_cfg(spark, sf_dir, cfg)
     r = _at_second(counter_id(r0))
     stations = tb.stations_lookup(spark, sf_dir)
     names = tb.counter_names(r)
@@ -184,7 +185,7 @@ def two_week_run(spark: SparkSession, sf_dir: str, root: str,
     f1 = land_week(r0, f"{root}/landing/{WEEK1:%y%m%d}", d1, d2)
     f2 = land_week(r0, f"{root}/landing/{WEEK2:%y%m%d}", d2, d3)
 
-    prior0 = _at_second(counter_id(tb.prior_snapshot(r0, cfg)))
+    prior0 = _at_second(counter_id(tb.prior_snapshot(r0, hot)))
     acc0 = weekly_from_readings(None, r.where(F.col("datetime") < tb.ntz(d1)), names, cfg) \
         .select(*WEEKLY.fieldNames())
     store.write(prior0, "snapshots", WEEK1 - dt.timedelta(days=7))

@@ -3,7 +3,7 @@
 A run needs of the earlier ones only each counter's latest reading, its names and how
 many copies of a row the snapshot joins have made by then.  So:
 
-1. The readings of all files are dealt by (counter, run) once.  On that partitioning
+1. The readings of all files are parsed once and dealt by (counter, run).  On that partitioning
    each run's latest rows are found, and later all differences.
 2. One small row a (counter, run) - its latest time, ties, a null time - is folded per
    counter over the runs: which run's latest rows the snapshot holds after each run,
@@ -139,6 +139,7 @@ def run_history(readings: DataFrame, runs: list[dt.date], prior: DataFrame, accu
     spark, last = readings.sparkSession, len(runs)
     number = F.create_map(*[x for i, d in enumerate(runs) for x in (F.lit(d), F.lit(i + 1))]) if runs else F.lit(None)
     numbered = readings.select("id", (F.element_at(number, F.col("run")) if runs else F.lit(None)).cast("int").alias("run"), "datetime", "station", "linename", "entries")
+    numbered = written(numbered)  # several jobs follow; the files are read and parsed once
     if cfg.split_hot and not cfg.hot_ranges:
         cfg = cfg.with_(hot_ranges=hot_ranges(numbered, ["id", "run"], cfg.max_rows_per_key))
     if cfg.hot_ranges:  # a counter too large for a task: its latest rows are found by joins that spread it

@@ -13,7 +13,7 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tally.config import RunConfig
@@ -102,9 +102,16 @@ def readings_view_cfg(spark: SparkSession, sf_dir: str,
 
 
 def prior_snapshot(r: DataFrame, cfg: RunConfig = RunConfig(), start: dt.datetime = SPLIT) -> DataFrame:
-    """Last reading of each known counter before ``start`` (ties kept)."""
+    """Last reading of each known counter before ``start`` (ties kept).
+
+    Without hot counters (``cfg`` of ``readings_view_cfg``) a window over the counter, on
+    the view's own partitioning: no shuffle.  With hot ones a join that spreads them.
+    """
     mod, rem = NEW_COUNTER_MOD
     before = r.where((F.col("datetime") < ntz(start)) & (F.col("id").cast("long") % mod != rem))
+    if not cfg.hot_ranges:
+        last = before.withColumn("__top", F.max("datetime").over(Window.partitionBy("id")))
+        return last.where(F.col("datetime") == F.col("__top")).select("id", "datetime", "entries", "station", "linename")
     top = before.groupBy("id").agg(F.max("datetime").alias("datetime"))
     return before.join(top, ["id", "datetime"]).select("id", "datetime", "entries", "station", "linename")
 

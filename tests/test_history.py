@@ -173,3 +173,47 @@ def test_readings_are_exchanged_once(spark):
     plan = h.weekly._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     scans = [x for x in re.findall(r"FileScan parquet \[[^\]]*\]", plan) if "entries#" in x and "run#" in x and "station#" not in x]
     assert len(scans) == 1, scans
+
+
+def test_readings_files_are_parsed_once(spark):
+    """The jobs of a history read the parsed rows: what it returns doesn't scan the files again."""
+    root = tempfile.mkdtemp(prefix="tally-history-")
+    prior, weekly, old = scenario(random.Random(6))
+    runs = [dt.date(2024, 1, 6) + dt.timedelta(days=7 * i) for i in range(len(weekly))]
+    schema = READINGS.simpleString()[7:-1].replace(":", " ") + ", run date"
+    frame(spark, [(*r, day) for day, got in zip(runs, weekly) for r in got], schema).write.csv(f"{root}/readings")
+    h = run_history(spark.read.schema(schema).csv(f"{root}/readings"), runs, frame(spark, prior, SNAPSHOT), frame(spark, old, WEEKLY), stations_of(spark), CFG)
+    for df in (h.weekly, h.accumulated, h.snapshot):
+        assert not [f for f in df.inputFiles() if f"{root}/readings" in f]
+
+
+def test_the_first_state_is_taken_on_the_views_partitioning(spark, tmp_path):
+    """Landing computes the first week's counts once, and the first snapshot without a shuffle of the readings; ties are kept."""
+    from tally.plans import e2e
+    from tally.sources import testbed as tb
+    t0 = dt.datetime(2024, 1, 1, 8)
+    ev = [(i, t0 + dt.timedelta(hours=6 * (i // 8)), i % 5, 1.0 + i % 3) for i in range(400)] + [(900, None, 1, 2.0), (901, t0, None, 1.0)]
+    frame(spark, ev, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    frame(spark, [(i, f"N{i}", i % 2) for i in range(25)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    frame(spark, [(i, f"R{i}") for i in range(2)], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    r, cfg = tb.readings_view_cfg(spark, str(tmp_path))
+    start = dt.datetime(2024, 1, 6)
+    assert r.count() == 401  # the view is there, its partitioning known
+    got = tb.prior_snapshot(r, cfg, start)
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert got.count() > got.select("id").distinct().count()
+    assert rows(got) == rows(tb.prior_snapshot(r, cfg.with_(hot_ranges=2), start))
+    asked = []
+    whole = e2e.weekly_from_readings
+
+    def seen(*a, **k):
+        asked.append(whole(*a, **k))
+        return asked[-1]
+
+    e2e.weekly_from_readings = seen
+    try:
+        w = e2e.land_all_weeks(spark, str(tmp_path), f"{tmp_path}/land")
+    finally:
+        e2e.weekly_from_readings = whole
+    first = min(w.files) - dt.timedelta(days=7)
+    assert rows(w.store.read(spark, "weekly", first).select(*WEEKLY.fieldNames())) == rows(asked[0].select(*WEEKLY.fieldNames()))
