@@ -17,6 +17,8 @@ BUCKETS = ("weekend", "weekday_am", "weekday_pm")
 BASELINE_LABEL = "2022"                      # suffix of this year's columns in D9
 # Date and time cells of the readings file, after a mark: month day year hour minute second.
 MDY_HMS = r"^![^0-9A-Za-z]*(\d{1,2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{4})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2}(?:\.\d{1,6})?)[^0-9A-Za-z]*$"
+# The same cells as the public files write them, "MM/dd/yyyy HH:mm:ss".
+USUAL_MDY_HMS = r"\A\d\d/\d\d/\d{4} \d\d:\d\d:\d\d\z"
 FILE_TAG_FORMAT = "yyMMdd"                   # date label of a weekly file
 MISSING_MARKERS = ("", "NA")                 # text cells read as missing
 

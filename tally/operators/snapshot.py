@@ -87,11 +87,11 @@ def next_snapshot(raw: DataFrame, prior: DataFrame, latest: DataFrame, stations:
     """Returns ``(snapshot, new_counters)``; ``new_counters`` is None when not grown.
 
     Branch C1 compares two row counts on the driver (scalars only), taken in
-    one job.  The joined table is persisted so the branch does not recompute it.
+    one job.  The joined table is persisted so the branch does not recompute it, and so are the new counters.
     """
     joined = hold(snapshot_join(latest_per_counter(raw, cfg), prior, cfg))
     if _grew(joined, prior):
         old = joined.where(F.col("station").isNotNull()).drop("d_entries")
-        new = enrich_new_counters(joined.where(F.col("station").isNull()), latest, stations, cfg)
+        new = hold(enrich_new_counters(joined.where(F.col("station").isNull()), latest, stations, cfg))  # a table and part of the snapshot
         return old.unionByName(new), new
     return joined.drop("d_entries"), None

@@ -1,6 +1,9 @@
 """Null-safe joins, broadcasts by bytes and shuffle sizes."""
 
-from tally.operators.joins import join_nullsafe
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tally.operators.joins import held_frames, hold, join_nullsafe, release
 from tally.session import shuffle_partitions_for, size_shuffles
 
 
@@ -51,3 +54,19 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     got = ensure_checkpoint_dir(spark)
     assert got == spark.sparkContext.getCheckpointDir()
     assert got.rstrip("/").split("/")[-2].startswith("tally-shared-") or named in got
+
+
+def test_held_frames_have_merged_partitions(spark):
+    """A small held frame has few partitions, whatever the session's number, and is still partitioned by its key."""
+    old, since = spark.conf.get("spark.sql.shuffle.partitions"), held_frames()
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(2000).selectExpr("cast(id % 97 as string) as id", "id as x")
+        raw = hold(df.withColumn("prev", F.lag("x").over(Window.partitionBy("id").orderBy("x"))))
+        assert raw.count() == 2000 and raw.rdd.getNumPartitions() < 64
+        top = raw.withColumn("top", F.max("x").over(Window.partitionBy("id")))
+        assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert sorted(r[0] for r in top.where("x = top").select("x").collect()) == list(range(1903, 2000))
+    finally:
+        release(since)
+        spark.conf.set("spark.sql.shuffle.partitions", old)

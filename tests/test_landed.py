@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tally.config import RunConfig
+from tally.config import MDY_HMS, USUAL_MDY_HMS, RunConfig
 from tally.functions import parse_mdy_hms
 from tally.operators.deltas import clean_deltas, raw_deltas
 from tally.plans.backfill import run_landed_week
@@ -40,6 +40,19 @@ def test_dates_with_any_separators(spark):
     assert plan.count("timestamp_ntz") == 1 and "gettimestamp" not in plan.lower() and "to_timestamp" not in plan.lower()
 
 
+def test_usual_dates_are_parsed_as_all_others(spark):
+    """Cells of the public form are put in order by position: same times, and nulls, as by the pattern's groups; only others run it."""
+    texts = ["05/06/2022 04:00:00", "02/29/2024 23:59:59", "02/29/2023 00:00:00", "00/10/2024 00:00:00", "13/01/2024 00:00:00", "12/31/2024 24:00:00",
+             "01/01/0000 00:00:00", "01/01/0001 00:00:00", "12/31/9999 23:59:60", "05/06/2022 04:00:00\n", "\n05/06/2022 04:00:00", "٠5/06/2022 04:00:00",
+             "05/06/2022 04:00:0", "05/06/2022 04:00:00.5", "05/06/20222 04:00:00", "5/06/2022 04:00:00", None, ""]
+    by_groups = F.regexp_replace(F.concat(F.lit("!"), "s"), F.lit(MDY_HMS), F.lit("$3-$1-$2 $4:$5:$6")).try_cast("timestamp_ntz")
+    df = spark.createDataFrame([(s,) for s in texts], "s string").select("s", parse_mdy_hms("s").alias("t"), by_groups.alias("g"))
+    assert [r.s for r in df.where(~F.col("t").eqNullSafe(F.col("g"))).collect()] == []
+    assert df.where("t is not null").count() >= 5
+    usual = spark.range(1).select(F.lit(texts[0]).rlike(USUAL_MDY_HMS), F.lit(texts[9]).rlike(USUAL_MDY_HMS), F.lit(texts[11]).rlike(USUAL_MDY_HMS)).first()
+    assert tuple(usual) == (True, False, False)
+
+
 def test_cells_that_do_not_parse_are_counted(spark):
     root = tempfile.mkdtemp(prefix="tally-bad-")
     path = _file(f"{root}/readings_240113.txt", [

@@ -4,6 +4,7 @@ import pytest
 
 from tally.config import RunConfig
 from tally.operators import latest_per_counter, next_snapshot, raw_deltas
+from tally.operators.joins import held_frames, release
 from tally.operators.snapshot import growing_copies
 from tally.session import ensure_checkpoint_dir
 from tests.conftest import READ_SCHEMA, SNAP_SCHEMA, frame, ts
@@ -40,6 +41,17 @@ def test_new_counters_enriched(spark):
     assert sorted(r.id for r in new.collect()) == ["b", "c"]
 
 
+def test_new_counters_are_made_once(spark):
+    """They are a table of their own and part of the snapshot: held, so both come from one computation."""
+    since = held_frames()
+    latest = latest_frame(spark, [("b", ts(2), 7.0, "RAWB", "LB"), (None, ts(3), 8.0, None, "LC")])
+    prior = frame(spark, [], SNAP_SCHEMA)
+    snap, new = next_snapshot(raw_deltas(prior, latest, CFG), prior, latest, frame(spark, [], STATIONS), CFG)
+    assert new.is_cached
+    assert sorted(map(str, snap.collect())) == sorted(map(str, new.collect())) and snap.count() == 2
+    release(since)
+
+
 def test_ties_kept(spark):
     prior = frame(spark, [("a", ts(3), 1.0, "S1", "L1")], SNAP_SCHEMA)
     latest = latest_frame(spark, [("a", ts(3), 2.0, "x", "x")])
